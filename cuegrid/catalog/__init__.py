@@ -17,4 +17,4 @@ def load():
         except ModuleNotFoundError as exc:
             if f"cuegrid.catalog.{name}" not in str(exc):
                 raise
-    return base.QUERIES, base.ORACLES
+    return base.QUERIES, base.oracles()

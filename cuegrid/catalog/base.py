@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+_SQL: dict[str, tuple[str, tuple[str, ...]]] = {}
 
 #: Named SQL building blocks: name -> (names it needs, body).
 _BLOCKS: dict[str, tuple[tuple[str, ...], str]] = {}
@@ -46,7 +46,11 @@ def query(name: str, sql: str | None = None, *needs: str):
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = make
         if sql is not None:
-            ORACLES[name] = sql_with(sql, *needs)
+            _SQL[name] = (sql, needs)
         return make
 
     return register
+
+
+def oracles() -> dict[str, str]:
+    return {name: sql_with(sql, *needs) for name, (sql, needs) in _SQL.items()}
