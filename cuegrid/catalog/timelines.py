@@ -431,13 +431,11 @@ def exact_percentiles(spark, folder):
 
 
 @query("f6_min_length", """
-  SELECT scene_key, seg_ix FROM (SELECT *, max(m1 - m0) OVER (PARTITION BY scene_key) AS longest FROM clip)
-  WHERE m1 - m0 >= 600 OR longest < 600""", "clip")
+  SELECT scene_key, seg_ix FROM (SELECT *, max(t1 - t0) OVER (PARTITION BY scene_key) AS longest FROM clip)
+  WHERE t1 - t0 >= 0.6::DOUBLE OR longest < 0.6::DOUBLE""", "clip")
 def min_length(spark, folder):
     from cuegrid.operators.fit import long_segments
 
-    clip = F.transform("clip", lambda s: F.struct(s["t0"].alias("t0"), s["t1"].alias("t1"),
-                                                  F.rint(s["t0"] - 0.5).alias("k")))
     rows = T.speech_arrays(spark, folder)
     return rows.select("scene_key", F.explode(long_segments(C("clip"), 0.6)).alias("s")).select(
         "scene_key", F.floor(C("s.t0")).cast("int").alias("seg_ix"))
