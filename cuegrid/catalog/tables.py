@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from cuegrid.catalog.base import block
 from cuegrid.functions import text as X
 from cuegrid.operators.scan import scan
+from cuegrid.session import cut_lineage
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -122,6 +123,10 @@ SCENE_EVENTS = 12
 
 
 def numbered_events(spark: SparkSession, folder: str) -> DataFrame:
+    return derived(spark, folder, "numbered_events", _numbered_events)
+
+
+def _numbered_events(spark: SparkSession, folder: str) -> DataFrame:
     """event_id, user_id, ts, event_type, value, cents, rn: position in the user's history"""
     rows = table(spark, folder, "events").select(
         "event_id", "user_id", "ts", "event_type", "value",
@@ -130,7 +135,23 @@ def numbered_events(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("rn", F.col("rn") - 1)
 
 
+_DERIVED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def derived(spark: SparkSession, folder: str, name: str, make) -> DataFrame:
+    """A derived table many queries start from: written to the checkpoint folder once per
+    application, then read from there."""
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _DERIVED:
+        _DERIVED[key] = cut_lineage(make(spark, folder))
+    return _DERIVED[key]
+
+
 def tracks(spark: SparkSession, folder: str) -> DataFrame:
+    return derived(spark, folder, "tracks", _tracks)
+
+
+def _tracks(spark: SparkSession, folder: str) -> DataFrame:
     """scene_key, track, seg_ix, m0, m1 (milliseconds), t0, t1 (seconds), word
 
     Twelve events of a user are one scene: its even ones the clip's speech segments, its odd

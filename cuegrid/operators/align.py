@@ -5,7 +5,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cuegrid import params as P
 from cuegrid.functions.rounding import round_exact
@@ -163,7 +163,8 @@ def plan_alignment(narr: Column, clip: Column, target: Column, clip_len: Column)
 
 
 # ------------------------------------------------------------------ words -----------------
-@F.pandas_udf("array<struct<i:int,j:int>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()),
+                                          T.StructField("j", T.IntegerType())])))
 def matched_words(script: pd.Series, heard: pd.Series) -> pd.Series:
     """Index pairs of words matched in order, by recursive longest matching block."""
 
@@ -175,6 +176,9 @@ def matched_words(script: pd.Series, heard: pd.Series) -> pd.Series:
     return pd.Series([pairs(a, b) for a, b in zip(script, heard)])
 
 
+matched_words = matched_words.asNondeterministic()  # keeps filters from re-running it
+
+
 def align_words(rows: DataFrame, text: str = "text", heard: str = "heard") -> DataFrame:
     """rows(text STRING, heard ARRAY<STRING>) -> adds script_words, pairs, coverage, extra,
     trailing_extra, usable."""

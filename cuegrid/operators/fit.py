@@ -11,7 +11,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cuegrid import params as P
 from cuegrid.functions.rounding import round_exact
@@ -69,8 +69,8 @@ def prune_edges(segs: Column) -> Column:
 
 # ------------------------------------------------------------------ kernels ---------------
 def best_run(starts: np.ndarray, ends: np.ndarray, speech: float, clip_len: float,
-             tolerance: float = P.RUN_TOLERANCE) -> tuple[int, int]:
-    """First and last index of the run of segments that is the line: the longest among the
+             tolerance: float = P.RUN_TOLERANCE) -> tuple[int, int, float]:
+    """First and last index of the run of segments that is the line, and the best score: the longest among the
     runs whose speaking time is within `tolerance` of the best match with `speech`.
 
     Speaking time grows with the run, so for each start both the closest run and the longest
@@ -108,16 +108,25 @@ def best_run(starts: np.ndarray, ends: np.ndarray, speech: float, clip_len: floa
             while j > low and score(i, j) > best + tolerance:
                 j -= 1
             s = score(i, j)
-            if s <= best + tolerance and (found is None or (j - i, -s) > found[0]):
-                found = ((j - i, -s), i, j)
-    return found[1], found[2]
+            rank = (j - i, -round(s, 9))
+            if s <= best + tolerance and (found is None or rank > found[0]):
+                found = (rank, i, j)
+    return found[1], found[2], best
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.StructType([T.StructField("i", T.IntegerType()),
+                            T.StructField("j", T.IntegerType()),
+                            T.StructField("score", T.DoubleType())]))
 def _run_udf(starts: pd.Series, ends: pd.Series, speech: pd.Series,
-             clip_len: pd.Series) -> pd.Series:
-    return pd.Series([list(best_run(a, b, s or 1e-3, c)) if len(a) else []
-                      for a, b, s, c in zip(starts, ends, speech, clip_len)])
+             clip_len: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([best_run(a, b, s or 1e-3, c) if len(a) else (-1, -1, math.nan)
+                         for a, b, s, c in zip(starts, ends, speech, clip_len)],
+                        columns=["i", "j", "score"])
+
+
+# Marked nondeterministic so that filters on their results are not pushed below them, which
+# would evaluate them twice (or inside a lambda, where Python cannot run).
+_run_udf = _run_udf.asNondeterministic()
 
 
 def pairings(narr: list[tuple[float, float]], clip: list[tuple[float, float]]) -> list[list[int]]:
@@ -161,12 +170,15 @@ def pairings(narr: list[tuple[float, float]], clip: list[tuple[float, float]]) -
     return out
 
 
-@F.pandas_udf("array<array<int>>")
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
 def _pair_udf(n0: pd.Series, n1: pd.Series, c0: pd.Series, c1: pd.Series) -> pd.Series:
     return pd.Series([pairings(list(zip(a, b)), list(zip(c, d)))
                       for a, b, c, d in zip(n0, n1, c0, c1)])
 
 
+_pair_udf = _pair_udf.asNondeterministic()
+
+
 def select_speech(rows: DataFrame, clip: str = "clip", narr: str = "narr",
                   clip_len: Column | None = None, out: str = "line") -> DataFrame:
     """Adds `out`: the run of the clip's segments that is the scene's line."""
@@ -175,9 +187,10 @@ def select_speech(rows: DataFrame, clip: str = "clip", narr: str = "narr",
     limit = F.lit(1e12) if clip_len is None else clip_len
     cut = pruned.withColumn("_r", _run_udf(field(F.col("_p"), "t0"), field(F.col("_p"), "t1"),
                                            speech, limit.cast("double")))
-    return cut.withColumn(out, F.when(F.size("_r") == 2, F.slice(
-        "_p", F.get("_r", F.lit(0)) + 1, F.get("_r", F.lit(1)) - F.get("_r", F.lit(0)) + 1))
-        .otherwise(F.array().cast(SPAN))).drop("_p", "_r")
+    return cut.withColumn(out, F.when(F.col("_r.i") >= 0, F.slice(
+        F.col("_p"), F.col("_r.i") + 1, F.col("_r.j") - F.col("_r.i") + 1))
+        .otherwise(F.array().cast(SPAN))).withColumn(out + "_score", F.col("_r.score")).drop(
+        "_p", "_r")
 
 
 def candidates(rows: DataFrame, clip_len: Column) -> DataFrame:

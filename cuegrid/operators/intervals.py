@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cuegrid import params as P
 from cuegrid.operators.scan import scan
+from cuegrid.session import cut_lineage
 
 MIN_PIECE_S = 0.05
 CHUNK_S = 3600.0
@@ -52,7 +53,7 @@ def islands(rows: DataFrame, key: str, gap: float = P.UTTERANCE_GAP_S,
     apart = scan(rows, [key], order, time_chunk("t0", chunk_s), lags={"_end": F.col("t1")})
     apart = apart.withColumn("_new", F.coalesce(F.col("t0") - F.col("_end") > gap, F.lit(False))
                              .cast("int"))
-    return scan(apart, [key], order, time_chunk("t0", chunk_s),
+    return scan(cut_lineage(apart), [key], order, time_chunk("t0", chunk_s),
                 sums={"island": F.col("_new")}).drop("_end", "_new")
 
 
@@ -64,7 +65,8 @@ def merge_overlaps(rows: DataFrame, key: str, least: float = MIN_PIECE_S,
     seen = scan(base, [key], order, time_chunk("t0", chunk_s), maxes_before={"_seen": F.col("t1")})
     seen = seen.withColumn("_new", (F.col("_seen").isNull() | (F.col("t0") > F.col("_seen")))
                            .cast("int")).drop("_seen")
-    grouped = scan(seen, [key], order, time_chunk("t0", chunk_s), sums={"_g": F.col("_new")})
+    grouped = scan(cut_lineage(seen), [key], order, time_chunk("t0", chunk_s),
+                   sums={"_g": F.col("_new")})
     return (grouped.groupBy(key, "_g").agg(F.min("t0").alias("t0"), F.max("t1").alias("t1"))
             .where(F.col("t1") - F.col("t0") >= least).drop("_g"))
 
@@ -86,14 +88,14 @@ def merge_to(rows: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
     place = F.floor(F.col("seg_ix") / 4096)
     gaps = scan(rows, [key], order, place, lags={"_end": F.col("t1")}, counts="_size")
     gaps = gaps.withColumn("_gap", F.col("t0") - F.col("_end"))
-    inner = gaps.where(F.col("_gap").isNotNull()).select(key, "seg_ix", "_gap", "_size")
+    inner = cut_lineage(gaps.where(F.col("_gap").isNotNull()).select(key, "seg_ix", "_gap", "_size"))
     ranked = scan(inner, [key], ["_gap", "seg_ix"], F.floor(F.col("_gap") * 100), number="_rank")
     closed = (ranked.join(sizes.select(key, "wanted"), key)
               .where(F.col("_rank") <= F.col("_size") - F.col("wanted"))
               .select(key, "seg_ix", F.lit(1).alias("_closed")))
     flagged = rows.select(key, "seg_ix", "t0", "t1").join(closed, [key, "seg_ix"], "left").withColumn(
         "_new", F.when(F.col("_closed").isNull(), 1).otherwise(0))
-    groups = scan(flagged, [key], order, place, sums={"_g": F.col("_new")})
+    groups = scan(cut_lineage(flagged), [key], order, place, sums={"_g": F.col("_new")})
     return groups.groupBy(key, F.col("_g").cast("int").alias("seg_ix")).agg(
         F.min("t0").alias("t0"), F.max("t1").alias("t1")).withColumn(
         "seg_ix", F.col("seg_ix") - 1)
@@ -103,7 +105,7 @@ def pick_island(rows: DataFrame, lengths: DataFrame, key: str,
                 gap: float = P.UTTERANCE_GAP_S) -> DataFrame:
     """Segments of the island whose extent is closest to `narration` in lengths(key,
     narration); the earlier one on ties."""
-    marked = islands(rows, key, gap)
+    marked = cut_lineage(islands(rows, key, gap))
     extent = marked.groupBy(key, "island").agg(F.min("t0").alias("a"), F.max("t1").alias("b"))
     best = extent.join(lengths.select(key, "narration"), key).groupBy(key).agg(
         F.min_by("island", F.struct(F.abs((F.col("b") - F.col("a")) - F.col("narration")),
@@ -189,7 +191,8 @@ def locate(points: DataFrame, segments: DataFrame, key: str, ident: str = "word_
     inside = F.when(prev["b"] > F.col("_p"), prev["seg_ix"])
     nearest = F.when(nxt.isNull() | (edge(prev) <= edge(nxt)), prev["seg_ix"]).otherwise(
         nxt["seg_ix"])
-    placed = seen.select(key, ident, "t0", "t1", inside.alias("_in"), nearest.alias("_near"))
+    placed = cut_lineage(seen.select(key, ident, "t0", "t1", inside.alias("_in"),
+                                     nearest.alias("_near")))
     loose = placed.where("_in is null").select(key, ident, "t0", "t1")
     spans = segments.select(key, F.col("t0").alias("a"), F.col("t1").alias("b"), "seg_ix")
     most = overlap_join(loose, spans, [key], ("t0", "t1"), ("a", "b"), width).groupBy(
@@ -227,7 +230,7 @@ def push_later(chunks: DataFrame, key: str, gap: float = 0.04, place: str = "pla
     chunk = F.floor(F.col("ix") / 4096)
     moved = scan(chunks, [key], ["ix"], chunk,
                  sums_before={"_p": F.col("voiced") + gap})
-    lead = scan(moved, [key], ["ix"], chunk, maxes={"_m": F.col("out") - F.col("_p")})
+    lead = scan(cut_lineage(moved), [key], ["ix"], chunk, maxes={"_m": F.col("out") - F.col("_p")})
     return lead.withColumn(place, F.col("_p") + F.col("_m")).drop("_p", "_m")
 
 
@@ -246,7 +249,7 @@ def disagreement(first: DataFrame, second: DataFrame, windows: DataFrame, key: s
 
     steps = edges(first, 1, 0).unionByName(edges(second, 0, 1)).groupBy(key, "t").agg(
         F.sum("da").alias("da"), F.sum("db").alias("db"))
-    level = scan(steps, [key], ["t"], time_chunk("t", chunk_s),
+    level = scan(cut_lineage(steps), [key], ["t"], time_chunk("t", chunk_s),
                  sums={"a": F.col("da"), "b": F.col("db")}, leads={"_t": F.col("t")})
     apart = level.where((F.col("a") > 0) != (F.col("b") > 0)).groupBy(key).agg(
         F.sum(F.col("_t") - F.col("t")).alias("_s"))
@@ -266,7 +269,7 @@ def percentiles(rows: DataFrame, keys: Sequence[str], value: str, shares: dict[s
     if fake:
         base, keys = base.withColumn("_all", F.lit(0)), ["_all"]
     # equal values are interchangeable, so they are reduced to (value, count) first
-    counted = base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    counted = cut_lineage(base.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
     ranked = scan(counted, keys, ["_v"], F.floor(F.col("_v") / bucket),
                   sums_before={"_below": F.col("_c")})
     sizes = counted.groupBy(*keys).agg(F.sum("_c").alias("_n"))

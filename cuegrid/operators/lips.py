@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cuegrid import params as P
 from cuegrid.functions.rounding import round_exact
@@ -13,6 +13,7 @@ from cuegrid.functions.scalars import clamp, count_syllables, frame_aligned
 from cuegrid.operators.intervals import (cut_clock, locate, long_gaps, merge_overlaps,
                                          nearest_within, push_later)
 from cuegrid.operators.scan import scan
+from cuegrid.session import cut_lineage
 
 
 def phrase_ranges(firsts: Column, n: Column) -> Column:
@@ -58,12 +59,15 @@ def balanced_groups(syllables: list[int], heard: list[int], seconds: list[float]
     return sizes[::-1]
 
 
-@F.pandas_udf("array<int>")
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _balance_udf(syllables: pd.Series, heard: pd.Series, seconds: pd.Series) -> pd.Series:
     return pd.Series([balanced_groups(a.tolist(), b.tolist(), c.tolist())
                       for a, b, c in zip(syllables, heard, seconds)])
 
 
+_balance_udf = _balance_udf.asNondeterministic()  # keeps filters from re-running it
+
+
 def make_chunks(lines: DataFrame, words: DataFrame, speech: DataFrame, key: str,
                 onsets: DataFrame | None = None) -> DataFrame:
     """Phrases of a line with the lips' timing.
@@ -76,8 +80,9 @@ def make_chunks(lines: DataFrame, words: DataFrame, speech: DataFrame, key: str,
         key, F.col("p.i").alias("i"), F.col("p.j").cast("long").alias("word_ix"))
     placed = locate(words.join(pairs.select(key, "word_ix"), [key, "word_ix"], "left_semi"),
                     speech, key)
-    heard = pairs.join(placed.select(key, "word_ix", "seg_ix"), [key, "word_ix"])
-    heard = scan(heard, [key], ["i"], F.floor(F.col("i") / 4096), maxes={"heard": F.col("seg_ix")})
+    heard = cut_lineage(pairs.join(placed.select(key, "word_ix", "seg_ix"), [key, "word_ix"]))
+    heard = cut_lineage(scan(heard, [key], ["i"], F.floor(F.col("i") / 4096),
+                             maxes={"heard": F.col("seg_ix")}))
     line = heard.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "heard"))).alias("h"))
     spans = heard.select(key, F.col("heard").alias("seg_ix")).distinct().join(
         speech.select(key, "seg_ix", "t0", "t1"), [key, "seg_ix"]).groupBy(key).agg(
@@ -112,7 +117,8 @@ def plan_cuts(speech: DataFrame, used: DataFrame, key: str) -> DataFrame:
     marks = used.select(key, "seg_ix").distinct()
     ends = marks.groupBy(key).agg(F.min("seg_ix").alias("_lo"), F.max("seg_ix").alias("_hi"))
     inside = speech.join(ends, key).where(F.col("seg_ix").between(F.col("_lo"), F.col("_hi")))
-    flagged = inside.join(marks.withColumn("_used", F.lit(True)), [key, "seg_ix"], "left")
+    flagged = cut_lineage(inside.join(marks.withColumn("_used", F.lit(True)), [key, "seg_ix"],
+                                      "left"))
     extra = F.col("_used").isNull() & (F.col("t1") - F.col("t0") >= P.MIN_SPEECH_S)
     unscripted = flagged.where(extra).select(key, (F.col("t0") - 0.04).alias("t0"),
                                              (F.col("t1") + 0.04).alias("t1"))
@@ -144,9 +150,9 @@ def plan_window(chunks: DataFrame, cuts: DataFrame, clips: DataFrame, key: str,
                              F.struct(F.lit(1).alias("side"), F.col("t1").alias("t"))))
     points = chunks.join(w0, key).select(key, "ix", "w0", ends.alias("x")).select(
         key, "ix", "w0", "x.side", "x.t")
-    clock = cut_clock(points, frames, key, ["ix", "side"])
+    clock = cut_lineage(cut_clock(points, frames, key, ["ix", "side"]))
     starts = clock.where("side = 0").select(key, "ix", "out")
-    placed = push_later(chunks.join(starts, [key, "ix"]), key)
+    placed = cut_lineage(push_later(chunks.join(starts, [key, "ix"]), key))
     lip_end = clock.where("side = 1").groupBy(key).agg(F.max_by("out", "ix").alias("_lips"))
     voice_end = placed.groupBy(key).agg(F.max(F.col("place") + F.col("voiced")).alias("_voice"))
     gone = frames.groupBy(key).agg(F.sum(F.col("b") - F.col("a")).alias("_gone"))
@@ -170,7 +176,8 @@ def settle_takes(takes: DataFrame, keys: list[str]) -> DataFrame:
     on ties) and the tempo that trims the rest, in its bounds."""
     best = takes.groupBy(*keys).agg(F.min_by(
         F.struct("rate", "measured", "target", "try_no"),
-        F.struct(F.abs(F.col("measured") - F.col("target")), "try_no")).alias("b"))
+        F.struct(F.abs(F.col("measured") - F.col("target")), "try_no", "rate",
+                 "measured")).alias("b"))
     tempo = clamp(F.col("b.measured") / F.greatest(F.col("b.target"), F.lit(0.1)), *P.TRIM_RANGE)
     return best.select(*keys, "b.try_no", "b.rate", "b.measured",
                        tempo.alias("tempo"), (F.abs(tempo - 1) > 0.01).alias("stretch"))

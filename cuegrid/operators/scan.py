@@ -6,6 +6,10 @@ or an ordinal range: any column that never decreases in that order). Rows are sh
 by (keys, chunk); each chunk is reduced to one small row; a window over those small rows
 gives what each chunk inherits from the chunks before (or after) it; the inherited value is
 joined back on (keys, chunk) and combined with a window inside the chunk.
+
+A scan reads its input twice (for the chunk summaries and for the rows), so an operator that
+scans the result of a scan writes the first result to the checkpoint folder in between;
+otherwise the work would double with every step.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ a single narrow stage; scenes are exploded at the very end.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cuegrid import params as P
 from cuegrid.functions import text as X
@@ -92,7 +92,8 @@ def scene_breaks(rule: P.Planning = P.Planning(), measured_gap: float | None = N
         return pd.Series([cuts(p.tolist(), w.tolist(), e.tolist(), c.tolist(), s.tolist())
                           for p, w, e, c, s in zip(paragraphs, words, ends, clauses, seconds)])
 
-    return F.pandas_udf(run, "array<int>")
+    # nondeterministic: filters on the scenes must not run the grouping a second time
+    return F.pandas_udf(run, T.ArrayType(T.IntegerType())).asNondeterministic()
 
 
 def _field(units: Column, name: str) -> Column:

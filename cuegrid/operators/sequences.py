@@ -9,6 +9,7 @@ from cuegrid.functions.scalars import segment_suffix
 from cuegrid.functions.text import share_words
 from cuegrid.operators.intervals import nearest_within, percentiles
 from cuegrid.operators.scan import scan
+from cuegrid.session import cut_lineage
 
 
 def ordinal_chunk(column: str, size: int = 4096) -> Column:
@@ -28,13 +29,13 @@ def failure_streak(scenes: DataFrame, key: str, order: str, failed: Column, limi
     from the row on that follows `limit` failures in a row)."""
     place = ordinal_chunk(order) if chunk is None else chunk
     numbered = scan(scenes.withColumn("_bad", failed), [key], [order], place, number="_n")
-    seen = scan(numbered, [key], [order], place,
+    seen = scan(cut_lineage(numbered), [key], [order], place,
                 maxes={"_ok": F.when(~F.col("_bad"), F.col("_n"))},
                 maxes_before={"_ok_before": F.when(~F.col("_bad"), F.col("_n"))})
     seen = (seen.withColumn("streak", F.col("_n") - F.coalesce("_ok", F.lit(0)))
             .withColumn("_hit", (F.col("_n") - 1 - F.coalesce("_ok_before", F.lit(0)) >= limit)
                         .cast("int")))
-    stopped = scan(seen, [key], [order], place, maxes={"_stop": F.col("_hit")})
+    stopped = scan(cut_lineage(seen), [key], [order], place, maxes={"_stop": F.col("_hit")})
     return stopped.withColumn("attempted", F.col("_stop") == 0).drop(
         "_bad", "_n", "_ok", "_ok_before", "_hit", "_stop")
 
@@ -116,6 +117,7 @@ def speaking_onsets(curve: DataFrame, points: DataFrame, key: str = "clip_id",
                     bucket: float = 0.25) -> DataFrame:
     """points(key, near), one per clip -> `onset`: where activity first clearly rises near
     the given time, or null when the clip shows no clear rise."""
+    curve = cut_lineage(curve)
     early = F.greatest(F.lit(0.2), F.col("near") - window)
     quiet_rows = curve.join(points, key).where(F.col("t") < early)
     base = percentiles(quiet_rows, [key], "activity", {"calm": 0.5}, bucket)
@@ -137,6 +139,9 @@ def channel_stats(pixels: DataFrame, scene: str = "scene") -> DataFrame:
 
 def color_targets(stats: DataFrame, bucket: float = 0.5) -> DataFrame:
     """Median of the scenes' means and spreads per channel (at most three rows)."""
-    means = percentiles(stats, ["channel"], "mean", {"target_mean": 0.5}, bucket)
-    return means.join(percentiles(stats, ["channel"], "std", {"target_std": 0.5}, bucket),
-                      "channel")
+    each = stats.select("channel", F.explode(F.create_map(
+        F.lit("mean"), F.col("mean"), F.lit("std"), F.col("std"))).alias("stat", "value"))
+    mid = percentiles(each, ["channel", "stat"], "value", {"middle": 0.5}, bucket)
+    return mid.groupBy("channel").agg(
+        F.max(F.when(F.col("stat") == "mean", F.col("middle"))).alias("target_mean"),
+        F.max(F.when(F.col("stat") == "std", F.col("middle"))).alias("target_std"))

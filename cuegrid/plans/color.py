@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from cuegrid.functions.scalars import color_term
 from cuegrid.operators.sequences import channel_stats, color_targets
+from cuegrid.session import cut_lineage
 
 
 def color_filters(pixels: DataFrame, scene: str = "scene") -> DataFrame:
     """pixels(scene, channel, value) -> (scene, filter). The targets are three rows by
     definition (one per channel), so they are broadcast."""
-    stats = channel_stats(pixels, scene)
+    stats = cut_lineage(channel_stats(pixels, scene))
     joined = stats.join(F.broadcast(color_targets(stats)), "channel")
     term = color_term(F.col("channel"), F.col("mean"), F.col("std"), F.col("target_mean"),
                       F.col("target_std"))
