@@ -460,3 +460,12 @@ def range_predicates(spark, folder):
     r = C("audio_ms") / 5000
     return T.order_scenes(spark, folder).select("scene", S.in_range(r).alias("in_range"),
                                                 r.between(*P.SPEECH_RANGE).alias("speech_ok"))
+
+
+@query("k24_render_plans")
+def render_plans(spark, folder):
+    from cuegrid.plans.render import render_plans as plan
+
+    clips = F.when(C("scene_key") % 6 == 5, F.array(F.lit(4.0), F.lit(4.0))).otherwise(F.array(C("clip_len")))
+    rows = _two_sided(spark, folder).drop("target").withColumn("audio_s", C("narr_len")).withColumn("clip_durations", clips)
+    return plan(rows, "scene_key")

@@ -334,3 +334,24 @@ def request_reuse(spark, folder):
         C("doc_id").alias("request_id"), "text",
         F.when(C("doc_id") % 2 == 0, "finished").otherwise("pending").alias("state")))
     return reuse_requests(lines, requests, "item_id")
+
+
+@query("production_plan")
+def production_plan(spark, folder):
+    from cuegrid.plans.corpus import production_plan as plan
+
+    return plan(T.scripts(spark, folder))
+
+
+@query("production_scenes", """
+  SELECT script_id, sum(len(regexp_extract_all(text, '[A-Za-z0-9À-ɏ'']+')))::BIGINT AS words, true AS covered FROM sents
+  GROUP BY script_id""", "sents")
+def production_scenes(spark, folder):
+    """Scenes hold every word once, and planned footage covers its narration within the
+    slow-down bound."""
+    from cuegrid.plans.corpus import scene_table
+
+    rows = scene_table(T.scripts(spark, folder))
+    enough = C("clip_durations").isNull() | (C("sync.ratio") >= 0.9 * 0.98)
+    return rows.groupBy("script_id").agg(F.sum(F.regexp_count("text", F.lit("[A-Za-z0-9À-ɏ']+"))).alias("words"),
+                                         F.bool_and(enough).alias("covered"))
