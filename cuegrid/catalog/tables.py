@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cuegrid.catalog.base import block
 from cuegrid.functions import text as X
+from cuegrid.operators.rows import keep_parallel, unfold
 from cuegrid.operators.scan import scan
 from cuegrid.session import cut_lineage
 
@@ -41,8 +42,7 @@ def sentence_arrays(spark: SparkSession, folder: str) -> DataFrame:
 
 def sentences(spark: SparkSession, folder: str) -> DataFrame:
     """script_id, sent_ix (0-based), text"""
-    return sentence_arrays(spark, folder).select(
-        "script_id", F.posexplode("sents").alias("sent_ix", "text"))
+    return unfold(sentence_arrays(spark, folder), "sents", "sent_ix", "text", "script_id")
 
 
 def scenes(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,8 +51,8 @@ def scenes(spark: SparkSession, folder: str) -> DataFrame:
         "n_scenes", F.ceil(F.size("sents") / 2).cast("int"))
     starts = F.when(F.col("n_scenes") > 0, F.sequence(F.lit(0), F.col("n_scenes") - 1))
     groups = F.transform(starts, lambda i: F.slice("sents", i * 2 + 1, F.lit(2)))
-    return (rows.select("script_id", "n_scenes", F.posexplode(groups).alias("scene_ix", "units"))
-            .withColumn("text", F.array_join("units", " ")))
+    return unfold(rows, groups, "scene_ix", "units", "script_id", "n_scenes").withColumn(
+        "text", F.array_join("units", " "))
 
 
 SPACES = X.SPACE_CHARACTERS
@@ -191,7 +191,7 @@ block("narr", "SELECT * FROM trk WHERE track = 'narration'", "trk")
 def speech_arrays(spark: SparkSession, folder: str) -> DataFrame:
     """scene_key, clip, narr: ARRAY<STRUCT<t0,t1>> sorted, at most six entries a side"""
     pair = F.struct("t0", "t1")
-    return tracks(spark, folder).groupBy("scene_key").agg(
+    return keep_parallel(tracks(spark, folder), "scene_key").groupBy("scene_key").agg(
         F.array_sort(F.collect_list(F.when(F.col("track") == "clip", pair))).alias("clip"),
         F.array_sort(F.collect_list(F.when(F.col("track") == "narration", pair))).alias("narr"))
 
@@ -204,7 +204,7 @@ def order_scenes(spark: SparkSession, folder: str) -> DataFrame:
                    F.when(F.col("o_orderstatus") == "O", 0)
                    .when(F.col("o_orderstatus") == "F", 1).otherwise(2))
     audio = cents % 9000 + 500
-    return table(spark, folder, "orders").select(
+    return spread(table(spark, folder, "orders")).select(
         F.col("o_custkey").alias("project"), F.col("o_orderkey").alias("scene"),
         status.alias("status"), audio.alias("audio_ms"),
         F.when(status == "complete", audio + 200 + cents % 7 * 40).alias("rendered_ms"),
@@ -280,9 +280,8 @@ def frames(spark: SparkSession, folder: str) -> DataFrame:
     both = F.transform(vec, lambda v, i: F.struct(
         F.abs(v.cast("double") * 100).alias("mouth"),
         F.abs(F.coalesce(F.get(vec, i + 1), v).cast("double") * 20).alias("ref")))
-    return table(spark, folder, "embeddings").select(
-        F.col("vec_id").alias("clip_id"), F.posexplode(both).alias("frame", "s")).select(
-        "clip_id", "frame", "s.mouth", "s.ref")
+    rows = spread(table(spark, folder, "embeddings")).select(F.col("vec_id").alias("clip_id"), both.alias("both"))
+    return unfold(rows, "both", "frame", "s", "clip_id").select("clip_id", "frame", "s.mouth", "s.ref")
 
 
 block("frm", """

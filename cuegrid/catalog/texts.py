@@ -9,6 +9,7 @@ from cuegrid.catalog import tables as T
 from cuegrid.catalog.base import block, query
 from cuegrid.functions import text as X
 from cuegrid.operators import scenes as SC
+from cuegrid.operators.rows import unfold
 from cuegrid.operators.subtitles import build_cues, cue_blocks
 
 C = F.col
@@ -41,8 +42,7 @@ def _dialogues(spark, folder):
 
 @query("x2_paragraphs", "SELECT doc_id AS script_id, paragraph, p AS text FROM c_pars", "c_pars")
 def paragraphs(spark, folder):
-    return _dialogues(spark, folder).select(
-        "script_id", F.posexplode(X.split_paragraphs(C("text"))).alias("paragraph", "text"))
+    return unfold(_dialogues(spark, folder), X.split_paragraphs(C("text")), "paragraph", "text", "script_id")
 
 
 @query("x3_sentences", "SELECT script_id, sent_ix, text FROM sents", "sents")
@@ -98,8 +98,7 @@ block("cue", _LINES, "scn")
   SELECT script_id, scene_ix, row_number() OVER (PARTITION BY script_id, scene_ix ORDER BY j, k) - 1 AS ix, line
   FROM cue""", "cue")
 def cue_lines(spark, folder):
-    return T.scenes(spark, folder).select("script_id", "scene_ix", F.posexplode(
-        X.cue_lines(C("text"))).alias("ix", "line"))
+    return unfold(T.scenes(spark, folder), X.cue_lines(C("text")), "ix", "line", "script_id", "scene_ix")
 
 
 @query("x8_subtitles", f"""
@@ -169,7 +168,7 @@ def gesture_rotation(spark, folder):
     n = F.ceil(F.size("sents") / 2).cast("int")
     cues = F.transform(F.sequence(F.lit(0), n - 1), lambda i: X.classify_cue(
         F.array_join(F.slice("sents", i * 2 + 1, F.lit(2)), " "), i, n, CORPUS_PATTERNS))
-    return rows.select("script_id", F.posexplode(SC.assign_gestures(cues)).alias("scene_ix", "gesture"))
+    return unfold(rows, SC.assign_gestures(cues), "scene_ix", "gesture", "script_id")
 
 
 TEMPLATE = "ACTION: {{VISUAL_ACTION}}\n\n\n\n{{PRESENTER_DESCRIPTION}}\n{{DIALOGUE}}"

@@ -11,6 +11,7 @@ from cuegrid import params as P
 from cuegrid.functions.rounding import round_exact
 from cuegrid.functions.text import bound, matching_word, words_of
 from cuegrid.operators.fit import apart_seconds, candidates, span
+from cuegrid.operators.rows import keep_parallel
 from cuegrid.operators.scan import scan
 
 TINY = 1e-3
@@ -91,7 +92,7 @@ def search_alignment(rows: DataFrame, key: str, target: str = "target",
                      clip_len: str = "clip_len") -> DataFrame:
     """Best time map per scene over the same candidates the fit uses; scenes without a
     plausible one are absent."""
-    cands = candidates(rows, F.col(clip_len)).withColumn(
+    cands = candidates(keep_parallel(rows, key), F.col(clip_len)).withColumn(
         "map", time_map(F.col("phrases"), F.col(target), F.col(clip_len))).where("map is not null")
     cands = cands.withColumn("mismatch", map_mismatch(F.col("map.pieces"), F.col("narr"),
                                                       F.col("clip"), F.col(target)))

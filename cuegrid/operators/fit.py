@@ -18,6 +18,7 @@ from cuegrid.functions.rounding import round_exact
 from cuegrid.functions.scalars import clamp, frame_aligned
 from cuegrid.functions.text import bound
 from cuegrid.operators.intervals import overlap_join
+from cuegrid.operators.rows import keep_parallel, unfold
 
 SPAN = "array<struct<t0:double,t1:double>>"
 
@@ -202,11 +203,11 @@ def candidates(rows: DataFrame, clip_len: Column) -> DataFrame:
     sels = F.filter(F.array_distinct(F.array(
         F.col("line").cast(SPAN), F.col("_real").cast(SPAN),
         without_end_touch(F.col("_real"), clip_len).cast(SPAN))), lambda s: F.size(s) > 0)
-    each = real.select(*rows.columns, F.posexplode(sels).alias("sel_ix", "sel"))
+    each = unfold(real, sels, "sel_ix", "sel", *rows.columns)
     paths = each.withColumn("_paths", _pair_udf(
         field(F.col("narr"), "t0"), field(F.col("narr"), "t1"),
         field(F.col("sel"), "t0"), field(F.col("sel"), "t1")))
-    wide = paths.select(*each.columns, F.posexplode("_paths").alias("setting", "_path"))
+    wide = unfold(paths, "_paths", "setting", "_path", *each.columns)
 
     def phrase(k: Column) -> Column:
         def used(offset: int) -> Column:
@@ -313,7 +314,7 @@ def plan_fit(rows: DataFrame, key: str, narr_len: str = "narr_len", clip_len: st
              rule: P.Sync = P.Sync(), fps: int = 24) -> DataFrame:
     """Best plan per scene (none without speech on both sides): least disagreement, clamping
     and freezing; then more segments; then the order of the search."""
-    plans = fit_plans(candidates(rows, F.col(clip_len)), F.col(narr_len), F.col(clip_len),
+    plans = fit_plans(candidates(keep_parallel(rows, key), F.col(clip_len)), F.col(narr_len), F.col(clip_len),
                       rule, fps)
     cost = round_exact(F.col("mismatch") + 0.05 * F.col("clamped") + 0.5 * F.col("freeze_pad"), 3)
     order = F.struct(cost, -F.size("sel"), "sel_ix", "setting")

@@ -12,6 +12,7 @@ from cuegrid.functions.rounding import round_exact
 from cuegrid.functions.scalars import clamp, count_syllables, frame_aligned
 from cuegrid.operators.intervals import (cut_clock, locate, long_gaps, merge_overlaps,
                                          nearest_within, push_later)
+from cuegrid.operators.rows import unfold
 from cuegrid.operators.scan import scan
 from cuegrid.session import cut_lineage
 
@@ -98,7 +99,7 @@ def make_chunks(lines: DataFrame, words: DataFrame, speech: DataFrame, key: str,
         F.array_join(F.slice("script_words", r["i0"] + 1, r["i1"] - r["i0"] + 1), " ").alias("text"),
         F.get("segs", k)["t0"].alias("t0"), F.get("segs", k)["t1"].alias("t1"),
         F.get("segs", k)["seg_ix"].alias("seg_ix")))
-    out = ranged.select(key, F.posexplode(chunk).alias("ix", "c")).select(key, "ix", "c.*")
+    out = unfold(ranged, chunk, "ix", "c", key).select(key, "ix", "c.*")
     return out if onsets is None else shift_to_mouth(out, onsets, key)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cuegrid.functions.text import bound, matching_text
+from cuegrid.operators.rows import unfold
 
 GRAM = 4
 
@@ -30,10 +31,10 @@ def _line_gram(norm: Column) -> Column:
 
 
 def _text_grams(norm: Column, kinds: list[int]) -> Column:
-    """ARRAY<STRUCT<kind, gram>> of the kinds asked for."""
+    """ARRAY<BIGINT>: hashes of the text's grams of the kinds asked for."""
 
     def gram(kind: int, value: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), value.alias("gram"))
+        return F.xxhash64(F.lit(kind), value)
 
     def of_words(t: Column) -> Column:
         def word_grams(n: int) -> Column:
@@ -66,10 +67,10 @@ def containing_texts(lines: DataFrame, texts: DataFrame, line_id: str, text_id:
         F.col("_line") != "").withColumn("_g", _line_gram(F.col("_line")))
     kinds = sorted(r[0] for r in left.select("_g.kind").distinct().collect())
     right = texts.select(text_id, matching_text(F.col(text)).alias("_text"))
-    grams = right.select(text_id, F.explode(_text_grams(F.col("_text"), kinds or [GRAM])).alias("_g"))
-    key = F.xxhash64("_g").alias("_k")
+    grams = unfold(right, _text_grams(F.col("_text"), kinds or [GRAM]), "_at", "_k", text_id).drop("_at")
+    key = F.xxhash64("_g.kind", "_g.gram").alias("_k")
     # ids only travel through the gram join; the texts come back for the few candidates
-    met = grams.select(text_id, key).join(left.select(line_id, "_line", *extra, key), "_k").drop("_k")
+    met = grams.join(left.select(line_id, "_line", *extra, key), "_k").drop("_k")
     pairs = met.distinct().join(right, text_id).where(F.contains("_text", "_line"))
     if seconds:
         # the label must not be part of a longer number or word

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from cuegrid import params as P
 from cuegrid.functions import text as X
 from cuegrid.functions.scalars import text_sha
+from cuegrid.operators.rows import unfold
 
 # --- fixed values: gestures and their wording -------------------------------------------
 NEUTRAL_ACTIONS = (
@@ -181,7 +182,7 @@ def plan_scenes(scripts: DataFrame, rule: P.Planning = P.Planning(), *,
 
 def _with_measured(base: DataFrame, measured: DataFrame, rule: P.Planning) -> DataFrame:
     unit = F.col("u")
-    rows = base.select("script_id", F.posexplode("units").alias("k", "u")).withColumn(
+    rows = unfold(base, "units", "k", "u", "script_id").withColumn(
         "text_key", text_sha(unit["text"]))
     joined = rows.join(measured.select("text_key", "seconds"), "text_key", "left")
     estimate = X.spoken(unit, rule.words_per_second)
@@ -215,7 +216,7 @@ def _explode_plan(rows: DataFrame, rule: P.Planning, gap: float | None, template
         F.transform(F.get("scenes", i), lambda u: u["text"]).alias("units"),
         length(F.get("scenes", i)).alias("estimated_duration"),
         F.get("cues", i).alias("cue"), F.get("gestures", i).alias("gesture")))
-    out = rows.select("script_id", F.explode(zipped).alias("s")).select(
+    out = unfold(rows, zipped, "_k", "s", "script_id").select(
         "script_id", "s.scene_ix", F.format_string("scene_%03d", "s.scene_ix").alias("scene_id"),
         "s.text", "s.units", "s.n_units", "s.estimated_duration", "s.cue", "s.gesture",
         action_of(F.col("s.gesture")).alias("visual_action"), F.lit("pending").alias("status"))

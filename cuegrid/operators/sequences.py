@@ -8,6 +8,7 @@ from cuegrid import params as P
 from cuegrid.functions.scalars import segment_suffix
 from cuegrid.functions.text import share_words
 from cuegrid.operators.intervals import nearest_within, percentiles
+from cuegrid.operators.rows import unfold
 from cuegrid.operators.scan import scan
 from cuegrid.session import cut_lineage
 
@@ -66,8 +67,8 @@ def work_requests(scenes: DataFrame, image: Column, anchored: bool = True) -> Da
     """One row per (scene, clip): scenes(..., text, clip_durations, video_files). The
     reference frame is the master image, or the previous clip when anchoring is off."""
     texts = share_words(F.col("text"), F.col("clip_durations"))
-    listed = scenes.withColumn("_texts", texts).select(
-        *scenes.columns, "_texts", F.posexplode("clip_durations").alias("segment", "duration"))
+    listed = unfold(scenes.withColumn("_texts", texts), "clip_durations", "segment", "duration",
+                    *scenes.columns, "_texts")
     previous = F.get(F.col("video_files"), F.col("segment") - 1)
     ref = image if anchored else F.when(F.col("segment") > 0, F.coalesce(previous, image)).otherwise(image)
     return listed.withColumn("dialogue", F.get("_texts", F.col("segment"))).withColumn(

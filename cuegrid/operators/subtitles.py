@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cuegrid.functions.scalars import subtitle_time
 from cuegrid.functions.text import cue_lines
+from cuegrid.operators.rows import unfold
 from cuegrid.operators.scan import scan
+from cuegrid.session import cut_lineage
 from cuegrid.operators.sequences import ordinal_chunk
 
 
@@ -19,6 +21,7 @@ def build_cues(scenes: DataFrame, key: str = "script_id", order: str = "scene_ix
     scenes; the cues themselves stay inside their scene's row."""
     rows = scenes.withColumn("_lines", cue_lines(F.col("text"))).withColumn(
         "_n", F.size("_lines")).drop("text")
+    rows = cut_lineage(rows)  # the scan reads its input twice; lines are costly to make
     place = ordinal_chunk(order) if chunk is None else chunk
     timed = scan(rows, [key], [order], place, sums_before={
         "_t": F.col("rendered"), "_k": F.col("_n")})
@@ -29,8 +32,7 @@ def build_cues(scenes: DataFrame, key: str = "script_id", order: str = "scene_ix
     timed = timed.withColumn("_total", F.greatest(F.lit(1), chars(F.col("_lines"))))
     cue = F.transform("_lines", lambda line, i: F.struct(
         line.alias("line"), chars(F.slice("_lines", F.lit(1), i)).alias("before")))
-    out = timed.select(key, order, "_t", "_k", "_total", "speech",
-                       F.posexplode(cue).alias("i", "c"))
+    out = unfold(timed, cue, "i", "c", key, order, "_t", "_k", "_total", "speech")
     start = F.col("_t") + F.col("speech") * F.col("c.before") / F.col("_total")
     stop = F.col("_t") + F.col("speech") * (F.col("c.before") + F.length("c.line")) / F.col("_total")
     return out.select(key, order, (F.col("_k") + F.col("i") + 1).alias("cue_ix"),

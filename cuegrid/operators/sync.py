@@ -30,22 +30,28 @@ def choose_clips(target: Column, allowed: tuple[float, ...] = P.Clips().allowed,
                  rule: P.Sync = P.Sync()) -> Column:
     """ARRAY<DOUBLE>: the fewest clips covering `target`, longest first; null if none can.
 
-    The combinations are a literal array scored inside the row: a join with them would
-    multiply the rows and shuffle for the minimum."""
-    table = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(k).alias("k"),
-                               F.lit(float(sum(c))).alias("total"),
-                               F.array(*[F.lit(float(x)) for x in sorted(c, reverse=True)])
-                               .alias("clips")) for n, k, c in clip_combinations(allowed)])
-
-    def score(c: Column) -> Column:
-        ratio = c["total"] / target
-        fits = in_range(ratio, rule)
-        near = F.when(fits, F.abs(F.log(ratio))).otherwise(c["total"])
-        return F.when(fits | (ratio > rule.max_speedup), F.struct(
-            c["n"], (~fits).alias("cut"), near.alias("near"), c["total"], c["k"], c["clips"]))
-
-    scored = F.filter(F.transform(table, score), lambda s: s.isNotNull())
-    return F.when(target > 0, F.array_min(scored)["clips"])
+    Whether n clips can cover the target only depends on n times the longest clip, so the
+    number of clips is a chain of comparisons; only the few sums that many clips can have
+    are then compared inside the row. A join with the combinations would multiply the rows
+    and shuffle for the minimum."""
+    first: dict[int, dict[float, tuple[float, ...]]] = {}
+    for n, _, combo in clip_combinations(allowed):
+        first.setdefault(n, {}).setdefault(float(sum(combo)), combo)
+
+    def choice(sums: dict[float, tuple[float, ...]]) -> Column:
+        totals = F.expr("array(" + ", ".join(f"{t!r}D" for t in sorted(sums)) + ")")
+        near = bound(F.filter(totals, lambda t: in_range(t / target, rule)), lambda fits: F.when(
+            F.size(fits) > 0, F.array_min(F.transform(fits, lambda t: F.struct(
+                F.abs(F.log(t / target)).alias("gap"), t.alias("t"))))["t"]))
+        best = F.coalesce(near, F.array_min(F.filter(totals, lambda t: t / target > rule.max_speedup)))
+        clips = ", ".join(f"{t!r}D, array(" + ", ".join(f"{c!r}D" for c in sorted(combo, reverse=True))
+                          + ")" for t, combo in sorted(sums.items()))
+        return F.try_element_at(F.expr(f"map({clips})"), best)
+
+    out = F.when(target <= 0, None)
+    for n, sums in first.items():
+        out = out.when(F.lit(max(sums)) / target >= rule.max_slowdown - SLACK, choice(sums))
+    return out
 
 
 def total(clips: Column) -> Column:
@@ -54,12 +60,13 @@ def total(clips: Column) -> Column:
 
 def sync_plan(audio: Column, clips: Column, rule: P.Sync = P.Sync(),
               tail: float | Column = P.Audio().tail_padding,
-              fps: int | Column = P.Video().fps) -> Column:
-    """STRUCT<target_duration, video_duration, ratio, retime_factor, action, freeze_pad>."""
+              fps: int | Column = P.Video().fps, video: Column | None = None) -> Column:
+    """STRUCT<target_duration, video_duration, ratio, retime_factor, action, freeze_pad>.
+    `video`, the summed clip length, may be given as a column computed beforehand."""
     tail = tail if isinstance(tail, Column) else F.lit(float(tail))
     rate = fps if isinstance(fps, Column) else F.lit(fps)
     target = frame_aligned(audio + tail, rate)
-    video = total(clips)
+    video = total(clips) if video is None else video
     ratio = F.when(video > 0, video / target).otherwise(F.lit(0.0))
     action = (F.when(video <= 0, F.lit("insufficient"))
               .when(F.abs(ratio - 1) < 0.005, F.lit("exact"))

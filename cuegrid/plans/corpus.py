@@ -8,7 +8,7 @@ from cuegrid import params as P
 from cuegrid.functions.rounding import round_exact
 from cuegrid.functions.scalars import text_sha
 from cuegrid.operators.scenes import plan_scenes
-from cuegrid.operators.sync import planned_clips, sync_plan
+from cuegrid.operators.sync import planned_clips, sync_plan, total
 
 ACTIONS = ("exact", "retime", "trim", "insufficient")
 
@@ -22,9 +22,9 @@ def scene_table(scripts: DataFrame, planning: P.Planning = P.Planning(), clips:
     target = F.col("estimated_duration") + audio.tail_padding
     rows = scenes.withColumn("text_sha", text_sha(F.col("text"))).withColumn(
         "clip_durations", planned_clips(source, target, allowed=clips.allowed, rule=sync))
-    empty = F.array().cast("array<double>")
-    rows = rows.withColumn("sync", sync_plan(F.col("estimated_duration"), F.coalesce("clip_durations", empty),
-                                             sync, audio.tail_padding, video.fps))
+    rows = rows.withColumn("footage", F.coalesce(total(F.col("clip_durations")), F.lit(0.0)))
+    rows = rows.withColumn("sync", sync_plan(F.col("estimated_duration"), F.col("clip_durations"), sync,
+                                             audio.tail_padding, video.fps, F.col("footage")))
     lost = F.col("clip_durations").isNull()
     return rows.withColumn("error", F.when(lost, F.concat(
         F.format_string("%.1f", round_exact(target, 1)), F.lit(f"s cannot be covered by {P.MAX_CLIPS_PER_SCENE} clips"))
@@ -34,11 +34,9 @@ def scene_table(scripts: DataFrame, planning: P.Planning = P.Planning(), clips:
 def production_plan(scripts: DataFrame, **options) -> DataFrame:
     """Per script: scenes, narration seconds, requested footage and scenes per sync action."""
     scenes = scene_table(scripts, **options)
-    footage = F.aggregate(F.coalesce("clip_durations", F.array().cast("array<double>")), F.lit(0.0),
-                          lambda a, c: a + c)
     action = F.col("sync.action")
     return scenes.groupBy("script_id").agg(
         F.count(F.lit(1)).alias("scenes"),
         round_exact(F.sum(F.rint(F.col("estimated_duration") * 1000).cast("bigint")) / 1000, 2).alias("narration_s"),
-        F.sum(footage).alias("footage_s"), F.count_if(F.col("status") == "failed").alias("uncovered"),
+        F.sum("footage").alias("footage_s"), F.count_if(F.col("status") == "failed").alias("uncovered"),
         *[F.count_if(action == a).alias(a) for a in ACTIONS])
