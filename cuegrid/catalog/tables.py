@@ -101,12 +101,14 @@ block("pblk", """
 block("pars", """
   SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY blk, j) - 1 AS paragraph,
     ps[j] AS p FROM pblk, unnest(range(1, len(ps) + 1)) r(j) WHERE ps[j] <> ''""", "pblk")
-block("pieces", f"""
-  SELECT doc_id, paragraph, list_filter(list_transform(string_split(regexp_replace(
-    regexp_replace(p, '([.!?…]+["''”’)\\]]*)({RE_SPACE}+)', '\\1' || chr(30) || '\\2', 'g'),
+def sql_split(expression: str) -> str:
+    return f"""list_filter(list_transform(string_split(regexp_replace(
+    regexp_replace({expression}, '([.!?…]+["''”’)\\]]*)({RE_SPACE}+)', '\\1' || chr(30) || '\\2', 'g'),
     '(^|{RE_SPACE})(["''(“‘]*(?:(?i:{_ABBR})|\\p{{Lu}}|(?:[a-zA-Z]\\.)+[a-zA-Z])\\.)\\x1e',
-    '\\1\\2', 'g'), chr(30)), lambda s: {sql_strip("s")}), lambda s: s <> '') AS ss
-  FROM pars""", "pars")
+    '\\1\\2', 'g'), chr(30)), lambda s: {sql_strip("s")}), lambda s: s <> '')"""
+
+
+block("pieces", f"SELECT doc_id, paragraph, {sql_split('p')} AS ss FROM pars", "pars")
 block("sents", """
   SELECT doc_id AS script_id, paragraph, ss[j] AS text,
     row_number() OVER (PARTITION BY doc_id ORDER BY paragraph, j) - 1 AS sent_ix

@@ -90,7 +90,8 @@ _LINES = """
       ELSE {'l': list_append(a.l[:-2], a.l[-1] || ' ' || x.l[1])} END).l, 1) AS k
   FROM (SELECT script_id, scene_ix, j, """ + T.sql_words("u") + """ AS ws,
       least(84::DOUBLE, length(u) / ceil(length(u) / 84) * 1.15::DOUBLE) AS room
-    FROM (SELECT script_id, scene_ix, units[j] AS u, j FROM scn, unnest(range(1, len(units) + 1)) r(j)))"""
+    FROM (SELECT script_id, scene_ix, us[j] AS u, j FROM (SELECT script_id, scene_ix, """ + T.sql_split("text") + """ AS us FROM scn),
+      unnest(range(1, len(us) + 1)) r(j)))"""
 block("cue", _LINES, "scn")
 
 
