@@ -89,10 +89,12 @@ def map_mismatch(pieces: Column, narr: Column, clip: Column, target: Column) ->
 
 
 def search_alignment(rows: DataFrame, key: str, target: str = "target",
-                     clip_len: str = "clip_len") -> DataFrame:
+                     clip_len: str = "clip_len", cands: DataFrame | None = None) -> DataFrame:
     """Best time map per scene over the same candidates the fit uses; scenes without a
     plausible one are absent."""
-    cands = candidates(keep_parallel(rows, key), F.col(clip_len)).withColumn(
+    if cands is None:
+        cands = candidates(keep_parallel(rows, key), F.col(clip_len))
+    cands = cands.withColumn(
         "map", time_map(F.col("phrases"), F.col(target), F.col(clip_len))).where("map is not null")
     cands = cands.withColumn("mismatch", map_mismatch(F.col("map.pieces"), F.col("narr"),
                                                       F.col("clip"), F.col(target)))

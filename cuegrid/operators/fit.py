@@ -311,11 +311,13 @@ def fit_plans(cands: DataFrame, narr_len: Column, clip_len: Column,
 
 
 def plan_fit(rows: DataFrame, key: str, narr_len: str = "narr_len", clip_len: str = "clip_len",
-             rule: P.Sync = P.Sync(), fps: int = 24) -> DataFrame:
+             rule: P.Sync = P.Sync(), fps: int = 24, cands: DataFrame | None = None) -> DataFrame:
     """Best plan per scene (none without speech on both sides): least disagreement, clamping
-    and freezing; then more segments; then the order of the search."""
-    plans = fit_plans(candidates(keep_parallel(rows, key), F.col(clip_len)), F.col(narr_len), F.col(clip_len),
-                      rule, fps)
+    and freezing; then more segments; then the order of the search. `cands`: the scenes'
+    candidates if they have been made already."""
+    if cands is None:
+        cands = candidates(keep_parallel(rows, key), F.col(clip_len))
+    plans = fit_plans(cands, F.col(narr_len), F.col(clip_len), rule, fps)
     cost = round_exact(F.col("mismatch") + 0.05 * F.col("clamped") + 0.5 * F.col("freeze_pad"), 3)
     order = F.struct(cost, -F.size("sel"), "sel_ix", "setting")
     body = F.struct("w0", (F.col("w0") + F.col("dur")).alias("w1"), "dur", "places", "freeze_pad",

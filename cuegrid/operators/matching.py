@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cuegrid.functions.text import bound, matching_text
 from cuegrid.operators.rows import unfold
 
-GRAM = 4
+#: Gram lengths in words. A line uses the longest that fits between its first and last word:
+#: long grams are rare, so few texts meet a line they do not contain.
+GRAM_SIZES = (8, 4, 2, 1)
 
 
 def _tokens(norm: Column) -> Column:
@@ -15,13 +17,15 @@ def _tokens(norm: Column) -> Column:
 
 
 def _line_gram(norm: Column) -> Column:
-    """STRUCT<kind, gram>: a key every text containing the line must share. Kind 1-4: that
+    """STRUCT<kind, gram>: a key every text containing the line must share. Kind 1-8: that
     many of the line's inner words (inner, because the first and last may be parts of longer
     words). Kind 0, for a line of one or two words: the first characters, up to three, of its
     longest word."""
 
     def key(t: Column) -> Column:
-        kind = F.greatest(F.lit(0), F.least(F.size(t) - 2, F.lit(GRAM)))
+        kind = F.lit(0)
+        for size in reversed(GRAM_SIZES):
+            kind = F.when(F.size(t) - 2 >= size, F.lit(size)).otherwise(kind)
         longest = F.element_at(F.array_sort(F.transform(t, lambda w: F.struct(
             F.length(w).alias("n"), w.alias("w")))), -1)["w"]
         return F.struct(kind.alias("kind"), F.when(kind > 0, F.array_join(
@@ -67,7 +71,7 @@ def containing_texts(lines: DataFrame, texts: DataFrame, line_id: str, text_id:
         F.col("_line") != "").withColumn("_g", _line_gram(F.col("_line")))
     kinds = sorted(r[0] for r in left.select("_g.kind").distinct().collect())
     right = texts.select(text_id, matching_text(F.col(text)).alias("_text"))
-    grams = unfold(right, _text_grams(F.col("_text"), kinds or [GRAM]), "_at", "_k", text_id).drop("_at")
+    grams = unfold(right, _text_grams(F.col("_text"), kinds or [1]), "_at", "_k", text_id).drop("_at")
     key = F.xxhash64("_g.kind", "_g.gram").alias("_k")
     # ids only travel through the gram join; the texts come back for the few candidates
     met = grams.join(left.select(line_id, "_line", *extra, key), "_k").drop("_k")

@@ -184,7 +184,8 @@ def _with_measured(base: DataFrame, measured: DataFrame, rule: P.Planning) -> Da
     unit = F.col("u")
     rows = unfold(base, "units", "k", "u", "script_id").withColumn(
         "text_key", text_sha(unit["text"]))
-    joined = rows.join(measured.select("text_key", "seconds"), "text_key", "left")
+    once = measured.groupBy("text_key").agg(F.min("seconds").alias("seconds"))
+    joined = rows.join(once, "text_key", "left")
     estimate = X.spoken(unit, rule.words_per_second)
     packed = F.struct("k", unit["paragraph"].alias("paragraph"), unit["text"].alias("text"),
                       unit["words"].alias("words"),

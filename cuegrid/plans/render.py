@@ -7,8 +7,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cuegrid import params as P
 from cuegrid.functions.rounding import round_exact
 from cuegrid.operators.align import search_alignment
-from cuegrid.operators.fit import plan_fit
+from cuegrid.operators.fit import candidates, plan_fit
+from cuegrid.operators.rows import keep_parallel
 from cuegrid.operators.sync import sync_plan
+from cuegrid.session import cut_lineage
 
 
 def choose_action(mode: Column, n_clips: Column, lip_voice: Column, fit: Column, align: Column,
@@ -34,11 +36,13 @@ def render_plans(scenes: DataFrame, key: str, rule: P.Sync = P.Sync(), fps: int
     base = scenes.withColumn("plain", sync_plan(F.col("audio_s"), F.col("clip_durations"), rule,
                                                 tail, fps))
     single = base.where(F.size("clip_durations") == 1).withColumn("target", F.col("plain.target_duration"))
-    fit = plan_fit(single, key, rule=rule, fps=fps).select(
+    # both searches start from the same candidates, so these are made once
+    cands = cut_lineage(candidates(keep_parallel(single, key), F.col("clip_len")))
+    fit = plan_fit(single, key, rule=rule, fps=fps, cands=cands).select(
         key, F.struct(F.col("dur"), F.col("freeze_pad"), F.col("mismatch")).alias("fit"))
     out = base.join(fit, key, "left")
     if rule.lip_align:
-        maps = search_alignment(single, key).select(key, F.struct(
+        maps = search_alignment(single, key, cands=cands).select(key, F.struct(
             (F.col("pre_hold") + F.col("post_hold")).alias("hold"), F.col("mismatch")).alias("align"))
         out = out.join(maps, key, "left")
     else:
