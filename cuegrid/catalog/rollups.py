@@ -580,9 +580,9 @@ def release_gate(spark, folder):
 
 @query("q6_review_listing", """
   SELECT scene, CASE status WHEN 'complete' THEN CASE qa WHEN 'ok' THEN '✓' WHEN 'warn' THEN '⚠' ELSE '✗' END WHEN 'failed' THEN 'x' ELSE '…' END AS mark,
-    printf('%.2f', audio_ms / 1000) || 's' AS audio FROM warned WHERE audio_ms < 60000""", "warned")
+    printf('%.2f', audio_ms / 1000) || 's' AS audio FROM warned""", "warned")
 def review_listing(spark, folder):
-    return _warned(spark, folder).where("audio_ms < 60000").select("scene", Q.review_mark(C("status"), C("qa")).alias("mark"), D.format_seconds(C("audio_ms") / 1000).alias("audio"))
+    return _warned(spark, folder).select("scene", Q.review_mark(C("status"), C("qa")).alias("mark"), D.format_seconds(C("audio_ms") / 1000).alias("audio"))
 
 
 @query("q7_request_limits", """

@@ -133,7 +133,8 @@ def _numbered_events(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "events").select(
         "event_id", "user_id", "ts", "event_type", "value",
         F.rint(F.col("value") * 100).cast("bigint").alias("cents"))
-    out = scan(rows, ["user_id"], ["ts", "event_id"], F.unix_date(F.to_date("ts")), number="rn")
+    minute = F.unix_date(F.to_date("ts")) * 1440 + F.hour("ts") * 60 + F.minute("ts")
+    out = scan(rows, ["user_id"], ["ts", "event_id"], minute, number="rn")
     return out.withColumn("rn", F.col("rn") - 1)
 
 

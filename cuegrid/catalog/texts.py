@@ -302,10 +302,10 @@ def scene_plan(spark, folder):
 
 
 @query("w1_scene_numbers", """
-  SELECT script_id, 'scene_' || lpad((scene_ix + 1)::VARCHAR, 3, '0') AS scene_id, text FROM scn
-  WHERE scene_ix < 999""", "scn")
+  SELECT script_id, 'scene_' || CASE WHEN scene_ix < 999 THEN lpad((scene_ix + 1)::VARCHAR, 3, '0')
+    ELSE (scene_ix + 1)::VARCHAR END AS scene_id, text FROM scn""", "scn")
 def scene_numbers(spark, folder):
-    return T.scenes(spark, folder).where("scene_ix < 999").select(
+    return T.scenes(spark, folder).select(
         "script_id", F.format_string("scene_%03d", C("scene_ix") + 1).alias("scene_id"), "text")
 
 

@@ -159,7 +159,7 @@ def moving_average(spark, folder):
 @query("w11_frame_difference", """
   SELECT clip_id, frame, round(avg(CASE WHEN i <= 40 THEN d END), 6) AS mouth,
     round(avg(CASE WHEN i > 40 THEN d END), 6) AS ref FROM (
-    SELECT label AS clip_id, vec_id AS frame, i, abs(v - lag(v) OVER (PARTITION BY label, i ORDER BY vec_id)) AS d
+    SELECT label AS clip_id, vec_id - 1 AS frame, i, abs(v - lag(v) OVER (PARTITION BY label, i ORDER BY vec_id)) AS d
     FROM (SELECT label, vec_id, i, embedding[i]::DOUBLE * 255 AS v FROM embeddings,
       unnest(range(1, len(embedding) + 1)) r(i))) WHERE d IS NOT NULL GROUP BY ALL""")
 def frame_difference(spark, folder):

@@ -78,11 +78,12 @@ def work_requests(scenes: DataFrame, image: Column, anchored: bool = True) -> Da
 # ------------------------------------------------------------------ signals ---------------
 def frame_difference(pixels: DataFrame, key: str = "clip_id", frames_per_chunk: int = 512) -> DataFrame:
     """pixels(key, frame, box, px, value) -> (key, frame, mouth, ref): mean absolute change
-    of each box since the frame before; the first frame has none."""
+    of each box from picture `frame` to the next one, so changes are numbered from 0 when
+    pictures are."""
     seen = scan(pixels, [key, "box", "px"], ["frame"], F.floor(F.col("frame") / frames_per_chunk),
                 lags={"_before": F.col("value")})
     change = F.abs(F.col("value") - F.col("_before"))
-    return seen.where(F.col("_before").isNotNull()).groupBy(key, "frame").agg(
+    return seen.where(F.col("_before").isNotNull()).groupBy(key, (F.col("frame") - 1).alias("frame")).agg(
         F.avg(F.when(F.col("box") == "mouth", change)).alias("mouth"),
         F.avg(F.when(F.col("box") == "ref", change)).alias("ref"))
 
@@ -97,7 +98,8 @@ def moving_average(rows: DataFrame, key: str, frame: str, value: str, out: str)
 
 
 def motion_curve(frames: DataFrame, key: str = "clip_id", fps: int = 24) -> DataFrame:
-    """frames(key, frame, mouth, ref) of per-frame change -> adds `activity` and time `t`."""
+    """frames(key, frame, mouth, ref), changes numbered from 0 -> adds `activity` and the time
+    `t` of the picture each change leads to."""
     raw = frames.withColumn("_raw", F.greatest(F.col("mouth") - 0.8 * F.col("ref"), F.lit(0.0)))
     return moving_average(raw, key, "frame", "_raw", "activity").drop("_raw").withColumn(
         "t", (F.col("frame") + 1) / F.lit(fps))
