@@ -29,6 +29,8 @@ def local_session(cores: int = 8, memory: str = "12g") -> SparkSession:
                .config("spark.sql.shuffle.partitions", str(cores))
                .config("spark.driver.memory", memory)
                .config("spark.ui.enabled", "false")
+               # building column expressions is several times faster without call sites
+               .config("spark.python.sql.dataFrameDebugging.enabled", "false")
                .config("spark.ui.showConsoleProgress", "false"))
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
