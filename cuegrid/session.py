@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,15 +43,47 @@ def local_session(cores: int = 8, memory: str = "12g") -> SparkSession:
     return spark
 
 
+def prepared(make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """A query that first fits a session somebody else has made: settings, and the code itself,
+    which Python workers on other machines have to import."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship(configure(spark))
+        return make(spark, folder)
+
+    return run
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers, once for each Spark context."""
+    context = spark.sparkContext
+    if getattr(context, "_cuegrid_sent", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="cuegrid-code-"), "cuegrid_code.zip")  # Spark's own file server hands it out
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as bundle:
+        for path in sorted(root.rglob("*.py")):
+            bundle.write(path, path.relative_to(root.parent))
+        pipeline = root.parent / "corpus_pipeline.py"
+        if pipeline.exists():
+            bundle.write(pipeline, pipeline.name)
+    context.addPyFile(str(target))
+    context._cuegrid_sent = True
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the checkpoint folder and read it back, so that later stages (and
     recomputation after a lost executor) start from the files.
 
-    On a cluster the folder is the shared one named by ``spark.checkpoint.dir``; only
-    where that setting is absent (tests) is a local folder used."""
+    The folder is the shared one that ``spark.checkpoint.dir`` names. Only a session on one machine
+    may leave that unset (tests); it then gets a folder of its own."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="cuegrid-checkpoint-"))
+        if folder is None:
+            if not re.fullmatch(r"local(\[[^-]*\])?", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="cuegrid-checkpoint-")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
