@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuegrid.llm import packing, secrets, shards
+from cuegrid.llm import packing, recompress, secrets, shards
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), path("word_bpe_49k.json"))
 
 
+def op5_recompression_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return recompress.dedup(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op6_secret_ledger(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, folder, "documents")))
 
@@ -34,5 +38,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: make for name, make in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
+#: Words, all windows as text, and the words a repeated window covers.
+OP5 = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS win FROM w, unnest(range(1, len(ws) - 48)) AS t(i) WHERE len(ws) >= 50),
+m AS (SELECT win, min(doc_id) AS source FROM s GROUP BY win),
+c AS (SELECT s.doc_id, list(DISTINCT i + k) AS gone FROM s JOIN m ON s.win = m.win AND s.doc_id > m.source, range(50) AS u(k) GROUP BY s.doc_id),
+k AS (SELECT w.doc_id, len(ws) AS n, list_filter(ws, lambda x, i: NOT list_contains(coalesce(gone, []), i)) AS stay FROM w LEFT JOIN c ON w.doc_id = c.doc_id)
+SELECT doc_id, n::BIGINT AS n_words, (n - len(stay))::BIGINT AS n_removed, sha256(array_to_string(stay, ' ')) AS kept_sha256 FROM k
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_recompression_dedup": OP5}

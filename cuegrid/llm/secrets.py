@@ -130,8 +130,10 @@ def redact(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     def cleared(texts, spans):
         import pandas as pd
 
-        return pd.Series([without(t, [(s["kind"], s["first"], s["last"]) for s in x]) for t, x in zip(texts, spans)], dtype=object)
+        return pd.Series([
+            None if x is None else without(t, [(s["kind"], s["first"], s["last"]) for s in x]) for t, x in zip(texts, spans)], dtype=object)
 
-    clean = spanned.where(F.col("spans").isNull()).drop("spans")
-    dirty = spanned.where(F.col("spans").isNotNull()).withColumn("text", cleared("text", "spans")).drop("spans")
-    return clean.unionByName(dirty).withColumn("n_chars", F.length("text").cast("long")).drop("blob")
+    dirty = F.col("spans").isNotNull()
+    text = F.coalesce(cleared(F.when(dirty, F.col("text")), "spans"), "text")  # only texts with findings go to Python
+    return (spanned.withColumn("text", text).withColumn("n_chars", F.when(dirty, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+            .drop("blob", "spans"))
