@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuegrid.llm import packing, recompress, secrets, shards
+from cuegrid.llm import dart, packing, recompress, secrets, shards
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,6 +38,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: make for name, make in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
+def op10_dart_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return dart.near_duplicates(table(spark, folder, "documents")).select("doc_id", "class_id")
+
+
+#: Shingle counts, all pairs that share a shingle, and what their links reach.
+OP10 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, array_to_string(ws[i:i + 4], ' ') AS shingle, count(*) AS n FROM w, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS t(i) WHERE len(ws) > 0 GROUP BY ALL),
+t AS (SELECT doc_id, sum(n) AS total FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.n, b.n)) AS common FROM s AS a JOIN s AS b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN t AS x ON x.doc_id = a JOIN t AS y ON y.doc_id = b WHERE 5 * common >= 4 * (x.total + y.total - common)),
+ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, ways.b FROM r JOIN ways ON ways.a = r.other)
+SELECT doc_id, min(other)::BIGINT AS class_id FROM r GROUP BY doc_id
+"""
+
 #: Words, all windows as text, and the words a repeated window covers.
 OP5 = r"""
 WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
@@ -50,4 +66,4 @@ SELECT doc_id, n::BIGINT AS n_words, (n - len(stay))::BIGINT AS n_removed, sha25
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_recompression_dedup": OP5}
+    return {"op5_recompression_dedup": OP5, "op10_dart_minhash": OP10}
