@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuegrid.llm import dart, packing, recompress, secrets, shards
+from cuegrid.llm import dart, language, packing, recompress, secrets, shards
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_crf_language(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    seen = language.predict(docs.select("doc_id", "text"), language.train(docs))
+    return seen.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "n_words", "n_switches")
+
+
 def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     from public_tokenizers import path
 
