@@ -71,13 +71,9 @@ def ship(spark: SparkSession) -> None:
     context._cuegrid_sent = True
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the checkpoint folder and read it back, so that later stages (and
-    recomputation after a lost executor) start from the files.
-
-    The folder is the shared one that ``spark.checkpoint.dir`` names. Only a session on one machine
-    may leave that unset (tests); it then gets a folder of its own."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which all executors share. Only a session on
+    one machine may leave that unset (tests); it then gets a folder of its own."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -86,4 +82,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="cuegrid-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared checkpoint folder and read it back, so that later stages (and
+    recomputation after a lost executor) start from the files."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
