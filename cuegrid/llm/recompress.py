@@ -7,13 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from cuegrid.llm.arrow_text import column, mixed, names_of_spans, signed, slices, text_bytes, word_bounds, word_names
 from cuegrid.llm.lineage import settled
 
-#: Rounds of naming pairs, after one of naming runs of words.
-ROUNDS = 7
+#: Rounds of naming pairs, after one of naming runs of words. Nine windows of ten hold a symbol of
+#: the last round that their own words settle; for the others it is one of the round before.
+ROUNDS = 8
 _FAR = np.int64(1) << 40
 #: Odd multipliers: which side a symbol takes in each round, and the two places of a pair.
 _SIDES = mixed(np.arange(64, dtype=np.uint64), 5) | np.uint64(1)
@@ -131,15 +133,18 @@ def _anchors(window: int, rounds: int):
             windows = np.flatnonzero(t.text[:n - window + 1] == t.text[window - 1:])
             if not len(windows):
                 continue
-            for level in levels(t.names, t.text, rounds):
-                pass
-            # the first symbol that a window's own words settle
-            ahead = np.maximum.accumulate(level.low)
-            at = np.minimum(np.searchsorted(ahead, windows), len(ahead) - 1)
-            known = (level.low[at] >= windows) & (level.high[at] <= windows + window)
-            key = np.empty(len(windows), np.uint64)
-            used, back = np.unique(at[known], return_inverse=True)
-            key[known] = (names_of_spans(t.names, level.low[used], level.high[used], 21) + level.name[used])[back]
+            rounds_done = list(levels(t.names, t.text, rounds))
+            key, anchor = np.zeros(len(windows), np.uint64), np.full(len(windows), -1)
+            known = np.zeros(len(windows), bool)
+            for level in rounds_done[:-3:-1]:
+                # the first symbol that a window's own words settle
+                ahead = np.maximum.accumulate(level.low)
+                at = np.minimum(np.searchsorted(ahead, windows), len(ahead) - 1)
+                fits = ~known & (level.low[at] >= windows) & (level.high[at] <= windows + window)
+                used, back = np.unique(at[fits], return_inverse=True)
+                key[fits] = (names_of_spans(t.names, level.low[used], level.high[used], 21) + level.name[used])[back]
+                anchor[fits] = level.first[at[fits]]
+                known |= fits
             rest = windows[~known]  # inside long repetitions: the window itself is the symbol
             key[~known] = names_of_spans(t.names, rest, rest + window, 22)
             # neighbouring windows with one symbol make one row
@@ -149,8 +154,8 @@ def _anchors(window: int, rounds: int):
             head = np.flatnonzero(within % _COUNT == 0)
             count = np.diff(np.r_[head, len(windows)])
             first = windows[head]
-            anchor = np.where(known[head], level.first[at[head]] - first, -1)
-            region = mixed(names_of_spans(t.names, first, first + count + window - 1, 23) + signed_to_unsigned(anchor), 24)
+            offset = np.where(known[head], anchor[head] - first, -1)
+            region = mixed(names_of_spans(t.names, first, first + count + window - 1, 23) + offset.astype(np.int64).view(np.uint64), 24)
             yield pa.record_batch({
                 "symbol": pa.array(signed(key[head])), "region": pa.array(signed(region)),
                 "doc_id": pa.array(t.doc_ids[t.text[first]]), "place": pa.array(t.places(first, count))})
@@ -158,13 +163,12 @@ def _anchors(window: int, rounds: int):
     return anchors
 
 
-def signed_to_unsigned(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.int64).view(np.uint64)
-
-
 def _windows(window: int):
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
+            batch = batch.filter(pc.is_valid(column(batch, "places")))
+            if not batch.num_rows:
+                continue
             t = Texts(batch)
             lists = column(batch, "places")
             places = lists.flatten().to_numpy().view(np.uint64)
@@ -193,7 +197,7 @@ def _kept(window: int):
                 sums.append(hashlib.sha256(texts[-1]).hexdigest())
             out = {"n_words": pa.array(totals, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(sums, pa.string()),
                    "kept": pa.array([t.decode("utf-8", "surrogatepass") for t in texts], pa.string())}
-            others = {f.name: batch.column(k) for k, f in enumerate(batch.schema) if f.name not in ("places", *out)}
+            others = {f.name: batch.column(k) for k, f in enumerate(batch.schema) if f.name not in ("places", "text_hash", "text_place", *out)}
             yield pa.record_batch(others | out)
 
     return kept
@@ -232,8 +236,8 @@ def dedup(docs: DataFrame, window: int = 50, rounds: int = ROUNDS) -> DataFrame:
     Adds n_words, n_removed, kept_sha256, kept (the words left, joined by one space); keeps other
     columns. Null or empty text: no words. A null doc_id is not smaller than any and nothing is
     removed from it. Rows with one doc_id do not affect one another. Empty tables give no rows."""
-    keyed = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("text_place", F.expr("text_hash >> 40"))
-    light = keyed.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "text_hash")
+    keyed = docs.drop(*_ADDED).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("text_place", F.expr("text_hash >> 40"))
+    light = keyed.where(F.col("doc_id").isNotNull()).select("doc_id", "text", "text_hash")
     anchors = light.mapInArrow(_anchors(window, rounds), _ANCHORS)
     shared = anchors.groupBy("symbol").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("symbol")
     repeated = settled(anchors.join(shared, "symbol"))
@@ -242,14 +246,14 @@ def dedup(docs: DataFrame, window: int = 50, rounds: int = ROUNDS) -> DataFrame:
     whole = marked.where("doc_id > source").select("doc_id", "place")
     several = regions.groupBy("symbol").agg(F.count("*").alias("n")).where("n > 1").select("symbol")
     partly = marked.where("doc_id = source").join(several, "symbol").select("doc_id", "place")
-    singles = settled(light.withColumn("text_place", F.expr("text_hash >> 40")).join(_lists(partly).hint("shuffle_hash"), ["doc_id", "text_place"])
-                      .mapInArrow(_windows(window), _WINDOWS))
+    # both passes over the texts join the same rows, all columns alike, so that texts are shuffled once
+    texts = lambda places: keyed.join(_lists(places).hint("shuffle_hash"), ["doc_id", "text_place"], "left")
+    singles = texts(partly).mapInArrow(_windows(window), _WINDOWS)
     origins = singles.groupBy("window", "check").agg(F.min("doc_id").alias("source"))
     single = singles.join(origins, ["window", "check"]).where("doc_id > source").select("doc_id", "place")
-    places = _lists(whole.unionByName(single))
-    joined = keyed.join(places.hint("shuffle_hash"), ["doc_id", "text_place"], "left").drop("text_hash", "text_place")
-    others = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in _ADDED)
-    return joined.drop(*_ADDED).mapInArrow(_kept(window), f"{others}, n_words long, n_removed long, kept_sha256 string, kept string")
+    joined = texts(whole.unionByName(single))
+    others = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema if f.name not in ("text_hash", "text_place"))
+    return joined.mapInArrow(_kept(window), f"{others}, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 _ADDED = ("n_words", "n_removed", "kept_sha256", "kept")
