@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuegrid.llm import blockmax, dart, forest, language, packing, recompress, secrets, shards
+from cuegrid.llm import blockmax, dart, forest, language, lineblocks, packing, recompress, secrets, shards
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op6_secret_ledger(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(secrets.find_secrets(table(spark, folder, "documents")))
 
 
+def op7_line_block_text(spark: SparkSession, folder: str) -> DataFrame:
+    return lineblocks.extract(table(spark, folder, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op8_byte_shards(spark: SparkSession, folder: str) -> DataFrame:
     from pyspark.sql import functions as F
 
