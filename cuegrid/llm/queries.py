@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuegrid.llm import blockmax, dart, forest, language, lineblocks, packing, recompress, secrets, shards
+from cuegrid.llm import blockmax, dart, forest, language, lineblocks, packing, recompress, secrets, shards, transducer
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -71,6 +71,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: make for name, make in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
+def op9_piece_transducer(spark: SparkSession, folder: str) -> DataFrame:
+    from public_tokenizers import path
+
+    return transducer.digest(table(spark, folder, "documents"), path("piece_bpe_32k.model"))
+
+
 def op10_dart_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return dart.near_duplicates(table(spark, folder, "documents")).select("doc_id", "class_id")
 
