@@ -18,7 +18,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 25, 4
 
 _FACTORS = mixed(np.arange(16, dtype=np.uint64), 31) | np.uint64(1)
-_SIGNED = "doc_id long, text_hash long, print_a long, print_b long, bands array<long>"
+_SIGNED = "doc_id long, text_hash long, print_a long, print_b long, total long, bands array<long>"
 
 
 def weighted_shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,6 +129,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             prints.append(pa.array(signed(sums[edge[1:]] - sums[edge[:-1]])))
         lists = pa.ListArray.from_arrays(np.arange(0, BANDS * n + 1, BANDS, dtype=np.int32), pa.array(signed(bands.reshape(-1))))
         yield pa.record_batch({"doc_id": column(batch, "doc_id"), "text_hash": column(batch, "text_hash"), "print_a": prints[0], "print_b": prints[1],
+                               "total": pa.array(np.bincount(owner, weight, minlength=n).astype(np.int64)),
                                "bands": lists}).filter(pa.array(filled))
 
 
@@ -155,6 +156,19 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"a": column(batch, "a"), "b": column(batch, "b")}).filter(pa.array(close))
 
 
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        owner, shingle, weight = weighted_shingles(column(batch, "text"))
+        yield pa.record_batch({"shingle": pa.array(signed(shingle)), "node": column(batch, "doc_id").take(pa.array(owner)), "weight": pa.array(weight.astype(np.int64))})
+
+
+def own_weight(texts: DataFrame) -> DataFrame:
+    """(node, own): how much of a node's weight lies on shingles that no other of these texts has."""
+    rows = texts.mapInArrow(_shingles, "shingle long, node long, weight long")
+    lone = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("z"), F.sum("weight").alias("weight")).where("node = z")
+    return lone.groupBy("node").agg(F.sum("weight").alias("own"))
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough."""
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
@@ -187,45 +201,71 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     A text is the multiset of its five-word shingles; two are linked if the weighted Jaccard
     similarity is 0.8 or more, and a class is all that links connect. Texts with one multiset are
     one node from the start (its smallest doc_id), so copies are never paired. Nodes that share a
-    band of DartMinHash values are candidates. In each band bucket all meet the smallest node, and
-    links are verified on whole texts. Where a bucket then still holds several classes, every pair
-    across classes is verified as well; pairs within a class could not change it. So no link
-    between candidates is lost, and a bucket of copies costs its size, not its square.
+    band of DartMinHash values are candidates; links are verified on whole texts.
+
+    A bucket of many near copies must not give all its pairs. First all its nodes meet its smallest
+    node. Where several classes are left, they meet the node with the least weight of its own (on
+    shingles that no other text in open buckets has), which stands in the middle of its copies.
+    Where even then several classes are left, every pair across classes is verified unless own
+    weights rule it out: two texts share at most the lesser of what is not their own. Pairs within a
+    class could not change it. So no link between candidates is lost, and a bucket of near copies
+    costs about its size.
 
     Texts without words (null, empty, white space) are alone. A null doc_id has a null class. Rows
-    that share a doc_id are one document. Extra columns are ignored."""
+    that share a doc_id are one document. Extra columns are ignored; empty tables give no rows."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     known = keyed.where(F.col("doc_id").isNotNull())
     signs = settled(known.mapInArrow(_sign, _SIGNED))
     groups = signs.groupBy("print_a", "print_b").agg(F.min("doc_id").alias("node"))
-    member = settled(signs.select("doc_id", "text_hash", "print_a", "print_b").join(groups, ["print_a", "print_b"]))
-    chosen = member.where("doc_id = node").select("doc_id", "text_hash")
-    bands = signs.join(chosen, ["doc_id", "text_hash"], "left_semi").select(F.col("doc_id").alias("node"), F.explode("bands").alias("band"))
+    member = settled(signs.select("doc_id", "text_hash", "print_a", "print_b", "total").join(groups, ["print_a", "print_b"])
+                     .select("doc_id", "text_hash", "total", "node"))
+    # one text for each node: the row whose shingles the node stands for
+    chosen = member.where("doc_id = node").groupBy("doc_id").agg(F.min(F.struct("text_hash", "total")).alias("one")).select("doc_id", "one.*")
+    bands = signs.join(chosen.select("doc_id", "text_hash"), ["doc_id", "text_hash"], "left_semi").select(
+        F.col("doc_id").alias("node"), F.explode(F.array_distinct("bands")).alias("band"))
     firsts = bands.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("band", "a")
-    buckets = settled(bands.join(firsts, "band").select("band", "a", F.col("node").alias("b")))
-    met = buckets.where("a < b").select("a", "b").distinct()
-    involved = buckets.select(F.col("b").alias("doc_id")).distinct()
-    # one text per node: the row whose shingles the node stands for
-    one = chosen.join(involved, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
-    texts = known.join(one.hint("shuffle_hash"), ["doc_id", "text_hash"], "left_semi").select("doc_id", "text")
-    texts = settled(texts)
-    star = settled(verified(met, texts))
+    buckets = settled(bands.join(firsts, "band").select("band", "a", "node").dropDuplicates(["band", "node"]))
+    met = settled(buckets.where("a < node").select("a", F.col("node").alias("b")).distinct())
+    involved = chosen.join(buckets.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = settled(known.join(involved.hint("shuffle_hash"), ["doc_id", "text_hash"], "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]))
     # a document whose rows have several texts is one node to begin with
-    same = member.where("doc_id <> node").join(member.where("doc_id = node").select("doc_id").distinct(), "doc_id", "left_semi").select(
-        F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    links = settled(star.unionByName(same).distinct())
+    same = member.where("doc_id <> node").join(chosen.select("doc_id"), "doc_id", "left_semi").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+    links = settled(verified(met, texts).unionByName(same).distinct())
     labels = components(links)
-    labelled = settled(buckets.select("band", F.col("b").alias("node")).join(labels, "node", "left").select(
-        "band", "node", F.coalesce("label", "node").alias("label")))
-    apart = labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("band")
-    open_rows = labelled.join(apart, "band")
-    across = open_rows.alias("l").join(open_rows.alias("r"), "band").where("l.label < r.label").select(
-        F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct().join(met, ["a", "b"], "left_anti")
-    later = settled(verified(across, texts))
-    if not later.isEmpty():
-        links = settled(links.unionByName(later))
+
+    still = settled(_several(buckets.select("band", "node"), labels))
+    if not still.isEmpty():
+        nodes = still.select(F.col("node").alias("doc_id")).distinct()
+        own = own_weight(texts.join(nodes, "doc_id", "left_semi"))
+        stats = settled(involved.join(nodes, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "total").join(own, "node", "left")
+                        .select("node", "total", F.coalesce("own", F.lit(0)).alias("own")))
+        still = still.join(stats, "node")
+        middle = still.groupBy("band").agg(F.min(F.struct(F.col("own") / F.col("total"), "node", "label")).alias("m")).select(
+            "band", F.col("m.node").alias("hub"), F.col("m.label").alias("hub_label"))
+        more = settled(_ordered(still.join(middle, "band").where("label <> hub_label").select("hub", "node")).join(met, ["a", "b"], "left_anti"))
+        links = settled(links.unionByName(verified(more, texts)))
         labels = components(links)
+        still = settled(_several(still.select("band", "node", "total", "own"), labels).where("5 * (total - own) >= 4 * total"))
+        across = still.alias("l").join(still.alias("r"), "band").where(
+            (F.col("l.label") < F.col("r.label")) & (9 * F.least(F.expr("l.total - l.own"), F.expr("r.total - r.own")) >= 4 * F.expr("l.total + r.total")))
+        across = _ordered(across.select(F.col("l.node").alias("x"), F.col("r.node").alias("y")))
+        last = settled(verified(across.join(met.unionByName(more), ["a", "b"], "left_anti"), texts))
+        if not last.isEmpty():
+            labels = components(settled(links.unionByName(last)))
     classed = member.select("doc_id", "text_hash", "node").distinct().join(labels, "node", "left").select(
         "doc_id", "text_hash", F.coalesce("label", "node").alias("class_id"))
     return keyed.select("doc_id", "text_hash").join(classed, ["doc_id", "text_hash"], "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "text_hash")
+
+
+def _several(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of buckets whose nodes are of several classes, with their labels."""
+    labelled = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    apart = labelled.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("band")
+    return labelled.join(apart, "band")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) with a < b."""
+    x, y = pairs.columns
+    return pairs.select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
