@@ -9,10 +9,38 @@ from collections.abc import Callable
 from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cuegrid.llm import packing, secrets
+from cuegrid.llm import dart, language, packing, recompress, secrets
 
 #: Columns that every stage but the last returns.
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+#: A document goes if its main language has a smaller share of it than this.
+LEAST_SHARE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one language: those without letters go, and those that no language has half of.
+    The model learns from what is labelled among these documents."""
+    seen = language.predict(docs, language.train(docs))
+    return seen.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(*DOCUMENT)
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates, that with the smallest doc_id; repeated rows are
+    one. A null doc_id is in no class and stays."""
+    first = (dart.near_duplicates(docs).where("doc_id = class_id").groupBy("doc_id").agg(F.min("text_hash").alias("text_hash")))
+    keyed = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = keyed.join(first.hint("shuffle_hash"), ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    return kept.unionByName(keyed.where(F.col("doc_id").isNull())).select(*DOCUMENT)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages of 50 words that a smaller doc_id has; a text that loses nothing stays
+    as it is, one that loses every word goes."""
+    seen = recompress.dedup(docs)
+    cut = F.col("n_removed") > 0
+    return seen.where(~cut | (F.col("n_removed") < F.col("n_words"))).select(
+        "doc_id", F.when(cut, F.col("kept")).otherwise(F.col("text")).alias("text"), "lang", "source",
+        F.when(cut, F.length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,6 +54,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id), ("minhash_near_dedup", minhash_near_dedup), ("substring_dedup", substring_dedup),
     ("secret_scan", secret_scan), ("best_fit_packing", best_fit_packing)]
 
 #: Labelling words and cutting texts into tokens are beyond SQL.
