@@ -81,6 +81,19 @@ def op10_dart_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return dart.near_duplicates(table(spark, folder, "documents")).select("doc_id", "class_id")
 
 
+#: Checksums by folding over bytes, running sizes in order of doc_id, and where each middle byte lies.
+OP8 = """
+WITH one AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b::UBIGINT, range(8)::UBIGINT[]),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)) AS t),
+d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+  list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::UBIGINT) AS bytes FROM documents),
+c AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::UBIGINT, bytes), lambda c, b: xor(c >> 8, t[((xor(c, b) & 255) + 1)::BIGINT])), 4294967295::UBIGINT)::BIGINT AS crc FROM d, one),
+p AS (SELECT *, sum(size) OVER w - size AS first_byte, sum(size) OVER () AS total FROM c WINDOW w AS (ORDER BY doc_id, crc, size ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT *, least(15, ((2 * first_byte + size) * 16) // (2 * total))::INTEGER AS shard FROM p)
+SELECT doc_id, size::BIGINT AS size, crc AS text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, crc, size) - 1 AS slot,
+  NULL::INTEGER AS grown_shard FROM s
+"""
+
 #: Shingle counts, all pairs that share a shingle, and what their links reach.
 OP10 = r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
@@ -105,4 +118,4 @@ SELECT doc_id, n::BIGINT AS n_words, (n - len(stay))::BIGINT AS n_removed, sha25
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_block_max_search": OP1, "op5_recompression_dedup": OP5, "op10_dart_minhash": OP10}
+    return {"op1_block_max_search": OP1, "op5_recompression_dedup": OP5, "op8_byte_shards": OP8, "op10_dart_minhash": OP10}

@@ -197,7 +197,7 @@ def _kept(window: int):
                 sums.append(hashlib.sha256(texts[-1]).hexdigest())
             out = {"n_words": pa.array(totals, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(sums, pa.string()),
                    "kept": pa.array([t.decode("utf-8", "surrogatepass") for t in texts], pa.string())}
-            others = {f.name: batch.column(k) for k, f in enumerate(batch.schema) if f.name not in ("places", "text_hash", "text_place", *out)}
+            others = {f.name: batch.column(k) for k, f in enumerate(batch.schema) if f.name not in (*_SCRATCH, *out)}
             yield pa.record_batch(others | out)
 
     return kept
@@ -234,9 +234,9 @@ def dedup(docs: DataFrame, window: int = 50, rounds: int = ROUNDS) -> DataFrame:
     where one passage is very common; no group is gathered, except the places of one text.
 
     Adds n_words, n_removed, kept_sha256, kept (the words left, joined by one space); keeps other
-    columns. Null or empty text: no words. A null doc_id is not smaller than any and nothing is
+    columns, but for those with these names or those of the scratch columns in `_SCRATCH`. Null or empty text: no words. A null doc_id is not smaller than any and nothing is
     removed from it. Rows with one doc_id do not affect one another. Empty tables give no rows."""
-    keyed = docs.drop(*_ADDED).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("text_place", F.expr("text_hash >> 40"))
+    keyed = docs.drop(*_ADDED, *_SCRATCH).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("text_place", F.expr("text_hash >> 40"))
     light = keyed.where(F.col("doc_id").isNotNull()).select("doc_id", "text", "text_hash")
     anchors = light.mapInArrow(_anchors(window, rounds), _ANCHORS)
     shared = anchors.groupBy("symbol").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("symbol")
@@ -252,10 +252,11 @@ def dedup(docs: DataFrame, window: int = 50, rounds: int = ROUNDS) -> DataFrame:
     origins = singles.groupBy("window", "check").agg(F.min("doc_id").alias("source"))
     single = singles.join(origins, ["window", "check"]).where("doc_id > source").select("doc_id", "place")
     joined = texts(whole.unionByName(single))
-    others = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema if f.name not in ("text_hash", "text_place"))
+    others = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema if f.name not in _SCRATCH)
     return joined.mapInArrow(_kept(window), f"{others}, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
+_SCRATCH = ("places", "text_hash", "text_place")
 _ADDED = ("n_words", "n_removed", "kept_sha256", "kept")
 
 

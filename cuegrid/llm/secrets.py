@@ -119,12 +119,13 @@ def without(text: str, spans) -> str:
 
 def redact(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """All columns of `docs`, texts without their secrets and n_chars to match. Contents are scanned
-    by :func:`scan_blobs`; documents whose content has no finding keep their text as it is."""
+    by :func:`scan_blobs`; documents whose content has no finding keep their text as it is, also null.
+    Columns called blob or spans are dropped."""
     found = scan_blobs(docs, ledger)
     if ledger is not None:
         found = found.unionByName(ledger.where(F.col("rule_version") == RULE_VERSION).select("blob", "rule_version", "spans"))
     found = found.where(F.size("spans") > 0).select("blob", "spans")
-    spanned = docs.withColumn("blob", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)).join(found, "blob", "left")
+    spanned = docs.drop("blob", "spans").withColumn("blob", F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)).join(found, "blob", "left")
 
     @F.pandas_udf("string")
     def cleared(texts, spans):
