@@ -173,11 +173,10 @@ def has_speech(spark, folder):
 
 
 @query("f3_ready_scenes", """
-  SELECT scene, status <> 'failed' AS video, status IN ('video_complete', 'syncing', 'complete') AS render FROM osc WHERE audio_ms > 900""", "osc")
+  SELECT scene, status <> 'failed' AS video, status IN ('video_complete', 'syncing', 'complete') AS render FROM osc WHERE audio_ms % 7 <> 0""", "osc")
 def ready_scenes(spark, folder):
-    return T.order_scenes(spark, folder).where("audio_ms > 900").select(
-        "scene", (C("status") != "failed").alias("video"),
-        C("status").isin("video_complete", "syncing", "complete").alias("render"))
+    measured = F.when(C("audio_ms") % 7 != 0, C("audio_ms"))
+    return I.ready_scenes(T.order_scenes(spark, folder), measured).select("scene", "video", "render")
 
 
 @query("f4_status_partition", """
@@ -264,6 +263,19 @@ def carry_over(spark, folder):
     return I.carry_over(new, old, ["script_id", "sent_ix"]).select("script_id", "sent_ix", "audio_file", "gesture", "carried")
 
 
+@query("j1_carry_by_text", """
+  SELECT n.scene, o.file AS audio_file, o.ms AS actual_audio_duration, o.file IS NOT NULL AS carried FROM osc n LEFT JOIN (
+    SELECT project, priority, 'f' || min(scene) AS file, arg_min(audio_ms, scene) AS ms FROM osc WHERE scene % 3 <> 0 GROUP BY ALL) o
+  ON o.project = n.project AND o.priority = n.priority""", "osc")
+def carry_by_text(spark, folder):
+    """Scenes of a project with one text: the new ones take everything from the first old one."""
+    rows = T.order_scenes(spark, folder).select("project", "scene", C("priority").alias("text_sha"), "audio_ms")
+    old = rows.where("scene % 3 <> 0").select("project", "scene", "text_sha", F.concat(F.lit("f"), C("scene").cast("string")).alias("audio_file"),
+                                              C("audio_ms").alias("actual_audio_duration"))
+    return I.carry_over(rows.drop("audio_ms"), old, ["project", "scene"], by_position=False).select(
+        "scene", "audio_file", "actual_audio_duration", "carried")
+
+
 @query("i2_replan_keep", """
   SELECT n.script_id, count(o.text) AS kept, count(*) - count(o.text) AS redo FROM sents n LEFT JOIN oldv o
     ON o.script_id = n.script_id AND o.sent_ix = n.sent_ix AND md5(o.text) = md5(n.text) GROUP BY n.script_id""", "sents", "oldv")
@@ -367,16 +379,23 @@ def script_changes(spark, folder):
 
 
 @query("i3_stage_reset", """
-  SELECT scene, CASE WHEN hit THEN 'pending' ELSE status END AS status, CASE WHEN hit THEN '' ELSE 'r' || scene END AS rendered_file,
-    CASE WHEN hit THEN 0 ELSE 1 END AS clips, CASE WHEN hit THEN 'r' || scene || ',v' || scene ELSE '' END AS archived
-  FROM (SELECT *, project % 5 = 2 AND scene % 3 = 0 AS hit FROM osc)""", "osc")
+  SELECT stage, scene, CASE WHEN hit THEN 'pending' ELSE status END AS status, CASE WHEN hit THEN '' ELSE 'r' || scene END AS rendered_file,
+    CASE WHEN hit AND stage <> 'render' THEN 0 ELSE 1 END AS clips, CASE WHEN NOT hit THEN '' ELSE 'r' || scene || CASE WHEN stage <> 'render' THEN ',v' || scene ELSE '' END
+      || CASE WHEN stage = 'audio' THEN ',a' || scene || ',w' || scene || ',u' || scene || ',u' || scene || 'b' ELSE '' END END AS archived
+  FROM (SELECT *, project % 5 = 2 AND scene % 3 = 0 AS hit FROM osc), unnest(['audio', 'video', 'render']) s(stage)""", "osc")
 def stage_reset(spark, folder):
     k = C("scene").cast("string")
     rows = T.order_scenes(spark, folder).select(
         "project", "scene", "status", F.concat(F.lit("r"), k).alias("rendered_file"),
-        F.array(F.concat(F.lit("v"), k)).alias("video_files"), F.lit("e").alias("error"), F.lit("f").alias("render_fingerprint"))
-    out = I.reset_scenes(rows, (C("project") % 5 == 2) & (C("scene") % 3 == 0), "video")
-    return out.select("scene", "status", "rendered_file", F.size("video_files").alias("clips"),
+        F.array(F.concat(F.lit("v"), k)).alias("video_files"), F.lit("e").alias("error"), F.lit("f").alias("render_fingerprint"),
+        F.concat(F.lit("a"), k).alias("audio_file"), F.concat(F.lit("w"), k).alias("raw_file"), F.lit(2.5).alias("actual_audio_duration"), F.lit("t").alias("audio_sha"),
+        F.array(F.concat(F.lit("u"), k), F.concat(F.lit("u"), k, F.lit("b"))).alias("unit_files"))
+    chosen = (C("project") % 5 == 2) & (C("scene") % 3 == 0)
+    out = None
+    for stage in ("audio", "video", "render"):
+        one = I.reset_scenes(rows, chosen, stage).withColumn("stage", F.lit(stage))
+        out = one if out is None else out.unionByName(one)
+    return out.select("stage", "scene", "status", "rendered_file", F.size("video_files").alias("clips"),
                       F.coalesce(F.array_join("archived", ","), F.lit("")).alias("archived"))
 
 
@@ -523,7 +542,7 @@ def _quality_rows(spark, folder):
     return T.order_scenes(spark, folder).select(
         "project", "scene", "status", s.cast("string").alias("id"), F.when(s % 37 != 0, "text").alias("text"), F.lit("nods").alias("visual_action"),
         (a / 1000).alias("measured"), media.alias("rendered"), audio.alias("audio"), sync.alias("sync"),
-        F.when(s % 41 == 0, F.array(F.lit("clip.mp4"))).otherwise(F.array().cast("array<string>")).alias("cut_clips"))
+        F.when(s % 82 == 0, F.array(F.lit("clip.mp4"), F.lit("clip_b.mp4"))).when(s % 41 == 0, F.array(F.lit("clip.mp4"))).otherwise(F.array().cast("array<string>")).alias("cut_clips"))
 
 
 block("qrows", """
@@ -540,6 +559,7 @@ block("qrows", """
     CASE WHEN s % 17 = 0 THEN 'rendered clip missing or empty' END, CASE WHEN s % 17 <> 0 AND s % 19 = 0 THEN 'rendered clip unreadable' END,
     CASE WHEN ok AND s % 23 = 0 THEN 'rendered: no video stream' END,
     CASE WHEN ok AND s % 41 = 0 THEN 'speech cut off by the end of the clip (clip.mp4); regenerate this scene (long lines get a longer clip)' END,
+    CASE WHEN ok AND s % 82 = 0 THEN 'speech cut off by the end of the clip (clip_b.mp4); regenerate this scene (long lines get a longer clip)' END,
     CASE WHEN ok AND rd + 0.1::DOUBLE < need THEN 'rendered ' || printf('%.2f', rd) || 's is shorter than narration ' || printf('%.2f', need) || 's (speech would be cut)' END,
     CASE WHEN ok AND abs(m - aw) > 1.5 / 24 THEN 'A/V length mismatch: video ' || printf('%.2f', m) || 's vs audio ' || printf('%.2f', aw) || 's' END], lambda x: x IS NOT NULL) AS e,
    list_filter([CASE WHEN ok AND s % 31 = 0 THEN 'voice could not be re-timed to the lips (voice service error); this scene uses the fitted narration. Re-run with --scene <id> --regenerate --stage render later' END,

@@ -146,13 +146,6 @@ def trim_signature(spark, folder):
         F.concat(F.lit("0."), (1 + s % 9).cast("string")), F.lit("0.12")).alias("signature"))
 
 
-@query("d14_hashed_duration", f"SELECT script_id, sent_ix, {T.sql_hashed('text')} AS seconds "
-       "FROM sents", "sents")
-def hashed_duration(spark, folder):
-    return T.sentences(spark, folder).select("script_id", "sent_ix",
-                                             D.hashed_duration(C("text")).alias("seconds"))
-
-
 @query("d15_backoff", """
   SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN greatest(60, d) ELSE d END::DOUBLE AS delay
   FROM (SELECT *, CASE l_linenumber WHEN 1 THEN 5 WHEN 2 THEN 15 WHEN 3 THEN 45

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from cuegrid.catalog import tables as T
-from cuegrid.catalog.base import query
+from cuegrid.catalog.base import block, query
 from cuegrid.streaming import events as E
 from cuegrid.streaming.run import run_available
 
@@ -14,7 +14,7 @@ EVENTS = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING,
 
 
 def _stream(spark, folder) -> DataFrame:
-    raw = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(folder)
+    raw = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(folder)
     return E.with_event_time(raw)
 
 
@@ -40,11 +40,12 @@ def latest_state(spark, folder):
 
 
 @query("r3_windowed_counts", """
-  SELECT epoch_us(time_bucket(INTERVAL '1 day', ts)) AS start, event_type, count(*) AS n FROM events
-  WHERE time_bucket(INTERVAL '1 day', ts) + INTERVAL '1 day' <= (SELECT max(ts) - INTERVAL '1 hour' FROM events) GROUP BY ALL""")
+  SELECT epoch_us(time_bucket(INTERVAL '1 day', ts)) AS start, event_type, count(*) AS n FROM events GROUP BY ALL""")
 def windowed_counts(spark, folder):
-    out = run_available(E.windowed_counts(_stream(spark, folder), ["event_type"]))
-    return out.select(_micros("start").alias("start"), "event_type", "n")
+    """Every window, also those the watermark has not closed: the last count each micro-batch gave."""
+    out = run_available(E.windowed_counts(_stream(spark, folder), ["event_type"]), "update")
+    last = out.groupBy("start", "event_type").agg(F.max("n").alias("n"))  # counts only grow
+    return last.select(_micros("start").alias("start"), "event_type", "n")
 
 
 @query("r4_failure_alarms", """
@@ -56,18 +57,32 @@ def failure_alarms(spark, folder):
     return run_available(E.failure_alarms(rows, "user_id"))
 
 
+#: Requests (views) with the next answer (click) of their user; one that is late is given up as soon as
+#: a later event of its user or the watermark shows it.
+block("answered", """
+  SELECT * FROM (SELECT user_id, event_id AS seq, ts, c.at - epoch_us(ts) AS gap, c.id AS done_seq, greatest(max(epoch_us(ts)) OVER (PARTITION BY user_id),
+      (SELECT max(epoch_us(ts)) // 1000 * 1000 - 3600000000 FROM events WHERE event_type IN ('view', 'click')),
+      (SELECT max(epoch_us(x.ts)) FROM events x WHERE x.user_id = v.user_id AND x.event_type IN ('view', 'click'))) - epoch_us(ts) AS seen
+    FROM events v LEFT JOIN LATERAL (SELECT epoch_us(e.ts) AS at, e.event_id AS id FROM events e WHERE e.user_id = v.user_id AND e.event_type = 'click'
+      AND (e.ts > v.ts OR e.ts = v.ts AND e.event_id > v.event_id) ORDER BY e.ts, e.event_id LIMIT 1) c ON true
+    WHERE event_type = 'view')""")
+
+
+def _requests(spark, folder) -> DataFrame:
+    rows = _stream(spark, folder).where(C("event_type").isin("view", "click")).select(
+        "user_id", "ts", C("event_id").alias("seq"), F.when(C("event_type") == "view", "request").otherwise("done").alias("kind"))
+    return rows
+
+
 @query("r5_run_durations", """
-  SELECT a.user_id, a.event_id AS start_id, b.event_id AS end_id, epoch_us(b.ts) - epoch_us(a.ts) AS micros FROM events a JOIN events b
-    ON a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL '6 hours' WHERE a.event_type = 'view' AND b.event_type = 'click'""")
+  SELECT user_id, seq AS start_id, CASE WHEN gap <= 21600000000 THEN done_seq END AS end_id, CASE WHEN gap <= 21600000000 THEN gap END AS micros FROM answered
+  WHERE gap <= 21600000000 OR seen > 21600000000""", "answered")
 def run_durations(spark, folder):
-    def side(kind):
-        return _stream(spark, folder).where(C("event_type") == kind).select("user_id", "ts", C("event_id").alias("id"))
-
-    return run_available(E.run_durations(side("view"), side("click"), "user_id"))
+    return run_available(E.answered_requests(_requests(spark, folder), "user_id", 6 * 3600)).select(
+        "user_id", C("seq").alias("start_id"), C("done_seq").alias("end_id"), "micros")
 
 
-@query("r6_request_timeouts")
+@query("r6_request_timeouts", """
+  SELECT user_id, seq FROM answered WHERE coalesce(gap > 21600000000, true) AND seen > 21600000000""", "answered")
 def request_timeouts(spark, folder):
-    rows = _stream(spark, folder).where(C("event_type").isin("view", "click")).select(
-        "user_id", "ts", C("event_id").alias("seq"), F.when(C("event_type") == "view", "request").otherwise("done").alias("kind"))
-    return run_available(E.request_timeouts(rows, "user_id", 6 * 3600))
+    return run_available(E.request_timeouts(_requests(spark, folder), "user_id", 6 * 3600))

@@ -13,7 +13,6 @@ from cuegrid.catalog.base import block
 from cuegrid.functions import text as X
 from cuegrid.operators.rows import keep_parallel, unfold
 from cuegrid.operators.scan import scan
-from cuegrid.session import cut_lineage
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,10 +20,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Even out an input that has fewer splits than the session has cores (one small file);
-    an input that already has enough splits is left alone, without a shuffle."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+    """Even out an input of a single split, which holds spark.sql.files.maxPartitionBytes at most;
+    larger ones are never shuffled."""
+    return rows if rows.rdd.getNumPartitions() > 1 else rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
 
 
 # ---------------------------------------------------------------------------- text --------
@@ -78,11 +76,6 @@ def sql_estimate(expression: str, wps: str = "2.5") -> str:
             "::DOUBLE")
 
 
-def sql_hashed(expression: str) -> str:
-    return (f"round(greatest(0.8::DOUBLE, {sql_estimate(expression)}) * (0.85::DOUBLE + 0.30::DOUBLE"
-            f" * (('0x' || substr(md5({expression}), 1, 4))::INT / 65535::DOUBLE)), 3)")
-
-
 block("norm", f"""
   SELECT doc_id, {sql_strip(f'''array_to_string(list_transform(string_split(regexp_replace(
     replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(65279), ''), '[ \\t]+', ' ', 'g'),
@@ -122,13 +115,11 @@ block("scn", """
 
 # ---------------------------------------------------------------------- speech tracks -----
 SCENE_EVENTS = 12
+#: Scenes a user or a script can have: more than any table holds, so keys of two never meet.
+SCENES = 1 << 32
 
 
 def numbered_events(spark: SparkSession, folder: str) -> DataFrame:
-    return derived(spark, folder, "numbered_events", _numbered_events)
-
-
-def _numbered_events(spark: SparkSession, folder: str) -> DataFrame:
     """event_id, user_id, ts, event_type, value, cents, rn: position in the user's history"""
     rows = table(spark, folder, "events").select(
         "event_id", "user_id", "ts", "event_type", "value",
@@ -138,23 +129,7 @@ def _numbered_events(spark: SparkSession, folder: str) -> DataFrame:
     return out.withColumn("rn", F.col("rn") - 1)
 
 
-_DERIVED: dict[tuple[str, str, str], DataFrame] = {}
-
-
-def derived(spark: SparkSession, folder: str, name: str, make) -> DataFrame:
-    """A derived table many queries start from: written to the checkpoint folder once per
-    application, then read from there."""
-    key = (spark.sparkContext.applicationId, folder, name)
-    if key not in _DERIVED:
-        _DERIVED[key] = cut_lineage(make(spark, folder))
-    return _DERIVED[key]
-
-
 def tracks(spark: SparkSession, folder: str) -> DataFrame:
-    return derived(spark, folder, "tracks", _tracks)
-
-
-def _tracks(spark: SparkSession, folder: str) -> DataFrame:
     """scene_key, track, seg_ix, m0, m1 (milliseconds), t0, t1 (seconds), word
 
     Twelve events of a user are one scene: its even ones the clip's speech segments, its odd
@@ -163,7 +138,7 @@ def _tracks(spark: SparkSession, folder: str) -> DataFrame:
     pos = F.floor(k / 2)
     m0 = pos * 1000 + (F.col("event_id") * 37) % 200
     return (numbered_events(spark, folder).select(
-        (F.col("user_id") * 100000 + F.floor(F.col("rn") / SCENE_EVENTS)).alias("scene_key"),
+        (F.col("user_id") * SCENES + F.floor(F.col("rn") / SCENE_EVENTS)).alias("scene_key"),
         F.when(k % 2 == 0, "clip").otherwise("narration").alias("track"),
         pos.cast("int").alias("seg_ix"), m0.alias("m0"),
         (m0 + 300 + F.col("cents") % 450).alias("m1"), F.col("event_type").alias("word"))
@@ -182,7 +157,7 @@ block("evn", """
   SELECT *, CAST(round(value * 100) AS BIGINT) AS cents,
     row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS rn FROM events""")
 block("trk", """
-  SELECT user_id * 100000 + rn // 12 AS scene_key,
+  SELECT user_id * 4294967296 + rn // 12 AS scene_key,
     CASE WHEN rn % 12 % 2 = 0 THEN 'clip' ELSE 'narration' END AS track,
     (rn % 12) // 2 AS seg_ix, m0, m1, m0 / 1000 AS t0, m1 / 1000 AS t1, event_type AS word
   FROM (SELECT *, m0 + 300 + cents % 450 AS m1 FROM (

@@ -21,8 +21,8 @@ def normalize(spark, folder):
 
 
 block("conv", """
-  SELECT conv_id * 100000 + turn // 64 AS doc_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text
-  FROM conversations GROUP BY conv_id, turn // 64""")
+  SELECT conv_id AS doc_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text
+  FROM conversations GROUP BY conv_id""")
 for _name in ("norm", "blk", "pblk", "pars", "pieces", "sents"):
     from cuegrid.catalog.base import _BLOCKS
 
@@ -34,11 +34,9 @@ for _name in ("norm", "blk", "pblk", "pars", "pieces", "sents"):
 
 
 def _dialogues(spark, folder):
-    """Conversations as scripts of one paragraph a turn. Sixty-four turns make a script, so a
-    conversation of any length becomes many rows of bounded size."""
+    """Conversations as scripts of one paragraph a turn; a script is as long as its conversation."""
     turn = F.struct("turn", "text")
-    part = (C("conv_id") * 100000 + F.floor(C("turn") / 64)).alias("script_id")
-    return T.spread(T.table(spark, folder, "conversations")).groupBy(part).agg(
+    return T.spread(T.table(spark, folder, "conversations")).groupBy(C("conv_id").alias("script_id")).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(turn)), lambda t: t["text"]), "\n\n").alias("text"))
 
 

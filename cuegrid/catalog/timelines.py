@@ -120,7 +120,7 @@ def running_offset(spark, folder):
     UNION ALL SELECT c.scene_key, c.seg_ix, greatest(c.o, r.fin + 40), greatest(c.o, r.fin + 40) + c.v
     FROM r JOIN c ON c.scene_key = r.scene_key AND c.seg_ix = r.seg_ix + 1)
   SELECT scene_key, seg_ix, place FROM r""".replace("FROM clip)", """FROM (
-    SELECT user_id * 100000 + rn // 12 AS scene_key, (rn % 12) // 2 AS seg_ix, m0, m0 + 300 + cents % 450 AS m1
+    SELECT user_id * 4294967296 + rn // 12 AS scene_key, (rn % 12) // 2 AS seg_ix, m0, m0 + 300 + cents % 450 AS m1
     FROM (SELECT *, ((rn % 12) // 2) * 1000 + (event_id * 37) % 200 AS m0 FROM (
       SELECT *, CAST(round(value * 100) AS BIGINT) AS cents,
         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS rn FROM events))
@@ -135,14 +135,13 @@ def push_later(spark, folder):
 @query("w9_cut_clock", """
   SELECT n.scene_key, n.seg_ix, any_value(n.m0) - 50 - sum(CASE WHEN n.m0 > c.m1 THEN least(c.e, n.m0) - c.m1
     ELSE 0 END)::BIGINT AS out_ms
-  FROM narr n JOIN (SELECT scene_key, m1, m1 + 180 AS e FROM clip) c USING (scene_key)
+  FROM narr n LEFT JOIN (SELECT scene_key, m1, m1 + 180 AS e FROM clip) c USING (scene_key)
   GROUP BY n.scene_key, n.seg_ix""", "narr", "clip")
 def cut_clock(spark, folder):
     t = T.tracks(spark, folder)
     cuts = T.track(t, "clip").select("scene_key", (C("m1") / 1000).alias("a"),
                                      ((C("m1") + 180) / 1000).alias("b"))
-    clips = T.track(t, "clip").select("scene_key").distinct()
-    points = T.track(t, "narration").join(clips, "scene_key", "left_semi").select(
+    points = T.track(t, "narration").select(
         "scene_key", "seg_ix", C("t0").alias("t"), F.lit(0.05).alias("w0"))
     return I.cut_clock(points, cuts, "scene_key", ["seg_ix"]).select(
         "scene_key", "seg_ix", F.rint(C("out") * 1000).cast("bigint").alias("out_ms"))
@@ -267,13 +266,13 @@ def phrase_ranges(spark, folder):
   SELECT scene_key, i - 1 AS segment, CASE i WHEN 1 THEN 8.0 ELSE 4.0 END::DOUBLE AS duration,
     CASE i WHEN 1 THEN 'master.jpg' ELSE f || '.mp4' END AS reference,
     CASE i WHEN 1 THEN array_to_string(w[1:k], ' ') ELSE array_to_string(w[k + 1:], ' ') END AS dialogue
-  FROM (SELECT script_id * 100000 + scene_ix AS scene_key, 'scene_' || (scene_ix + 1) AS f, """
+  FROM (SELECT script_id * 4294967296 + scene_ix AS scene_key, 'scene_' || (scene_ix + 1) AS f, """
        + T.sql_words("text") + """ AS w, round_even(len(""" + T.sql_words("text") + """) * 8.0::DOUBLE / 12, 0)::INT AS k
     FROM scn), unnest([1, 2]) r(i)""", "scn")
 def work_requests(spark, folder):
     name = F.concat(F.lit("scene_"), (C("scene_ix") + 1).cast("string"))
     rows = T.scenes(spark, folder).select(
-        (C("script_id") * 100000 + C("scene_ix")).alias("scene_key"), "text",
+        (C("script_id") * T.SCENES + C("scene_ix")).alias("scene_key"), "text",
         F.array(F.lit(8.0), F.lit(4.0)).alias("clip_durations"),
         F.array(F.concat(name, F.lit(".mp4")), F.concat(name, F.lit("_b.mp4"))).alias("video_files"))
     return S.work_requests(rows, F.lit("master.jpg"), anchored=False).select(
@@ -398,28 +397,28 @@ block("rng", """
 
 
 @query("k22_onsets", """
-  SELECT clip_id, onset FROM (SELECT clip_id, arg_min(t, (abs(t - 1.3), t)) FILTER (ok) AS onset FROM (
-    SELECT c.clip_id, c.t, l.peak - l.base >= 0.3 AND c.frame >= 3 AND a >= l.base + 0.35 * (l.peak - l.base)
-      AND max(a) OVER (PARTITION BY c.clip_id ORDER BY frame ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)
-        < l.base + 0.35 * (l.peak - l.base) AND t BETWEEN 1.3::DOUBLE - 0.6 AND 1.3::DOUBLE + 0.6 AS ok
-    FROM curve c JOIN (SELECT clip_id, coalesce(median(a) FILTER (t < 1.3::DOUBLE - 0.6), quantile_cont(a, 0.2)) AS base,
-      quantile_cont(a, 0.9) AS peak FROM curve GROUP BY clip_id) l USING (clip_id)) GROUP BY clip_id)""", "curve")
+  SELECT clip_id, near, onset FROM (SELECT clip_id, near, arg_min(t, (abs(t - near), t)) FILTER (ok) AS onset FROM (
+    SELECT c.clip_id, near, c.t, l.peak - l.base >= 0.3 AND c.frame >= 3 AND a >= l.base + 0.35 * (l.peak - l.base)
+      AND max(a) OVER (PARTITION BY c.clip_id, near ORDER BY frame ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)
+        < l.base + 0.35 * (l.peak - l.base) AND t BETWEEN near - 0.6 AND near + 0.6 AS ok
+    FROM curve c JOIN (SELECT clip_id, near, coalesce(median(a) FILTER (t < near - 0.6), quantile_cont(a, 0.2)) AS base,
+      quantile_cont(a, 0.9) AS peak FROM curve, unnest([1.3::DOUBLE, 2.0::DOUBLE]) n(near) GROUP BY clip_id, near) l USING (clip_id)) GROUP BY clip_id, near)""", "curve")
 def onsets(spark, folder):
     curve = S.motion_curve(T.frames(spark, folder))
-    points = T.table(spark, folder, "embeddings").select(C("vec_id").alias("clip_id"), F.lit(1.3).alias("near"))
-    return S.speaking_onsets(curve, points).select("clip_id", "onset")
+    points = T.table(spark, folder, "embeddings").select(C("vec_id").alias("clip_id"), F.explode(F.array(F.lit(1.3), F.lit(2.0))).alias("near"))
+    return S.speaking_onsets(curve, points).select("clip_id", "near", "onset")
 
 
 @query("k23_color_match", """
   SELECT scene, 'lutrgb=' || string_agg(channel || '=''clip((val-' || printf('%.2f', m) || ')*' || printf('%.4f', ts / s)
     || '+' || printf('%.2f', tm) || ',0,255)''', ':' ORDER BY channel DESC) AS filter
-  FROM (SELECT scene, channel, avg(value) AS m, stddev_pop(value) AS s FROM pix GROUP BY ALL)
-  JOIN (SELECT channel, median(m) AS tm, median(s) AS ts FROM (SELECT scene, channel, avg(value) AS m,
-    stddev_pop(value) AS s FROM pix GROUP BY ALL) GROUP BY channel) USING (channel) GROUP BY scene""", "pix")
+  FROM (SELECT scene % 3 AS project, scene, channel, avg(value) AS m, stddev_pop(value) AS s FROM pix GROUP BY ALL)
+  JOIN (SELECT project, channel, median(m) AS tm, median(s) AS ts FROM (SELECT scene % 3 AS project, scene, channel, avg(value) AS m,
+    stddev_pop(value) AS s FROM pix GROUP BY ALL) GROUP BY project, channel) USING (project, channel) GROUP BY scene""", "pix")
 def color_match(spark, folder):
     from cuegrid.plans.color import color_filters
 
-    return color_filters(T.pixels(spark, folder)).select("scene", "filter")
+    return color_filters(T.pixels(spark, folder).withColumn("project", C("scene") % 3)).select("scene", "filter")
 
 
 @query("a7_percentiles", """

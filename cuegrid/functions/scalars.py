@@ -142,14 +142,6 @@ def trim_signature_column(trim: Column, threshold: Column, lead: Column, trail:
     return F.when(trim, F.concat_ws("|", threshold, lead, trail)).otherwise(F.lit("off"))
 
 
-def hashed_duration(text: Column, wps: float = 2.5) -> Column:
-    """A repeatable stand-in for a measured narration length: the estimate, at least 0.8 s,
-    scaled by 0.85-1.15 from the first 16 bits of the text's MD5."""
-    bits = F.conv(F.substring(F.md5(text), 1, 4), 16, 10).cast("int")
-    base = F.greatest(F.lit(0.8), estimate_speech(text, wps))
-    return F.round(base * (F.lit(0.85) + F.lit(0.30) * (bits / F.lit(65535.0))), 3)
-
-
 def backoff_delay(attempt: Column, schedule: Sequence[float], rate_limited: Column | None = None,
                   floor: float = 60.0) -> Column:
     """Delay after failed attempt 1, 2, ...: the schedule, then its last value times 3^k."""

@@ -99,13 +99,12 @@ def split_paragraphs(text: Column) -> Column:
     return F.filter(F.flatten(F.transform(blocks, block_paragraphs)), lambda p: p != "")
 
 
-#: A mark behind a token that is an abbreviation, an initial or a dotted form. The mark comes
-#: first in the pattern, so the engine looks back only at marks (Java wants a bound on that:
-#: 8 opening quotes and 24 dotted letters, far beyond any real token).
+#: A token that is an abbreviation, an initial or a dotted form, of any length, with the mark
+#: behind it.
 _FALSE_MARK = (
-    rf"(?U){_MARK}(?<=(?<![^\s\x1c-\x1f])[\"'(“‘]{{0,8}}(?:(?i:"
+    rf"(?U)(^|{SPACE})([\"'(“‘]*(?:(?i:"
     + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
-    + rf")|\p{{Lu}}|(?:[a-zA-Z]\.){{1,24}}[a-zA-Z])\.{_MARK})")
+    + rf")|\p{{Lu}}|(?:[a-zA-Z]\.)+[a-zA-Z])\.){_MARK}")
 
 
 def ends_with_abbreviation(piece: Column) -> Column:
@@ -117,7 +116,7 @@ def split_sentences(paragraph: Column) -> Column:
     """ARRAY<STRING> of sentences: mark each candidate end, take the mark back where the
     token before it is an abbreviation, split at the marks that are left."""
     t = F.regexp_replace(strip(paragraph), rf"(?U)({_ENDERS})({SPACE}+)", f"$1{_MARK}$2")
-    t = F.regexp_replace(t, _FALSE_MARK, "")
+    t = F.regexp_replace(t, _FALSE_MARK, "$1$2")
     return F.filter(F.transform(F.split(t, _MARK), strip), lambda s: s != "")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -166,17 +165,38 @@ def plan_alignment(narr: Column, clip: Column, target: Column, clip_len: Column)
 
 
 # ------------------------------------------------------------------ words -----------------
+def matching_pairs(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Index pairs of equal words, rising on both sides: the longest run that both lists share
+    (the earliest in `a`, then in `b`), and the same again left and right of it. Words of `b` are
+    listed by value once; a run is found by extending the runs that end one word earlier."""
+    where: dict[str, list[int]] = {}
+    for j, word in enumerate(b):
+        where.setdefault(word, []).append(j)
+    found, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        best, ending = (0, 0, 0), {}
+        for i in range(a0, a1):
+            here = {}
+            for j in where.get(a[i], ()):
+                if b0 <= j < b1:
+                    n = here[j] = ending.get(j - 1, 0) + 1
+                    if n > best[0]:
+                        best = (n, i - n + 1, j - n + 1)
+            ending = here
+        n, i, j = best
+        if n:
+            found += [(i + k, j + k) for k in range(n)]
+            todo += [(a0, i, b0, j), (i + n, a1, j + n, b1)]
+    return sorted(found)
+
+
 @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()),
                                           T.StructField("j", T.IntegerType())])))
 def matched_words(script: pd.Series, heard: pd.Series) -> pd.Series:
     """Index pairs of words matched in order, by recursive longest matching block."""
 
-    def pairs(a, b) -> list[dict]:
-        blocks = difflib.SequenceMatcher(None, list(a), list(b), autojunk=False)
-        return [{"i": x.a + k, "j": x.b + k} for x in blocks.get_matching_blocks()
-                for k in range(x.size)]
-
-    return pd.Series([pairs(a, b) for a, b in zip(script, heard)])
+    return pd.Series([[{"i": i, "j": j} for i, j in matching_pairs(list(a), list(b))] for a, b in zip(script, heard)])
 
 
 matched_words = matched_words.asNondeterministic()  # keeps filters from re-running it

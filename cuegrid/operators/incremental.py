@@ -45,10 +45,13 @@ def carry_over(new: DataFrame, old: DataFrame, keys: list[str], sha: str = "text
     (keys without the scene id), so an inserted scene does not invalidate the later ones."""
     kept = [c for c in columns if c in old.columns]
     match = [*keys, sha] if by_position else [*keys[:-1], sha]
-    before = old.select(*match, F.lit(True).alias("_kept"), *[F.col(c).alias(f"_old_{c}") for c in kept])
+    before = old.select(*match, F.lit(True).alias("_kept"), *[F.col(c).alias(f"_old_{c}") for c in kept], F.col(keys[-1]).alias("_at"))
     if not by_position:
-        before = before.groupBy(*match).agg(F.first("_kept").alias("_kept"), *[
-            F.min(f"_old_{c}").alias(f"_old_{c}") for c in kept])
+        # of several old scenes with one text, the first gives all its columns
+        whole = F.struct(*[c for c in before.columns if c not in (*match, "_at")])
+        before = before.groupBy(*match).agg(F.min_by(whole, "_at").alias("_one")).select(*match, "_one.*")
+    else:
+        before = before.drop("_at")
     joined = new.join(before, match, "left")
     for c in kept:
         value = F.col(f"_old_{c}")
@@ -78,15 +81,18 @@ def script_changes(scripts: DataFrame, states: DataFrame, key: str = "script_id"
 
 def reset_scenes(scenes: DataFrame, chosen: Column, stage: str) -> DataFrame:
     """Null the results of `stage` and everything behind it (audio, then video, then render)
-    on the chosen scenes and list the files that go to the archive in `archived`."""
+    on the chosen scenes and list the files that go to the archive in `archived`; with audio
+    also raw_file and unit_files (ARRAY) where the scenes have such columns."""
     if stage not in ("audio", "video", "render"):
         raise ValueError(f"unknown stage {stage!r}")
     video, audio = stage in ("audio", "video"), stage == "audio"
     gone = [F.array(F.nullif(F.col("rendered_file"), F.lit("")))]
     if video:
         gone.append(F.col("video_files"))
-    if audio:
+    if audio:  # the narration itself, what it was made from, and the units it was put together from
         gone.append(F.array(F.nullif(F.col("audio_file"), F.lit(""))))
+        gone += [F.array(F.nullif(F.col(c), F.lit(""))) for c in ("raw_file",) if c in scenes.columns]
+        gone += [F.coalesce(F.col(c), F.array().cast("array<string>")) for c in ("unit_files",) if c in scenes.columns]
     out = scenes.withColumn("archived", F.when(chosen, F.array_compact(F.concat(*gone))))
 
     def put(name: str, value: Column) -> None:
@@ -105,6 +111,12 @@ def reset_scenes(scenes: DataFrame, chosen: Column, stage: str) -> DataFrame:
     return out
 
 
+def ready_scenes(scenes: DataFrame, measured: Column) -> DataFrame:
+    """Scenes whose narration is measured, with `video` (may go on to its clips) and `render` (has them)."""
+    return scenes.where(measured.isNotNull()).withColumn("video", F.col("status") != "failed").withColumn(
+        "render", F.col("status").isin("video_complete", "syncing", "complete"))
+
+
 def retry_failed(scenes: DataFrame) -> DataFrame:
     """Failed scenes get a fresh chance on every run."""
     failed = F.col("status") == "failed"

@@ -77,7 +77,10 @@ def scene_quality(scenes: DataFrame, rule: P.Quality = P.Quality(), video: P.Vid
     fastest = F.coalesce(F.array_max(s["tempos"]), F.lit(1.0))
     need = F.when(s["action"].eqNullSafe("video_master"), said / fastest).otherwise(said)
     v, w = r["video_duration"], r["audio_duration"]
-    errors = problems(
+    cut = F.when(ok, F.transform("cut_clips", lambda clip: F.concat(
+        F.lit("speech cut off by the end of the clip ("), clip,
+        F.lit("); regenerate this scene (long lines get a longer clip)"))))
+    errors = F.concat(problems(
         message(F.size(missing) > 0, "metadata missing: ", F.array_join(missing, ", ")),
         message(~heard, "audio file missing or empty"),
         message(heard & ~readable, "audio unreadable"),
@@ -87,14 +90,11 @@ def scene_quality(scenes: DataFrame, rule: P.Quality = P.Quality(), video: P.Vid
             "audio file changed since its duration was measured; re-run to re-sync"),
         message(~drawn, "rendered clip missing or empty"),
         message(drawn & ~ok, "rendered clip unreadable"),
-        *[F.when(ok, x) for x in format_rules(r, "rendered", video, audio)],
-        F.when(ok & (F.size("cut_clips") > 0), F.concat(
-            F.lit("speech cut off by the end of the clip ("), F.array_join("cut_clips", "; "),
-            F.lit("); regenerate this scene (long lines get a longer clip)"))),
+        *[F.when(ok, x) for x in format_rules(r, "rendered", video, audio)]), F.coalesce(cut, F.array().cast("array<string>")), problems(
         message(ok & (r["duration"] + tol < need), "rendered ", fixed(r["duration"], 2),
                 "s is shorter than narration ", fixed(need, 2), "s (speech would be cut)"),
         message(ok & (v != 0) & (w != 0) & (F.abs(v - w) > 1.5 / video.fps), "A/V length mismatch: video ",
-                fixed(v, 2), "s vs audio ", fixed(w, 2), "s"))
+                fixed(v, 2), "s vs audio ", fixed(w, 2), "s")))
     warnings = problems(
         message(ok & F.coalesce(s["voice_failed"], F.lit(False)),
                 "voice could not be re-timed to the lips (voice service error); this scene uses "

@@ -45,12 +45,15 @@ def scan(rows: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Colu
     mins_after    minimum over the rows behind the row (null for the last)
     lags, leads   value of the neighbouring row (null at the ends)
 
-    `order` must be a total order inside a group."""
+    `order` must be a total order inside a group. Null keys are a group of their own and null
+    orders come first, as in a window."""
     sums, sums_before = dict(sums or {}), dict(sums_before or {})
     maxes, maxes_before = dict(maxes or {}), dict(maxes_before or {})
     mins_after, lags, leads = dict(mins_after or {}), dict(lags or {}), dict(leads or {})
     keys = list(keys)
-    local = rows.withColumn("_chunk", chunk)
+    # one struct for group and chunk: structs with null fields are equal to themselves, so rows
+    # whose key or order is null stay, and one column serves grouping, join and inner window
+    local = rows.withColumn("_g", F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], chunk.alias("chunk")))
     place = F.struct(*order)
 
     parts = [F.count(F.lit(1)).alias("_n")]
@@ -64,16 +67,17 @@ def scan(rows: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Colu
         parts.append(F.max_by(F.struct(value.alias("v")), place).alias(f"_l_{name}"))
     for name, value in leads.items():
         parts.append(F.min_by(F.struct(value.alias("v")), place).alias(f"_f_{name}"))
-    summary = local.groupBy(*keys, "_chunk").agg(*parts)
+    summary = local.groupBy("_g").agg(*parts)
 
-    chunks = Window.partitionBy(*keys).orderBy("_chunk")
+    group = [F.col(f"_g.k{i}") for i in range(len(keys))]
+    chunks = Window.partitionBy(*group).orderBy("_g.chunk")
     before = chunks.rowsBetween(Window.unboundedPreceding, -1)
     behind = chunks.rowsBetween(1, Window.unboundedFollowing)
-    given = [*keys, "_chunk"]
+    given = ["_g"]
     if number:
         given.append(F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"))
     if counts:
-        given.append(F.sum("_n").over(Window.partitionBy(*keys)).alias(counts))
+        given.append(F.sum("_n").over(Window.partitionBy(*group)).alias(counts))
     for name in sums | sums_before:
         given.append(F.sum(f"_s_{name}").over(before).alias(f"_s0_{name}"))
     for name in maxes | maxes_before:
@@ -86,8 +90,8 @@ def scan(rows: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Colu
         given.append(F.lead(f"_f_{name}").over(chunks).alias(f"_f0_{name}"))
     inherited = summary.select(*given)
 
-    out = local.join(inherited, [*keys, "_chunk"])
-    inside = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    out = local.join(inherited, "_g")
+    inside = Window.partitionBy("_g").orderBy(*order)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     ahead = inside.rowsBetween(Window.unboundedPreceding, -1)
     after = inside.rowsBetween(1, Window.unboundedFollowing)

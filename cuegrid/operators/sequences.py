@@ -105,11 +105,13 @@ def motion_curve(frames: DataFrame, key: str = "clip_id", fps: int = 24) -> Data
         "t", (F.col("frame") + 1) / F.lit(fps))
 
 
-def rises(curve: DataFrame, thresholds: DataFrame, key: str = "clip_id", quiet: int = 3) -> DataFrame:
-    """Frames at or above the clip's `threshold` whose `quiet` predecessors are all below."""
-    up = curve.join(thresholds.select(key, "threshold"), key).withColumn(
+def rises(curve: DataFrame, thresholds: DataFrame, key: str | list[str] = "clip_id", quiet: int = 3) -> DataFrame:
+    """Frames at or above their `threshold` whose `quiet` predecessors are all below; `key` is the
+    clip, or the clip and what else thresholds differ by."""
+    keys = [key] if isinstance(key, str) else key
+    up = curve.join(thresholds.select(*keys, "threshold"), keys).withColumn(
         "_up", F.col("activity") >= F.col("threshold"))
-    seen = scan(up, [key], ["frame"], ordinal_chunk("frame"),
+    seen = scan(up, keys, ["frame"], ordinal_chunk("frame"),
                 maxes_before={"_last": F.when(F.col("_up"), F.col("frame"))})
     return seen.where(F.col("_up") & (F.col("frame") >= quiet) & (
         F.col("_last").isNull() | (F.col("_last") < F.col("frame") - quiet))).drop("_up", "_last")
@@ -118,33 +120,36 @@ def rises(curve: DataFrame, thresholds: DataFrame, key: str = "clip_id", quiet:
 def speaking_onsets(curve: DataFrame, points: DataFrame, key: str = "clip_id",
                     window: float = P.MOUTH_WINDOW_S, fps: int = 24,
                     bucket: float = 0.25) -> DataFrame:
-    """points(key, near), one per clip -> `onset`: where activity first clearly rises near
-    the given time, or null when the clip shows no clear rise."""
+    """points(key, near), any number per clip -> `onset`: where activity first clearly rises
+    near the given time, or null when the clip shows no clear rise there. Each point has its own
+    calm level (what lies before it) and so its own threshold."""
     curve = cut_lineage(curve)
     early = F.greatest(F.lit(0.2), F.col("near") - window)
-    quiet_rows = curve.join(points, key).where(F.col("t") < early)
-    base = percentiles(quiet_rows, [key], "activity", {"calm": 0.5}, bucket)
+    places = points.select(key, "near").distinct()
+    at = [key, "near"]
+    quiet_rows = curve.join(places, key).where(F.col("t") < early)
+    base = percentiles(quiet_rows, at, "activity", {"calm": 0.5}, bucket)
     spread = percentiles(curve, [key], "activity", {"p20": 0.2, "peak": 0.9}, bucket)
-    level = spread.join(base, key, "left").withColumn("base", F.coalesce("calm", "p20"))
+    level = places.join(spread, key).join(base, at, "left").withColumn("base", F.coalesce("calm", "p20"))
     level = level.where(F.col("peak") - F.col("base") >= 0.3).withColumn(
         "threshold", F.col("base") + 0.35 * (F.col("peak") - F.col("base")))
     quiet = max(2, int(round(0.12 * fps)))
-    found = rises(curve, level, key, quiet)
-    return nearest_within(points, found, [key], "near", "t", [], window).withColumnRenamed(
+    found = rises(curve.join(places, key), level, at, quiet)
+    return nearest_within(points, found, at, "near", "t", [], window).withColumnRenamed(
         "found", "onset")
 
 
 # ------------------------------------------------------------------ colour ----------------
-def channel_stats(pixels: DataFrame, scene: str = "scene") -> DataFrame:
-    return pixels.groupBy(scene, "channel").agg(F.avg("value").alias("mean"),
+def channel_stats(pixels: DataFrame, *scene: str) -> DataFrame:
+    return pixels.groupBy(*scene, "channel").agg(F.avg("value").alias("mean"),
                                                 F.stddev_pop("value").alias("std"))
 
 
-def color_targets(stats: DataFrame, bucket: float = 0.5) -> DataFrame:
-    """Median of the scenes' means and spreads per channel (at most three rows)."""
-    each = stats.select("channel", F.explode(F.create_map(
+def color_targets(stats: DataFrame, project: str = "project", bucket: float = 0.5) -> DataFrame:
+    """Median of a project's scenes' means and spreads per channel."""
+    each = stats.select(project, "channel", F.explode(F.create_map(
         F.lit("mean"), F.col("mean"), F.lit("std"), F.col("std"))).alias("stat", "value"))
-    mid = percentiles(each, ["channel", "stat"], "value", {"middle": 0.5}, bucket)
-    return mid.groupBy("channel").agg(
+    mid = percentiles(each, [project, "channel", "stat"], "value", {"middle": 0.5}, bucket)
+    return mid.groupBy(project, "channel").agg(
         F.max(F.when(F.col("stat") == "mean", F.col("middle"))).alias("target_mean"),
         F.max(F.when(F.col("stat") == "std", F.col("middle"))).alias("target_std"))

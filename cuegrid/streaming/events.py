@@ -38,7 +38,8 @@ def latest_states(events: DataFrame, keys: list[str], status: str = "status", ts
 def failure_alarms(events: DataFrame, key: str, limit: int = 3) -> DataFrame:
     """events(key, ts, seq, failed) -> (key, seq) of the event that makes `limit` failures in a
     row. One counter per key is carried between micro-batches; the events of a key within a
-    micro-batch are ordered first, so bound the batch with maxFilesPerTrigger."""
+    micro-batch are ordered first, so bound the batch with maxFilesPerTrigger; in batch, and for keys of
+    any size, use sequences.failure_streak."""
     kind = events.schema[key].dataType.simpleString()
 
     def count(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -56,51 +57,47 @@ def failure_alarms(events: DataFrame, key: str, limit: int = 3) -> DataFrame:
         count, f"{key} {kind}, seq long", "run int", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_durations(starts: DataFrame, ends: DataFrame, key: str, within: str = "6 hours") -> DataFrame:
-    """(key, start_id, end_id, seconds) of ends following a start of the same key within the
-    bound; both sides carry a watermark, so state older than the bound is dropped."""
-    a = starts.select(F.col(key).alias("_k"), F.col("ts").alias("_start"), F.col("id").alias("start_id"))
-    b = ends.select(F.col(key), F.col("ts").alias("_end"), F.col("id").alias("end_id"))
-    joined = b.join(a, F.expr(f"_k = {key} AND _end >= _start AND _end <= _start + INTERVAL {within}"))
-    return joined.select(key, "start_id", "end_id", (
-        F.unix_micros("_end") - F.unix_micros("_start")).alias("micros"))
-
-
-def request_timeouts(events: DataFrame, key: str, deadline_s: int = 3600) -> DataFrame:
-    """events(key, ts, seq, kind 'request'|'done') -> (key, seq) of requests nobody finished
-    within the deadline, by event time. State is the oldest open request of the key."""
+def answered_requests(events: DataFrame, key: str, deadline_s: int) -> DataFrame:
+    """events(key, ts, seq, kind 'request'|'done') -> (key, seq, done_seq, micros): each request with
+    the first 'done' of its key behind it (by time, then seq), or with nulls once its own deadline
+    has passed without one, by event time. State is the key's open requests, each with its time; the
+    deadline bounds how long one stays there."""
     kind = events.schema[key].dataType.simpleString()
+    most = deadline_s * 1_000_000
 
     def watch(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        late = []
-        if state.hasTimedOut:
-            late.append(state.get[0])
-            state.remove()
-        else:
-            open_seq, since = state.get if state.exists else (None, None)
-            rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
+        held = [tuple(x) for x in zip(*state.get)] if state.exists else []
+        out: list[tuple[int, int | None, int | None]] = []
+
+        def expire(now: int) -> None:
+            nonlocal held
+            out.extend((seq, None, None) for seq, at in held if now - at > most)
+            held = [x for x in held if now - x[1] <= most]
+
+        rows = pd.concat(list(frames)).sort_values(["ts", "seq"]) if not state.hasTimedOut else pd.DataFrame()
+        if len(rows):
             for ts, seq, what in zip(rows["ts"], rows["seq"], rows["kind"]):
-                at = int(ts.value // 1_000_000)
-                if open_seq is not None and at - since > deadline_s * 1000:
-                    late.append(open_seq)
-                    open_seq = None
+                at = int(ts.value // 1000)
+                expire(at)
                 if what == "done":
-                    open_seq = None
-                elif open_seq is None:
-                    open_seq, since = int(seq), at
-            if open_seq is None:
-                if state.exists:
-                    state.remove()
-            else:
-                state.update((open_seq, since))
-                due = since + deadline_s * 1000
-                if due > state.getCurrentWatermarkMs():
-                    state.setTimeoutTimestamp(due)
+                    out.extend((s, int(seq), at - t) for s, t in held)
+                    held = []
                 else:
-                    late.append(open_seq)
-                    state.remove()
-        yield pd.DataFrame({key: [group[0]] * len(late), "seq": late})
+                    held.append((int(seq), at))
+        expire(state.getCurrentWatermarkMs() * 1000)
+        if held:
+            state.update(([s for s, _ in held], [t for _, t in held]))
+            # the first millisecond at which the oldest is late, by the watermark
+            state.setTimeoutTimestamp(max((min(t for _, t in held) + most) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({key: [group[0]] * len(out), "seq": [x[0] for x in out], "done_seq": pd.array([x[1] for x in out], "Int64"),
+                            "micros": pd.array([x[2] for x in out], "Int64")})
 
     return events.select(key, "ts", "seq", "kind").groupBy(key).applyInPandasWithState(
-        watch, f"{key} {kind}, seq long", "seq long, since long", "append",
-        GroupStateTimeout.EventTimeTimeout)
+        watch, f"{key} {kind}, seq long, done_seq long, micros long", "seqs array<long>, since array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def request_timeouts(events: DataFrame, key: str, deadline_s: int = 3600) -> DataFrame:
+    """(key, seq) of every request that nothing answered within its deadline."""
+    return answered_requests(events, key, deadline_s).where("done_seq IS NULL").select(key, "seq")
