@@ -285,18 +285,18 @@ def scene_grouping(spark, folder):
 
 @query("k2_scene_plan", """
   SELECT doc_id AS script_id, len(regexp_extract_all(text, '[A-Za-z0-9À-ɏ'']+')) AS words, 'welcome' AS first_gesture,
-    0 AS repeats, true AS numbered FROM documents WHERE len(regexp_extract_all(text, '[A-Za-z0-9À-ɏ'']+')) > 0""")
+    0 AS repeats, true AS numbered FROM documents WHERE doc_id IN (SELECT script_id FROM sents)""", "sents")
 def scene_plan(spark, folder):
     plan = SC.plan_scenes(T.scripts(spark, folder), template=F.lit(TEMPLATE), patterns=CORPUS_PATTERNS)
     from cuegrid.operators.scan import scan
 
-    seen = scan(plan, ["script_id"], ["scene_ix"], F.floor(C("scene_ix") / 4096), number="rn",
+    seen = scan(plan, ["script_id"], ["scene_ix"], F.floor(C("scene_ix") / 16), number="rn",
                 lags={"before": C("gesture")})
     return seen.groupBy("script_id").agg(
         F.sum(F.regexp_count("text", F.lit("[A-Za-z0-9À-ɏ']+"))).alias("words"),
         F.min_by("gesture", "scene_ix").alias("first_gesture"),
         F.count_if(C("gesture") == C("before")).alias("repeats"),
-        F.bool_and(F.col("scene_id") == F.format_string("scene_%03d", "rn")).alias("numbered")).where("words > 0")
+        F.bool_and(F.col("scene_id") == F.format_string("scene_%03d", "rn")).alias("numbered"))
 
 
 @query("w1_scene_numbers", """

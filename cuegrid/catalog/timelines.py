@@ -12,6 +12,9 @@ from cuegrid.operators import intervals as I, sequences as S
 from cuegrid.operators.scan import scan
 
 C = F.col
+#: Chunks far smaller than a scene (seconds) or a project (order numbers), so that what chunks hand on
+#: to one another is checked here too.
+SMALL_S, SMALL_ORDERS = 3.0, 256
 
 block("sil", "SELECT scene_key AS clip_id, t0 + 0.2 AS s, t1 + 0.4 AS e FROM clip", "clip")
 block("lens", "SELECT scene_key, 6.0::DOUBLE + scene_key % 5 * 0.5 AS clip_len FROM "
@@ -58,7 +61,7 @@ def speech_from_silence(spark, folder):
                                     (C("t1") + 0.4).alias("e"))
     clips = t.select(C("scene_key").alias("clip_id")).distinct().withColumn(
         "duration", T.clip_seconds(C("clip_id")))
-    return I.complement(sil, clips)
+    return I.complement(sil, clips, chunk_s=SMALL_S)
 
 
 block("isl", """
@@ -69,7 +72,7 @@ block("isl", """
 
 @query("w3_utterance_islands", "SELECT scene_key, seg_ix, island::BIGINT AS island FROM isl", "isl")
 def utterance_islands(spark, folder):
-    return I.islands(_clip(spark, folder), "scene_key", 0.5).select("scene_key", "seg_ix", "island")
+    return I.islands(_clip(spark, folder), "scene_key", 0.5, chunk_s=SMALL_S).select("scene_key", "seg_ix", "island")
 
 
 @query("w4_merge_overlaps", """
@@ -81,7 +84,7 @@ def utterance_islands(spark, folder):
   HAVING max(t1) - min(t0) >= 0.05""", "trk")
 def merge_overlaps(spark, folder):
     rows = T.tracks(spark, folder).withColumn("t1", C("t1") + 0.3)
-    return I.merge_overlaps(rows, "scene_key")
+    return I.merge_overlaps(rows, "scene_key", chunk_s=SMALL_S)
 
 
 @query("w5_long_gaps", """
@@ -89,7 +92,7 @@ def merge_overlaps(spark, folder):
     SELECT *, lead(t0) OVER (PARTITION BY scene_key ORDER BY t0) AS n FROM clip)
   WHERE n - t1 > 0.45::DOUBLE""", "clip")
 def long_gaps(spark, folder):
-    return I.long_gaps(_clip(spark, folder), "scene_key", 0.45, 0.4)
+    return I.long_gaps(_clip(spark, folder), "scene_key", 0.45, 0.4, chunk_s=SMALL_S)
 
 
 @query("w6_monotone", """
@@ -110,7 +113,7 @@ def monotone(spark, folder):
 def running_offset(spark, folder):
     rows = T.order_scenes(spark, folder)
     return S.running_offset(rows, "project", "scene", F.coalesce("rendered_ms", F.lit(0)),
-                            F.floor(C("scene") / 65536)).select(
+                            F.floor(C("scene") / SMALL_ORDERS)).select(
         "project", "scene", C("offset").cast("bigint").alias("offset_ms"))
 
 
@@ -143,7 +146,7 @@ def cut_clock(spark, folder):
                                      ((C("m1") + 180) / 1000).alias("b"))
     points = T.track(t, "narration").select(
         "scene_key", "seg_ix", C("t0").alias("t"), F.lit(0.05).alias("w0"))
-    return I.cut_clock(points, cuts, "scene_key", ["seg_ix"]).select(
+    return I.cut_clock(points, cuts, "scene_key", ["seg_ix"], chunk_s=SMALL_S).select(
         "scene_key", "seg_ix", F.rint(C("out") * 1000).cast("bigint").alias("out_ms"))
 
 
@@ -227,7 +230,7 @@ def midpoint_cuts(spark, folder):
         FROM osc)))""", "osc")
 def failure_streak(spark, folder):
     return S.failure_streak(T.order_scenes(spark, folder), "project", "scene", C("status") == "failed",
-                            3, F.floor(C("scene") / 65536)).select("project", "scene", "streak", "attempted")
+                            3, F.floor(C("scene") / SMALL_ORDERS)).select("project", "scene", "streak", "attempted")
 
 
 @query("w16_budget", """
@@ -235,7 +238,7 @@ def failure_streak(spark, folder):
     PARTITION BY project ORDER BY scene) AS used FROM osc) WHERE used <= 3""", "osc")
 def budget(spark, folder):
     return S.within_budget(T.order_scenes(spark, folder), "project", "scene", C("status") != "complete",
-                           3, F.floor(C("scene") / 65536)).select("project", "scene")
+                           3, F.floor(C("scene") / SMALL_ORDERS)).select("project", "scene")
 
 
 @query("w17_leading_segments", """
@@ -318,7 +321,7 @@ def locate_words(spark, folder):
     words = T.track(t, "narration").join(segs.select("scene_key").distinct(), "scene_key", "left_semi").select(
         "scene_key", C("seg_ix").cast("long").alias("word_ix"), "t0",
         (C("t1") + C("m1") % 5 * 0.1).alias("t1"))
-    return I.locate(words, segs, "scene_key").select("scene_key", "word_ix", "seg_ix")
+    return I.locate(words, segs, "scene_key", chunk_s=SMALL_S).select("scene_key", "word_ix", "seg_ix")
 
 
 @query("j4_placed_voice", """
@@ -370,7 +373,7 @@ block("edges", """
 def disagreement(spark, folder):
     t = T.tracks(spark, folder)
     windows = t.select("scene_key").distinct().select("scene_key", F.lit(0.5).alias("w0"), F.lit(5.2).alias("w1"))
-    return I.disagreement(T.track(t, "clip"), T.track(t, "narration"), windows, "scene_key")
+    return I.disagreement(T.track(t, "clip"), T.track(t, "narration"), windows, "scene_key", chunk_s=SMALL_S)
 
 
 @query("k18_cuts", """

@@ -57,8 +57,13 @@ def test_open_request_times_out(spark, tmp_path):
     assert [(r.user, r.seq) for r in got.collect()] == [("a", 1)]
 
 
-def test_durations_are_bounded(spark, tmp_path):
-    rows = [("p", at(0), 1, "start"), ("p", at(30), 2, "end"), ("p", at(600), 3, "end")]
-    df = spark.createDataFrame(rows, "project string, ts timestamp, id long, kind string")
-    out = E.run_durations(df.where("kind = 'start'"), df.where("kind = 'end'"), "project", "2 hours")
-    assert [(r.start_id, r.end_id, r.micros) for r in out.collect()] == [(1, 2, 30 * 60 * 10 ** 6)]
+def test_every_request_has_its_own_deadline(spark, tmp_path):
+    schema = "user string, ts timestamp, seq long, kind string"
+    src, state = str(tmp_path / "in"), str(tmp_path / "work")
+    feed(spark, src, [("a", at(0), 1, "request"), ("a", at(10), 2, "request"), ("a", at(35), 3, "done")], schema)
+    feed(spark, src, [("a", at(40), 4, "request"), ("a", at(41), 5, "request"), ("a", at(50), 6, "done"), ("a", at(60), 7, "request")], schema)
+    feed(spark, src, [("z", at(600), 8, "done")], schema)
+    got = run_available(E.answered_requests(stream(spark, src, schema), "user", 1800), folder=state)
+    minute = 60_000_000
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([("a", 1, None, None), ("a", 2, 3, 25 * minute), ("a", 4, 6, 10 * minute), ("a", 5, 6, 9 * minute),
+                                                                 ("a", 7, None, None)], key=str)
