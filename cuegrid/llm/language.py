@@ -20,8 +20,8 @@ from cuegrid.llm.arrow_text import column, mixed, names_of_spans, slices
 TRAINING_DOCS = 1_600
 #: Weights of hashed features, a vector of one number per language each.
 FEATURE_BITS = 17
-#: Words a document gives to training at most: a stretch that begins at a hashed word.
-TRAINING_WORDS = 100
+#: Words a document gives to training at most: a stretch that begins at a hashed place.
+TRAINING_WORDS = 60
 #: Words held in the lexicon at most, the commonest of the training sample.
 LEXICON = 20_000
 #: Values of lang that can be learned at most.
@@ -180,12 +180,27 @@ def forward_backward(potentials: np.ndarray, chain: np.ndarray, transitions: np.
     return gamma, crossed
 
 
+def _stretches(texts: list[str]) -> list[str]:
+    """Of each text TRAINING_WORDS words in a row, from a place that a hash of the text chooses."""
+    points, starts, ends, owner, _ = words(pa.array(texts, pa.string()))
+    bounds, out = np.searchsorted(owner, np.arange(len(texts) + 1)), []
+    for text, a, b in zip(texts, bounds.tolist(), bounds[1:].tolist()):
+        if a == b:
+            out.append("")
+            continue
+        a += zlib.crc32(text.encode("utf-8", "surrogatepass")) % max(1, b - a - TRAINING_WORDS + 1)
+        b = min(b, a + TRAINING_WORDS)
+        out.append(points[starts[a]:ends[b - 1]].tobytes().decode("utf-32-le", "surrogatepass"))
+    return out
+
+
 def fit(texts: list[str], labels: list[str], rounds: int = 6, seed: int = 11) -> Model:
     """Maximise the conditional likelihood of the words' languages (each word has its text's) by
     stochastic gradient steps with per-feature step sizes, over chunks of texts."""
     languages = sorted(set(labels))
     lookup = {name: k for k, name in enumerate(languages)}
-    points, starts, ends, owner, _ = words(pa.array(texts, pa.string()))
+    taken = [piece for k in range(0, len(texts), 50) for piece in _stretches(texts[k:k + 50])]
+    points, starts, ends, owner, _ = words(pa.array(taken, pa.string()))
     keys = word_keys(points, starts, ends)
     seen, counts = np.unique(keys, return_counts=True)
     lexicon = np.sort(seen[np.argsort(-counts, kind="stable")[:LEXICON]])
@@ -194,18 +209,17 @@ def fit(texts: list[str], labels: list[str], rounds: int = 6, seed: int = 11) ->
     if not len(starts) or k < 2:
         return model
     target = np.array([lookup[x] for x in labels])[owner]
-    # one stretch of words for each text; its own words make one chain
-    stretches = []
-    for a, b in zip(*(np.searchsorted(owner, np.arange(len(texts)), side=s) for s in ("left", "right"))):
-        if b > a:
-            skip = zlib.crc32(str(a).encode()) % max(1, b - a - TRAINING_WORDS + 1)
-            stretches.append((a + skip, min(b, a + skip + TRAINING_WORDS)))
+    # the words of one stretch make one chain
+    bounds = np.searchsorted(owner, np.arange(len(taken) + 1))
+    stretches = [(a, b) for a, b in zip(bounds.tolist(), bounds[1:].tolist()) if b > a]
     at = np.concatenate([np.arange(*x) for x in stretches])
     chain = np.repeat(np.arange(len(stretches)), [b - a for a, b in stretches])
     feature, whose = features(points, starts[at], ends[at], lexicon)
-    by_word = np.argsort(whose, kind="stable")
-    used, feature = np.unique(feature[by_word], return_inverse=True)
-    whose = whose[by_word]
+    by_word = np.argsort(whose, kind="stable").astype(np.int32)
+    whose = whose[by_word].astype(np.int32)
+    used, feature = np.unique(feature[by_word].astype(np.int32), return_inverse=True)
+    feature = feature.astype(np.int32)
+    del by_word
     edge = np.searchsorted(whose, np.arange(len(at) + 1))  # features of each word
     ends_of = np.searchsorted(chain, np.arange(len(stretches) + 1))
     weights, squared, moved = np.zeros((len(used), k)), np.full((len(used), k), 1e-6), np.full((k, k), 1e-6)
