@@ -16,6 +16,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: 25 bands of 4: two texts of similarity 0.8 share none with probability 2e-6.
 BANDS, ROWS = 25, 4
+#: Slots of the bitmap of a text's shingles, by which pairs are ruled out.
+SLOTS = 2048
 
 _FACTORS = mixed(np.arange(16, dtype=np.uint64), 31) | np.uint64(1)
 _SIGNED = "doc_id long, text_hash long, print_a long, print_b long, total long, bands array<long>"
@@ -169,6 +171,18 @@ def own_weight(texts: DataFrame) -> DataFrame:
     return lone.groupBy("node").agg(F.sum("weight").alias("own"))
 
 
+def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text", 1 << 20):
+        n = batch.num_rows
+        owner, shingle, weight = weighted_shingles(column(batch, "text"))
+        slots = np.zeros((n, SLOTS), bool)
+        slots[owner, (shingle >> np.uint64(40)).astype(np.int64) % SLOTS] = True
+        longs = np.packbits(slots, axis=1).view(np.int64).reshape(-1)
+        yield pa.record_batch({
+            "node": column(batch, "doc_id"), "total": pa.array(np.bincount(owner, weight, minlength=n).astype(np.int64)), "filled": pa.array(slots.sum(axis=1)),
+            "bits": pa.ListArray.from_arrays(np.arange(0, n * SLOTS // 64 + 1, SLOTS // 64, dtype=np.int32), pa.array(longs))})
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts are similar enough."""
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
@@ -203,13 +217,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     one node from the start (its smallest doc_id), so copies are never paired. Nodes that share a
     band of DartMinHash values are candidates; links are verified on whole texts.
 
-    A bucket of many near copies must not give all its pairs. First all its nodes meet its smallest
-    node. Where several classes are left, they meet the node with the least weight of its own (on
-    shingles that no other text in open buckets has), which stands in the middle of its copies.
-    Where even then several classes are left, every pair across classes is verified unless own
-    weights rule it out: two texts share at most the lesser of what is not their own. Pairs within a
-    class could not change it. So no link between candidates is lost, and a bucket of near copies
-    costs about its size.
+    A bucket of many near copies must not give all its pairs. First its nodes meet one hub, the node
+    that shares most buckets with others, which stands in the middle of its copies. Where several
+    classes are left in a bucket, every pair across classes is verified unless a bound rules it out:
+    what two texts share is at most what either has less what is its own (on shingles that no other
+    text in open buckets has), and less the shingles whose slots of a bitmap the other does not
+    fill. Pairs within a class could not change it. So no link between candidates is lost, and a
+    bucket of near copies costs about its size.
 
     Texts without words (null, empty, white space) are alone. A null doc_id has a null class. Rows
     that share a doc_id are one document. Extra columns are ignored; empty tables give no rows."""
@@ -223,37 +237,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     chosen = member.where("doc_id = node").groupBy("doc_id").agg(F.min(F.struct("text_hash", "total")).alias("one")).select("doc_id", "one.*")
     bands = signs.join(chosen.select("doc_id", "text_hash"), ["doc_id", "text_hash"], "left_semi").select(
         F.col("doc_id").alias("node"), F.explode(F.array_distinct("bands")).alias("band"))
-    firsts = bands.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("band", "a")
-    buckets = settled(bands.join(firsts, "band").select("band", "a", "node").dropDuplicates(["band", "node"]))
-    met = settled(buckets.where("a < node").select("a", F.col("node").alias("b")).distinct())
-    involved = chosen.join(buckets.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    buckets = settled(bands.join(shared, "band").dropDuplicates(["band", "node"]))
+    degrees = buckets.groupBy("node").agg(F.sum("n").alias("degree"))
+    hubs = buckets.join(degrees, "node").groupBy("band").agg(F.min(F.struct(-F.col("degree"), "node")).alias("h")).select("band", F.col("h.node").alias("hub"))
+    met = settled(_ordered(buckets.join(hubs, "band").where("node <> hub").select("hub", "node")))
+    involved = chosen.join(degrees.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
     texts = settled(known.join(involved.hint("shuffle_hash"), ["doc_id", "text_hash"], "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]))
     # a document whose rows have several texts is one node to begin with
     same = member.where("doc_id <> node").join(chosen.select("doc_id"), "doc_id", "left_semi").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    links = settled(verified(met, texts).unionByName(same).distinct())
-    labels = components(links)
+    labels = components(settled(verified(met, texts).unionByName(same).distinct()))
 
     still = settled(_several(buckets.select("band", "node"), labels))
-    if not still.isEmpty():
-        nodes = still.select(F.col("node").alias("doc_id")).distinct()
-        own = own_weight(texts.join(nodes, "doc_id", "left_semi"))
-        stats = settled(involved.join(nodes, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "total").join(own, "node", "left")
-                        .select("node", "total", F.coalesce("own", F.lit(0)).alias("own")))
-        still = still.join(stats, "node")
-        middle = still.groupBy("band").agg(F.min(F.struct(F.col("own") / F.col("total"), "node", "label")).alias("m")).select(
-            "band", F.col("m.node").alias("hub"), F.col("m.label").alias("hub_label"))
-        more = settled(_ordered(still.join(middle, "band").where("label <> hub_label").select("hub", "node")).join(met, ["a", "b"], "left_anti"))
-        links = settled(links.unionByName(verified(more, texts)))
-        labels = components(links)
-        still = settled(_several(still.select("band", "node", "total", "own"), labels).where("5 * (total - own) >= 4 * total"))
-        across = still.alias("l").join(still.alias("r"), "band").where(
-            (F.col("l.label") < F.col("r.label")) & (9 * F.least(F.expr("l.total - l.own"), F.expr("r.total - r.own")) >= 4 * F.expr("l.total + r.total")))
-        across = _ordered(across.select(F.col("l.node").alias("x"), F.col("r.node").alias("y")))
-        last = settled(verified(across.join(met.unionByName(more), ["a", "b"], "left_anti"), texts))
-        if not last.isEmpty():
-            labels = components(settled(links.unionByName(last)))
-    classed = member.select("doc_id", "text_hash", "node").distinct().join(labels, "node", "left").select(
-        "doc_id", "text_hash", F.coalesce("label", "node").alias("class_id"))
+    nodes = still.select(F.col("node").alias("doc_id")).distinct()
+    open_texts = texts.join(nodes, "doc_id", "left_semi")
+    stats = open_texts.mapInArrow(_bitmaps, "node long, total long, filled long, bits array<long>").join(own_weight(open_texts), "node", "left")
+    stats = settled(stats.withColumn("own", F.coalesce("own", F.lit(0))).where("5 * (total - own) >= 4 * total"))
+    rows = still.join(stats, "node")
+    lacks = F.aggregate(F.zip_with("l.bits", "r.bits", lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda a, n: a + n)
+    enough = lambda common: 9 * common >= 4 * (F.col("l.total") + F.col("r.total"))
+    across = rows.alias("l").join(rows.alias("r"), "band").where(
+        (F.col("l.label") < F.col("r.label")) & enough(F.least(F.expr("l.total - l.own"), F.expr("r.total - r.own")))
+        & enough(F.least(F.col("l.total") - lacks, F.col("r.total") - F.col("r.filled") + F.col("l.filled") - lacks)))
+    across = _ordered(across.select(F.col("l.node").alias("x"), F.col("r.node").alias("y"))).join(met, ["a", "b"], "left_anti")
+    last = settled(verified(across, texts))
+    classed = member.select("doc_id", "text_hash", "node").distinct().join(labels, "node", "left").withColumn("class_id", F.coalesce("label", "node"))
+    if not last.isEmpty():  # classes that the last links join
+        of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
+        joins = last.join(of("a"), "a", "left").join(of("b"), "b", "left").select(
+            F.coalesce("a_label", "a").alias("x"), F.coalesce("b_label", "b").alias("y")).where("x <> y")
+        merged = components(settled(_ordered(joins))).select(F.col("node").alias("class_id"), F.col("label").alias("whole"))
+        classed = classed.join(merged, "class_id", "left").withColumn("class_id", F.coalesce("whole", "class_id"))
+    classed = classed.select("doc_id", "text_hash", "class_id")
     return keyed.select("doc_id", "text_hash").join(classed, ["doc_id", "text_hash"], "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "text_hash")
 
