@@ -108,6 +108,12 @@ def lines_of(page: str) -> list[Line]:
     """The page's lines: markup, comments and raw elements stripped, a new line at every block tag."""
     lines, now, at = [], Line(), 0
     stack: list[_Open] = []
+    opened_now: dict[str, int] = {}  # how many elements of each name are open
+
+    def pop() -> str:
+        name = stack.pop().name
+        opened_now[name] -= 1
+        return name
 
     def put(text: str) -> None:
         if text:
@@ -136,8 +142,8 @@ def lines_of(page: str) -> list[Line]:
             continue
         name = m.group("name").lower()
         if m.group("close"):
-            if any(x.name == name for x in stack):
-                while stack.pop().name != name:
+            if opened_now.get(name):
+                while pop() != name:
                     pass
             if name in BLOCK:
                 turn()
@@ -162,7 +168,8 @@ def lines_of(page: str) -> list[Line]:
         if name in ("p", "li", "dt", "dd", "option", "tr", "td", "th"):  # these close one another
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k].name == name:
-                    del stack[k:]
+                    while len(stack) > k:
+                        pop()
                     outer = stack[-1] if stack else _Open("", False, False, False)
                     opened = _Open(name, outer.aside or _sets_aside(name, _attributes(m.group("attrs")), outer.inside), outer.inside, outer.link)
                     break
@@ -170,6 +177,7 @@ def lines_of(page: str) -> list[Line]:
                     break
         if name not in VOID:
             stack.append(opened)
+            opened_now[name] = opened_now.get(name, 0) + 1
         if name in BLOCK:
             turn()
     turn()

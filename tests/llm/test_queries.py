@@ -34,7 +34,7 @@ def test_pipeline_is_its_parts(spark, documents):
     passage = " ".join(f"shared{k}" for k in range(55))
     rows = [(r["doc_id"], r["text"], r["lang"]) for r in raw] + [
         (1000, raw[0]["text"], "en"), (1001, f"the thing {passage}", "en"), (1002, f"of that {passage} token = \"0123456789abcdef0123456789abcdef01234567\"", "en"), (1003, "123", "en"),
-        (1004, None, None), (None, f"the of {passage}", "en")]
+        (1004, None, None), (1005, raw[1]["text"] + " " + passage + " token = \"abcdef0123456789abcdef\" " + raw[1]["text"], "en"), (None, f"the of {passage}", "en")]
     docs = documents(rows)
     kept = docs
     for name, stage in corpus_pipeline.STAGES:
