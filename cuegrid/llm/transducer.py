@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from cuegrid.llm.arrow_text import _BYTE, column, names_of_spans, slices
 
 #: Units, and neighbouring pairs of pieces, that a worker remembers; beyond that it starts afresh.
-REMEMBERED, PAIRS = 600_000, 1_500_000
+REMEMBERED, PAIRS = 1_500_000, 800_000
 SPACE = "▁"
 
 # ---- fixed values: numbers of the model file's format ----
@@ -87,7 +87,14 @@ class Transducer:
         self.bytes_of = {int(t[3:5], 16): k for k, (t, _, kind) in enumerate(self.pieces) if kind == BYTE}
         self.unknown = next((k for k, (_, _, kind) in enumerate(self.pieces) if kind == UNK), 0)
         self.worst = min(self.score.values(), default=0.0) - 10.0
-        # no piece goes on from a letter to a space mark, so texts may be cut there
+        # no path crosses two characters that stand side by side in no piece, so texts may be cut there;
+        # for each pair of ASCII bytes (the space stands for its mark) whether some piece holds it
+        self.inner = np.zeros((128, 128), bool)
+        for t in self.ids:
+            b = t.replace(SPACE, " ").encode()
+            for x, y in zip(b, b[1:]):
+                if x < 128 and y < 128:
+                    self.inner[x, y] = True
         self.cuts = not any(SPACE in t.lstrip(SPACE) for t in self.ids)
         written = [bytes([int(t[3:5], 16)]) if kind == BYTE else b"" if kind == CONTROL else t.replace(SPACE, " ").encode() for t, _, kind in self.pieces]
         self.output = np.frombuffer(b"".join(written), np.uint8)
@@ -129,6 +136,8 @@ class Transducer:
 
     def shortest(self, text: str) -> list[str]:
         """Pieces along the shortest path of the text's composition with this transducer."""
+        if self.merges:
+            return self._merged_path(text)
         n, ids = len(text), self.ids
         # for each place and state: (weight so far, where the piece began, the state before)
         reached: list[dict[str, tuple[float, int, str]]] = [{"": (0.0, 0, "")}] + [{} for _ in range(n)]
@@ -139,8 +148,7 @@ class Transducer:
                 if piece not in ids and end - start > 1:
                     continue
                 for before, (so_far, _, _) in reached[start].items():
-                    total = so_far + self.weight(before, piece)
-                    state = piece if self.merges else "*"
+                    total, state = so_far + self.weight(before, piece), "*"
                     if total < here.get(state, (float("inf"),))[0]:
                         here[state] = (total, start, before)
         out, end = [], n
@@ -151,6 +159,26 @@ class Transducer:
             end, state = start, before
         return out[::-1]
 
+    def _merged_path(self, text: str) -> list[str]:
+        """The same for a BPE model: at each place one state is reached with finite weight, so its
+        search ends with the first arc found."""
+        n, ids, pairs, longest = len(text), self.ids, self.pairs, self.longest
+        state, begin = [""] * (n + 1), [0] * (n + 1)
+        for end in range(1, n + 1):
+            for start in range(max(0, end - longest), end):
+                piece = text[start:end]
+                if piece in ids or start == end - 1:
+                    before = state[start]
+                    fits = pairs.get((before, piece))
+                    if fits or fits is None and self.weight(before, piece) == 0.0:
+                        state[end], begin[end] = piece, start
+                        break
+        out, end = [], n
+        while end:
+            out.append(state[end])
+            end = begin[end]
+        return out[::-1]
+
     def ids_of(self, text: str) -> list[int]:
         out: list[int] = []
         for piece in self.shortest(text):
@@ -163,8 +191,8 @@ class Transducer:
         return out
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, offsets of each text's ids in them). Each distinct unit, a run of space
-        marks and what follows up to the next, is transduced once."""
+        """(ids of all texts, offsets of each text's ids in them). Texts are cut into units
+        where no piece can reach over the cut; each distinct unit is transduced once."""
         head = " " if self.prefix else ""
         raw = [(head + t.replace(SPACE, " ")).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
         offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
@@ -174,9 +202,11 @@ class Transducer:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         fresh = np.zeros(len(data) + 1, bool)
         fresh[offsets] = True
-        if self.cuts:
+        if self.cuts:  # before a space mark, whatever stands there
             space = data == 0x20
             fresh[1:-1] |= space[1:] & ~space[:-1]
+        plain = data < 128
+        fresh[1:-1] |= plain[:-1] & plain[1:] & ~self.inner[data[:-1] & 127, data[1:] & 127]
         starts = np.flatnonzero(fresh[:-1])
         ends = np.append(starts[1:], len(data))
         codes, names = pd.factorize(names_of_spans(_BYTE[data], starts, ends, 4))
