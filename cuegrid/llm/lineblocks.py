@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,6 +25,8 @@ BLOCK = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 "
     "h2 h3 h4 h5 h6 head header hgroup hr html legend li link main menu meta nav ol optgroup option p pre search section select summary table tbody td "
     "tfoot th thead tr ul".split())
+#: Block elements that hold a page's parts; others (paragraphs, lists, sections) are parts of what holds them.
+HOLDERS = frozenset("html body main article div center td".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that are never article text.
 ASIDE = frozenset("nav footer aside form menu dialog select button fieldset head search".split())
@@ -48,6 +51,16 @@ _PARTS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
+@dataclass
+class Holder:
+    """An element of HOLDERS, with the numbers of its first and last line."""
+
+    outer: Holder | None
+    article: bool
+    first: int
+    last: int = sys.maxsize
+
+
 @dataclass
 class Line:
     """Text between two block tags."""
@@ -56,6 +69,8 @@ class Line:
     linked: int = 0
     aside: bool = False
     inside: bool = False  # of an article or main element
+    number: int = 0
+    holder: Holder | None = None
 
     def text(self) -> str:
         return " ".join("".join(self.pieces).split())
@@ -67,6 +82,7 @@ class _Open:
     aside: bool
     inside: bool
     link: bool
+    holder: Holder | None = None
 
 
 def _attributes(attrs: str) -> dict[str, str]:
@@ -111,9 +127,11 @@ def lines_of(page: str) -> list[Line]:
     opened_now: dict[str, int] = {}  # how many elements of each name are open
 
     def pop() -> str:
-        name = stack.pop().name
-        opened_now[name] -= 1
-        return name
+        closed = stack.pop()
+        opened_now[closed.name] -= 1
+        if closed.name in HOLDERS:
+            closed.holder.last = now.number
+        return closed.name
 
     def put(text: str) -> None:
         if text:
@@ -126,7 +144,8 @@ def lines_of(page: str) -> list[Line]:
         nonlocal now
         if now.pieces:
             lines.append(now)
-        now = Line(aside=bool(stack) and stack[-1].aside, inside=bool(stack) and stack[-1].inside)
+        within = stack[-1] if stack else _Open("", False, False, False)
+        now = Line(aside=within.aside, inside=within.inside, number=now.number + 1, holder=within.holder)
 
     end = len(page)
     while at < end:
@@ -175,6 +194,7 @@ def lines_of(page: str) -> list[Line]:
                     break
                 if stack[k].name in BLOCK:
                     break
+        opened.holder = Holder(outer.holder, opened.inside and not outer.inside, now.number + 1) if name in HOLDERS else outer.holder
         if name not in VOID:
             stack.append(opened)
             opened_now[name] = opened_now.get(name, 0) + 1
@@ -184,41 +204,61 @@ def lines_of(page: str) -> list[Line]:
     return [x for x in lines if x.text()]
 
 
+def _home(lines: list[Line], filled: np.ndarray, a: int, b: int) -> Holder | None:
+    """The innermost holder of the lines from a to b that has more than one line with weight, or the
+    article or main element around it; None is the page."""
+    numbers = np.array([lines[k].number for k in filled])
+    home = lines[a].holder
+    while home is not None and (home.last < lines[b].number or np.searchsorted(numbers, home.last, side="right") - np.searchsorted(numbers, home.first) < 2):
+        home = home.outer
+    around = home
+    while around is not None and not around.article:
+        around = around.outer
+    return around or home
+
+
 def main_text(page: str) -> str:
     """The text between surges and dives of the line-block distribution.
 
     A line counts with its letters outside links; lines of menus, notices, adverts, forms and the
-    like count nothing, nor do lines outside the article element where the page has one with text.
-    A window's mass is the sum over WINDOW lines. A stretch begins at a surge (a window with a share
-    of the fullest window's mass after windows without) and ends at the dive where windows are empty
-    again. The fullest stretch is kept, and further ones that hold a good share of it."""
+    like count nothing. A window's mass is the sum over WINDOW lines. A stretch begins at a surge (a
+    window with a share of the fullest window's mass after windows without) and ends at the dive
+    where windows are empty again; the edges of article and main elements end it too. The fullest
+    stretch is kept, wherever it lies, and further ones that hold a good share of it.
+
+    An article or main element is trusted as far as the distribution bears it out: if the fullest
+    stretch lies in one, its other lines and the stretches of its like are kept; if not, those of
+    its stretches that are surges."""
     lines = lines_of(page)
     if not lines:
         return ""
     texts = [x.text() for x in lines]
-    marked = any(x.inside and not x.aside for x in lines)
-    counted = np.array([not x.aside and (x.inside or not marked) for x in lines])
+    counted = np.array([not x.aside for x in lines])
+    inside = counted & np.array([x.inside for x in lines])
     sizes = np.array([len(t.replace(" ", "")) for t in texts])
     linked = np.array([x.linked for x in lines])
     weight = np.where(counted, np.maximum(sizes - linked, 0), 0)
     weight = np.where(counted & (2 * linked > sizes), 0, weight)
     if not weight.any():
-        weight = np.where(counted, sizes, 0)  # an article of nothing but links
+        weight = np.where(inside if inside.any() else counted, sizes, 0)  # an article of nothing but links
     if not weight.any():
         return ""
-    mass = np.convolve(weight, np.ones(WINDOW, int))[WINDOW - 1:]  # of the window that begins at each line
     filled = np.flatnonzero(weight)
     # dives: WINDOW lines without text; stretches lie between them
-    cuts = np.flatnonzero(np.diff(filled) > WINDOW)
+    cuts = np.flatnonzero((np.diff(filled) > WINDOW) | (inside[filled[1:]] != inside[filled[:-1]]))
     first, last = filled[np.r_[0, cuts + 1]], filled[np.r_[cuts, len(filled) - 1]]
     totals = np.array([weight[a:b + 1].sum() for a, b in zip(first, last)])
-    peaks = np.array([mass[a:b + 1].max() for a, b in zip(first, last)])
-    good = (totals >= FURTHER * totals.max()) & (peaks >= SURGE * mass.max()) if not marked else np.ones(len(totals), bool)
+    peaks = np.array([np.convolve(weight[a:b + 1], np.ones(WINDOW, int)).max() for a, b in zip(first, last)])  # of windows, each within its stretch
+    top = totals.argmax()
+    trusted = inside[first[top]]
+    good = (peaks >= SURGE * peaks.max()) & (inside[first] | (totals >= FURTHER * totals[top])) | inside[first] & trusted
+    good[top] = True
     kept = np.zeros(len(lines), bool)
     for a, b in zip(first[good], last[good]):
         kept[a:b + 1] = True
-    if marked:  # within an article, linked lines at its edges belong to it
-        kept |= counted
+    if trusted:  # linked lines at the edges of its article belong to it
+        home = _home(lines, filled, first[top], last[top])
+        kept |= inside & np.array([home is None or home.first <= x.number <= home.last for x in lines])
     return " ".join(t for t, k in zip(texts, kept & counted) if k)
 
 

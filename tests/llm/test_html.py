@@ -51,3 +51,23 @@ def test_corpus_pages(spark):
 
     want = {r[0]: " ".join(html.unescape(r[1]).split()) for r in pages.select("page_id", blocks).collect()}
     assert {r["page_id"]: r["text"] for r in lineblocks.extract(pages).collect()} == want
+
+
+def test_distribution_chooses_beside_an_article():
+    """A short card in an article element does not hide the long text beside it, and a long card does not replace it."""
+    body = "<div class=story>" + f"<p>{LONG}</p>" * 9 + "</div>"
+    assert lineblocks.main_text(f"<article><h3>See too</h3></article>{body}") == " ".join([LONG] * 9)
+    assert lineblocks.main_text(f"{body}<article><p>{LONG}</p></article>") == " ".join([LONG] * 10)
+    # trimmed at the edges of an article that holds nearly all
+    assert lineblocks.main_text("<div>Daily paper</div><article>" + f"<p>{LONG}</p>" * 9 + "<p><a href=/>Next part</a></article><div>Printed daily</div>") == " ".join([LONG] * 9 + ["Next part"])
+    # articles with a list of links between them stay, however short
+    links = "".join(f"<li><a href=/{k}>Link {k}</a>" for k in range(5))
+    assert lineblocks.main_text("<article>" + f"<p>{LONG}</p>" * 9 + f"</article><ul>{links}</ul><article><p>Short.</p></article>") == " ".join([LONG] * 9 + ["Short."])
+
+
+def test_corpus_pages_without_article_tags(spark):
+    """The distribution finds the corpus articles by itself."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    bare = pages.withColumn("html", F.regexp_replace("html", "(</?)article>", "$1div>"))
+    texts = lambda t: {r["page_id"]: r["text"] for r in lineblocks.extract(t).collect()}
+    assert texts(bare) == texts(pages)
