@@ -39,6 +39,9 @@ FRAME = frozenset(
     "social related recommended recommendations cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe "
     "subscription signup login search skip copyright legal disclaimer tags taglist".split())
 HEADS = frozenset("header head".split())
+#: Parts that are put into the midst of an article, by their words and by their elements.
+BOXES = ADVERTS | frozenset("widget widgets share sharing social related recommended recommendations notice notices alert alerts popup modal overlay newsletter subscribe subscription signup".split())
+BOXED = frozenset("form dialog select button fieldset".split())
 #: Words that turn a class name into a statement about the page's layout.
 ABOUT = frozenset("with has no without is not hide show".split())
 # ---- end of fixed values ----
@@ -57,6 +60,7 @@ class Holder:
 
     outer: Holder | None
     article: bool
+    path: int  # hash of its own and all outer holders' names and classes
     first: int
     last: int = sys.maxsize
 
@@ -69,6 +73,7 @@ class Line:
     linked: int = 0
     aside: bool = False
     inside: bool = False  # of an article or main element
+    box: bool = False  # aside, but put into the midst of an article
     number: int = 0
     holder: Holder | None = None
 
@@ -82,6 +87,7 @@ class _Open:
     aside: bool
     inside: bool
     link: bool
+    box: bool = False
     holder: Holder | None = None
 
 
@@ -120,6 +126,11 @@ def _sets_aside(name: str, attributes: dict[str, str], inside: bool) -> bool:
     return bool(kinds & FRAME) or not inside and (name == "header" or bool(kinds & HEADS))
 
 
+def _is_box(name: str, attributes: dict[str, str]) -> bool:
+    """Whether an element that is set aside says nothing about where the text around it ends."""
+    return name in BOXED or bool(_kinds(attributes) & BOXES) or name not in ASIDE and ("hidden" in attributes or "style" in attributes)
+
+
 def lines_of(page: str) -> list[Line]:
     """The page's lines: markup, comments and raw elements stripped, a new line at every block tag."""
     lines, now, at = [], Line(), 0
@@ -145,7 +156,7 @@ def lines_of(page: str) -> list[Line]:
         if now.pieces:
             lines.append(now)
         within = stack[-1] if stack else _Open("", False, False, False)
-        now = Line(aside=within.aside, inside=within.inside, number=now.number + 1, holder=within.holder)
+        now = Line(aside=within.aside, inside=within.inside, box=within.box, number=now.number + 1, holder=within.holder)
 
     end = len(page)
     while at < end:
@@ -181,20 +192,27 @@ def lines_of(page: str) -> list[Line]:
             article = name in ("article", "main") and not apart
             # an article is never part of an advert or a menu left open before it
             aside = apart or outer.aside and not (article and not outer.inside)
-            opened = _Open(name, aside, outer.inside or article, outer.link or name == "a")
+            box = aside and (outer.box or not outer.aside and _is_box(name, attributes))
+            opened = _Open(name, aside, outer.inside or article, outer.link or name == "a", box)
         else:
-            opened = _Open(name, outer.aside, outer.inside, outer.link)
+            opened = _Open(name, outer.aside, outer.inside, outer.link, outer.box)
         if name in ("p", "li", "dt", "dd", "option", "tr", "td", "th"):  # these close one another
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k].name == name:
                     while len(stack) > k:
                         pop()
                     outer = stack[-1] if stack else _Open("", False, False, False)
-                    opened = _Open(name, outer.aside or _sets_aside(name, _attributes(m.group("attrs")), outer.inside), outer.inside, outer.link)
+                    attributes = _attributes(m.group("attrs"))
+                    apart = _sets_aside(name, attributes, outer.inside)
+                    opened = _Open(name, outer.aside or apart, outer.inside, outer.link, outer.box or apart and not outer.aside and _is_box(name, attributes))
                     break
                 if stack[k].name in BLOCK:
                     break
-        opened.holder = Holder(outer.holder, opened.inside and not outer.inside, now.number + 1) if name in HOLDERS else outer.holder
+        if name in HOLDERS:
+            path = hash((outer.holder.path if outer.holder else 0, name, attributes.get("class")))
+            opened.holder = Holder(outer.holder, opened.inside and not outer.inside, path, now.number + 1)
+        else:
+            opened.holder = outer.holder
         if name not in VOID:
             stack.append(opened)
             opened_now[name] = opened_now.get(name, 0) + 1
@@ -226,10 +244,15 @@ def main_text(page: str) -> str:
     where windows are empty again; the edges of article and main elements end it too. The fullest
     stretch is kept, wherever it lies, and further ones that hold a good share of it.
 
+    Adverts, share boxes, forms and the like are no lines here, so that they end no stretch. Where
+    other lines part the text of one block (a list of links between paragraphs), the stretches that
+    share the holder of the fullest one, or lie in holders of the same names and classes, are kept
+    with it, however short.
+
     An article or main element is trusted as far as the distribution bears it out: if the fullest
     stretch lies in one, its other lines and the stretches of its like are kept; if not, those of
     its stretches that are surges."""
-    lines = lines_of(page)
+    lines = [x for x in lines_of(page) if not x.box]
     if not lines:
         return ""
     texts = [x.text() for x in lines]
@@ -253,12 +276,17 @@ def main_text(page: str) -> str:
     trusted = inside[first[top]]
     good = (peaks >= SURGE * peaks.max()) & (inside[first] | (totals >= FURTHER * totals[top])) | inside[first] & trusted
     good[top] = True
+    home = _home(lines, filled, first[top], last[top])
+    held = np.array([home is None or home.first <= x.number <= home.last for x in lines])
+    if not trusted:
+        paths = np.array([x.holder.path if x.holder else 0 for x in lines])
+        alike = held | np.isin(paths, paths[first[top]:last[top] + 1][weight[first[top]:last[top] + 1] > 0])
+        good |= ~inside[first] & np.array([alike[a:b + 1][weight[a:b + 1] > 0].any() for a, b in zip(first, last)])
     kept = np.zeros(len(lines), bool)
     for a, b in zip(first[good], last[good]):
         kept[a:b + 1] = True
     if trusted:  # linked lines at the edges of its article belong to it
-        home = _home(lines, filled, first[top], last[top])
-        kept |= inside & np.array([home is None or home.first <= x.number <= home.last for x in lines])
+        kept |= inside & held
     return " ".join(t for t, k in zip(texts, kept & counted) if k)
 
 

@@ -71,3 +71,37 @@ def test_corpus_pages_without_article_tags(spark):
     bare = pages.withColumn("html", F.regexp_replace("html", "(</?)article>", "$1div>"))
     texts = lambda t: {r["page_id"]: r["text"] for r in lineblocks.extract(t).collect()}
     assert texts(bare) == texts(pages)
+
+
+LINKS = "<ul>" + "".join(f"<li><a href=/{k}>See {k}</a>" for k in range(4)) + "</ul>"
+ADVERT = "<div class='ad-box'>" + "<p>Buy now</p>" * 5 + "</div>"
+SHARE = "<div class=share>" + "<p>Send it</p>" * 5 + "</div>"
+
+
+@pytest.mark.parametrize("box", [LINKS, ADVERT, SHARE, LINKS + ADVERT])
+@pytest.mark.parametrize("part", ["", "section"])
+@pytest.mark.parametrize("page", ["<body>{}</body>", "<body><nav><a href=/>Home</a></nav><div class=story>{}</div></body>", "<main>{}</main>", "<article>{}</article>"])
+def test_split_by_boxes(box, part, page):
+    """A short first and a short last part stay, whatever stands between them and the long one."""
+    parts = ["<p>It rained.</p>", f"<p>{LONG}</p>" * 10, "<p>Then it stopped.</p>"]
+    got = lineblocks.main_text(page.format(box.join(f"<{part}>{x}</{part}>" if part else x for x in parts)))
+    for link in ("See 0", "See 1", "See 2", "See 3"):  # links within an article stay in it
+        got = got.replace(link, "")
+    assert " ".join(got.split()) == " ".join(["It rained.", *[LONG] * 10, "Then it stopped."])
+
+
+def test_split_by_a_box_in_blocks_of_their_own():
+    rows = f"<div><p>It rained.</p></div>{ADVERT}<div>" + f"<p>{LONG}</p>" * 10 + f"</div>{SHARE}<div><p>Then it stopped.</p></div>"
+    assert lineblocks.main_text(f"<body>{rows}</body>") == " ".join(["It rained.", *[LONG] * 10, "Then it stopped."])
+
+
+def test_split_into_single_lines():
+    """A block with one line is a paragraph, not what holds the text."""
+    assert lineblocks.main_text(f"<div class=story><div>It rained.</div>{LINKS}<div>{LONG * 9}</div>{LINKS}<div>It stopped.</div></div>") == f"It rained. {LONG * 9} It stopped."
+
+
+@pytest.mark.parametrize("named", ["", " class=part"])
+def test_split_by_links_in_blocks_alike(named):
+    parts = ["<p>It rained.</p>", f"<p>{LONG}</p>" * 10, "<p>Then it stopped.</p>"]
+    page = "<body><div class=top><p>Daily paper</p></div>" + LINKS + LINKS.join(f"<div{named}>{x}</div>" for x in parts) + LINKS + "<div class=end><p>Printed daily</p></div>"
+    assert lineblocks.main_text(page) == " ".join(["It rained.", *[LONG] * 10, "Then it stopped."])
