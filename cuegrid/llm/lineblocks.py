@@ -42,6 +42,14 @@ HEADS = frozenset("header head".split())
 #: Parts that are put into the midst of an article, by their words and by their elements.
 BOXES = ADVERTS | frozenset("widget widgets share sharing social related recommended recommendations notice notices alert alerts popup modal overlay newsletter subscribe subscription signup".split())
 BOXED = frozenset("form dialog select button fieldset".split())
+#: Words of these that also name what an article is about.
+TOPICS = frozenset("promotion banner banners discussion related social sharing search legal notice notices alert alerts copyright disclaimer consent recommended recommendations "
+                   "navigation skip subscription".split())
+#: Words that stand beside them in names of parts of a page's layout.
+LAYOUT = frozenset(
+    "area article articles bar block body bottom box boxes button buttons center col column container content count desktop entry float form google grid group head header holder icon icons info inline inner item items "
+    "left link links list main meta mobile more outer page panel post posts primary right row section site slot sticky stories story thread title top unit wrap wrapper".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words that turn a class name into a statement about the page's layout.
 ABOUT = frozenset("with has no without is not hide show".split())
 # ---- end of fixed values ----
@@ -74,6 +82,7 @@ class Line:
     aside: bool = False
     inside: bool = False  # of an article or main element
     box: bool = False  # aside, but put into the midst of an article
+    doubt: int = 0  # number of the first line of a block whose text decides whether it is aside
     number: int = 0
     holder: Holder | None = None
 
@@ -88,6 +97,7 @@ class _Open:
     inside: bool
     link: bool
     box: bool = False
+    doubt: int = 0
     holder: Holder | None = None
 
 
@@ -101,29 +111,36 @@ def _attributes(attrs: str) -> dict[str, str]:
     return found
 
 
-def _kinds(attributes: dict[str, str]) -> set[str]:
+def _kinds(attributes: dict[str, str], whole: bool = False) -> set[str]:
+    """Words in the class names and the id; `whole`: only of those that say nothing but a part of the layout."""
     kinds: set[str] = set()
     for name in (attributes.get("class", "") + " " + attributes.get("id", "")).split():
         parts = set(_PARTS.findall(_CAMEL.sub("-", name).lower()))
-        if not parts & ABOUT:
+        if not parts & ABOUT and not (whole and any(len(x) > 1 and x not in ADVERTS | READERS | FRAME | LAYOUT for x in parts)):
             kinds |= parts
     return kinds
 
 
-def _sets_aside(name: str, attributes: dict[str, str], inside: bool) -> bool:
-    """Whether the element is a part of the page that is not its article."""
+def _sets_aside(name: str, attributes: dict[str, str], inside: bool) -> bool | None:
+    """Whether the element is a part of the page that is not its article; None if its text decides."""
     if "hidden" in attributes or re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I):
         return name not in ("html", "body")
     if name in ("html", "body", "main"):
         return False
-    kinds = _kinds(attributes)
-    if kinds & (ADVERTS | READERS):
-        return True
-    if name == "article":
-        return False
-    if name in ASIDE or attributes.get("role", "").lower() in ROLES:
-        return True
-    return bool(kinds & FRAME) or not inside and (name == "header" or bool(kinds & HEADS))
+    if name not in HEADINGS:
+        part = inside or name == "section"  # parts of an article have names too
+        kinds = _kinds(attributes, whole=part)
+        sure = kinds & (ADVERTS | READERS | FRAME) - (TOPICS if part else frozenset())
+        if sure & (ADVERTS | READERS):
+            return True
+        if name == "article":
+            return None if kinds & TOPICS & (ADVERTS | READERS) else False
+        if name in ASIDE or attributes.get("role", "").lower() in ROLES or sure:
+            return True
+        if not inside and (name == "header" or kinds & HEADS):
+            return True
+        return None if kinds & TOPICS else False
+    return attributes.get("role", "").lower() in ROLES
 
 
 def _is_box(name: str, attributes: dict[str, str]) -> bool:
@@ -144,6 +161,14 @@ def lines_of(page: str) -> list[Line]:
             closed.holder.last = now.number
         return closed.name
 
+    def doubtful(apart: bool | None, name: str, attributes: dict[str, str], outer: _Open, first: bool) -> tuple[bool, int]:
+        """Whether an opened element is a box if it is aside, and the block that decides whether it is."""
+        if first:
+            return False, 0
+        if outer.aside or apart is False or outer.doubt and apart is None:
+            return outer.box, outer.doubt
+        return outer.box or _is_box(name, attributes), now.number + 1 if apart is None else outer.doubt
+
     def put(text: str) -> None:
         if text:
             text = html.unescape(text)
@@ -156,7 +181,7 @@ def lines_of(page: str) -> list[Line]:
         if now.pieces:
             lines.append(now)
         within = stack[-1] if stack else _Open("", False, False, False)
-        now = Line(aside=within.aside, inside=within.inside, box=within.box, number=now.number + 1, holder=within.holder)
+        now = Line(aside=within.aside, inside=within.inside, box=within.box, doubt=within.doubt, number=now.number + 1, holder=within.holder)
 
     end = len(page)
     while at < end:
@@ -189,13 +214,13 @@ def lines_of(page: str) -> list[Line]:
         if name in BLOCK or name == "a" or m.group("attrs").strip():
             attributes = _attributes(m.group("attrs"))
             apart = _sets_aside(name, attributes, outer.inside)
-            article = name in ("article", "main") and not apart
+            article = name in ("article", "main") and apart is False
             # an article is never part of an advert or a menu left open before it
-            aside = apart or outer.aside and not (article and not outer.inside)
-            box = aside and (outer.box or not outer.aside and _is_box(name, attributes))
-            opened = _Open(name, aside, outer.inside or article, outer.link or name == "a", box)
+            first = article and not outer.inside
+            aside = bool(apart) or outer.aside and not first
+            opened = _Open(name, aside, outer.inside or article, outer.link or name == "a", *doubtful(apart, name, attributes, outer, first))
         else:
-            opened = _Open(name, outer.aside, outer.inside, outer.link, outer.box)
+            opened = _Open(name, outer.aside, outer.inside, outer.link, outer.box, outer.doubt)
         if name in ("p", "li", "dt", "dd", "option", "tr", "td", "th"):  # these close one another
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k].name == name:
@@ -204,7 +229,7 @@ def lines_of(page: str) -> list[Line]:
                     outer = stack[-1] if stack else _Open("", False, False, False)
                     attributes = _attributes(m.group("attrs"))
                     apart = _sets_aside(name, attributes, outer.inside)
-                    opened = _Open(name, outer.aside or apart, outer.inside, outer.link, outer.box or apart and not outer.aside and _is_box(name, attributes))
+                    opened = _Open(name, outer.aside or bool(apart), outer.inside, outer.link, *doubtful(apart, name, attributes, outer, False))
                     break
                 if stack[k].name in BLOCK:
                     break
@@ -219,7 +244,24 @@ def lines_of(page: str) -> list[Line]:
         if name in BLOCK:
             turn()
     turn()
-    return [x for x in lines if x.text()]
+    lines = [x for x in lines if x.text()]
+    _settle(lines)
+    return lines
+
+
+def _settle(lines: list[Line]) -> None:
+    """Blocks in doubt are aside unless they hold text like the rest: a window with a good share of
+    the fullest window of lines that are in no doubt."""
+    blocks: dict[int, list[int]] = {0: []}
+    if any(x.doubt for x in lines):
+        for x in lines:
+            if not x.aside:
+                size = len("".join(x.text().split()))
+                blocks.setdefault(x.doubt, []).append(size - x.linked if 2 * x.linked <= size else 0)
+    peaks = {k: np.convolve(v, np.ones(WINDOW, int)).max() if v else 0 for k, v in blocks.items()}
+    for x in lines:
+        x.aside = x.aside or x.doubt > 0 and peaks[x.doubt] < max(1, FURTHER * peaks[0])
+        x.box = x.box and x.aside
 
 
 def _home(lines: list[Line], filled: np.ndarray, a: int, b: int) -> Holder | None:

@@ -105,3 +105,15 @@ def test_split_by_links_in_blocks_alike(named):
     parts = ["<p>It rained.</p>", f"<p>{LONG}</p>" * 10, "<p>Then it stopped.</p>"]
     page = "<body><div class=top><p>Daily paper</p></div>" + LINKS + LINKS.join(f"<div{named}>{x}</div>" for x in parts) + LINKS + "<div class=end><p>Printed daily</p></div>"
     assert lineblocks.main_text(page) == " ".join(["It rained.", *[LONG] * 10, "Then it stopped."])
+
+
+@pytest.mark.parametrize("part", ["<section id='discussion'>{}</section>", "<section id='related-work'>{}</section>", "<div class='legal-analysis'>{}</div>", "<div id=search>{}</div>", "<div class='legal-notice'>{}</div>"])
+@pytest.mark.parametrize("page", ["<article>{}</article>", "<main><div class=post>{}</div></main>"])
+def test_parts_of_an_article_by_name(page, part):
+    body = f"<h2 id='search'>Search</h2><p>{LONG}</p><p>{LONG}</p>"
+    assert lineblocks.main_text(page.format(body + part.format(f"<h2 class='social'>What of it</h2><p>{LONG}</p>"))) == f"Search {LONG} {LONG} What of it {LONG}"
+
+
+@pytest.mark.parametrize("name", ["ad", "ad-box", "comments", "comment-list", "related", "related-posts", "share-links", "social", "newsletter-form", "google-ad-300x250"])
+def test_boxes_in_an_article_by_name(name):
+    assert lineblocks.main_text(f"<article><p>{LONG}</p><div class='{name}'><p>Look here</p></div><p>{LONG}</p></article>") == f"{LONG} {LONG}"
