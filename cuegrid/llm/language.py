@@ -21,7 +21,9 @@ TRAINING_DOCS = 1_600
 #: Weights of hashed features, a vector of one number per language each.
 FEATURE_BITS = 17
 #: Words a document gives to training at most: a stretch that begins at a hashed place.
-TRAINING_WORDS = 60
+TRAINING_WORDS = 100
+#: Letters that training looks at in a word at most; only what is no word is longer.
+TRAINING_LETTERS = 100
 #: Words held in the lexicon at most, the commonest of the training sample.
 LEXICON = 20_000
 #: Values of lang that can be learned at most.
@@ -183,24 +185,29 @@ def forward_backward(potentials: np.ndarray, chain: np.ndarray, transitions: np.
 def _stretches(texts: list[str]) -> list[str]:
     """Of each text TRAINING_WORDS words in a row, from a place that a hash of the text chooses."""
     points, starts, ends, owner, _ = words(pa.array(texts, pa.string()))
+    ends = np.minimum(ends, starts + TRAINING_LETTERS)
     bounds, out = np.searchsorted(owner, np.arange(len(texts) + 1)), []
     for text, a, b in zip(texts, bounds.tolist(), bounds[1:].tolist()):
-        if a == b:
-            out.append("")
-            continue
         a += zlib.crc32(text.encode("utf-8", "surrogatepass")) % max(1, b - a - TRAINING_WORDS + 1)
-        b = min(b, a + TRAINING_WORDS)
-        out.append(points[starts[a]:ends[b - 1]].tobytes().decode("utf-32-le", "surrogatepass"))
+        taken = zip(starts[a:min(b, a + TRAINING_WORDS)].tolist(), ends[a:min(b, a + TRAINING_WORDS)].tolist())
+        out.append(" ".join(points[x:y].tobytes().decode("utf-32-le", "surrogatepass") for x, y in taken))
     return out
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with the stretch of each text in its place."""
+    for batch in slices(batches, "text"):
+        place = batch.schema.get_field_index("text")
+        yield batch.set_column(place, "text", pa.array(_stretches(batch.column(place).to_pylist()), pa.string()))
+
+
 def fit(texts: list[str], labels: list[str], rounds: int = 6, seed: int = 11) -> Model:
     """Maximise the conditional likelihood of the words' languages (each word has its text's) by
-    stochastic gradient steps with per-feature step sizes, over chunks of texts."""
+    stochastic gradient steps with per-feature step sizes, over chunks of texts. A text is one chain
+    of words: what training takes of a document."""
     languages = sorted(set(labels))
     lookup = {name: k for k, name in enumerate(languages)}
-    taken = [piece for k in range(0, len(texts), 50) for piece in _stretches(texts[k:k + 50])]
-    points, starts, ends, owner, _ = words(pa.array(taken, pa.string()))
+    points, starts, ends, owner, _ = words(pa.array(texts, pa.string()))
     keys = word_keys(points, starts, ends)
     seen, counts = np.unique(keys, return_counts=True)
     lexicon = np.sort(seen[np.argsort(-counts, kind="stable")[:LEXICON]])
@@ -210,17 +217,22 @@ def fit(texts: list[str], labels: list[str], rounds: int = 6, seed: int = 11) ->
         return model
     target = np.array([lookup[x] for x in labels])[owner]
     # the words of one stretch make one chain
-    bounds = np.searchsorted(owner, np.arange(len(taken) + 1))
+    bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
     stretches = [(a, b) for a, b in zip(bounds.tolist(), bounds[1:].tolist()) if b > a]
     at = np.concatenate([np.arange(*x) for x in stretches])
     chain = np.repeat(np.arange(len(stretches)), [b - a for a, b in stretches])
-    feature, whose = features(points, starts[at], ends[at], lexicon)
-    by_word = np.argsort(whose, kind="stable").astype(np.int32)
-    whose = whose[by_word].astype(np.int32)
-    used, feature = np.unique(feature[by_word].astype(np.int32), return_inverse=True)
-    feature = feature.astype(np.int32)
-    del by_word
-    edge = np.searchsorted(whose, np.arange(len(at) + 1))  # features of each word
+    found, counted = [], []
+    for x in range(0, len(at), 5_000):  # all words at once take several times the memory
+        feature, whose = features(points, starts[at[x:x + 5_000]], ends[at[x:x + 5_000]], lexicon)
+        found.append(feature[np.argsort(whose, kind="stable")].astype(np.int32))
+        counted.append(np.bincount(whose, minlength=len(at[x:x + 5_000])))
+    feature = np.concatenate(found)
+    del found
+    used = np.flatnonzero(np.bincount(feature, minlength=1 << FEATURE_BITS))
+    number = np.zeros(1 << FEATURE_BITS, np.int32)
+    number[used] = np.arange(len(used))
+    feature = number[feature]
+    edge = np.concatenate([[0], np.cumsum(np.concatenate(counted))])  # features of each word
     ends_of = np.searchsorted(chain, np.arange(len(stretches) + 1))
     weights, squared, moved = np.zeros((len(used), k)), np.full((len(used), k), 1e-6), np.full((k, k), 1e-6)
     rng = np.random.default_rng(seed)
@@ -259,7 +271,8 @@ def train(docs: DataFrame, most: int = TRAINING_DOCS) -> Model:
 
     Each of the at most LANGUAGES commonest values of lang gives an equal share, or all it has: the
     documents with the smallest hashes of doc_id. A hash bound for each language, from its count,
-    keeps what reaches the driver within twice `most` rows, however large the corpus is."""
+    keeps what reaches the driver within twice `most` rows, however large the corpus is, each with
+    the stretch of its text that training takes, however long the text is."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(F.col("doc_id"))).select(
         "doc_id", "lang", "text", ((F.xxhash64("doc_id") / F.lit(2.0 ** 64)) + F.lit(0.5)).alias("h"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
@@ -267,7 +280,9 @@ def train(docs: DataFrame, most: int = TRAINING_DOCS) -> Model:
         return Model([], np.zeros((1, 0)), np.zeros((0, 0)), np.zeros(0, np.uint64))
     share = max(1, most // len(counts))
     bounds = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(2.0, 1.5 * share / n + 5 / n))])
-    got = sorted(rows.where(F.col("h") < bounds[F.col("lang")]).collect(), key=lambda r: (r["lang"], r["h"], str(r["doc_id"]), r["text"]))
+    picked = rows.where(F.col("h") < bounds[F.col("lang")])
+    cut = picked.mapInArrow(_cut, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema))
+    got = sorted(cut.collect(), key=lambda r: (r["lang"], r["h"], str(r["doc_id"]), r["text"]))
     taken, used = [], dict.fromkeys(counts, 0)
     for r in got:
         if used[r["lang"]] < share:

@@ -62,3 +62,13 @@ def test_edges(documents, spark):
     nothing = language.train(docs.where("lang IS NULL"))
     assert {r["lang_pred"] for r in language.predict(docs, nothing).collect()} == {"und"}
     assert language.predict(docs.limit(0), nothing).count() == 0
+
+
+def test_training_rows_are_bounded(documents, monkeypatch):
+    """Stretches, not texts, reach the driver."""
+    reached = []
+    monkeypatch.setattr(language, "fit", lambda texts, labels: reached.extend(zip(texts, labels)))
+    language.train(documents([(1, "the 12 cat\n" * 40_000, "en"), (3, "el " * 20 + "g" * 50_000, "es"), (4, "la casa", "es")]))
+    assert [(x, len(t.split())) for t, x in reached] == [("en", language.TRAINING_WORDS), ("es", 21), ("es", 2)] or [
+        (x, len(t.split())) for t, x in reached] == [("en", language.TRAINING_WORDS), ("es", 2), ("es", 21)]
+    assert max(len(t) for t, _ in reached) <= language.TRAINING_WORDS * (language.TRAINING_LETTERS + 1) and set(" ".join(t for t, x in reached if x == "en").split()) == {"the", "cat"}
