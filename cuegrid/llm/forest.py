@@ -39,12 +39,14 @@ def _trees(ids: np.ndarray, matrix: np.ndarray):
     return ids, matrix, b"".join(parts)
 
 
-def candidates(sorted_hashes: list[np.ndarray], asked: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
+def candidates(sorted_hashes: list[np.ndarray], asked: np.ndarray, wanted: int, enough=None) -> tuple[np.ndarray, np.ndarray]:
     """First and last place, per query and tree, of the rows gathered by ascending in step.
 
     Descending, the longest prefix that a query shares with any row of a tree is where its hash
     falls in the sorted array. From there all trees ascend together: the rows that share at least x
-    bits are one stretch of each array, and x falls until the stretches hold `wanted` rows in all."""
+    bits are one stretch of each array, and x falls until the stretches hold `wanted` rows in all
+    and `enough`, asked with a query and its stretches' ends, agrees: stretches may hold the same
+    few rows in every tree."""
     trees, n = asked.shape
     first, last = np.zeros((trees, n), np.int64), np.zeros((trees, n), np.int64)
     open_ = np.ones(n, bool)
@@ -56,6 +58,9 @@ def candidates(sorted_hashes: list[np.ndarray], asked: np.ndarray, wanted: int)
             first[t, at] = np.searchsorted(sorted_hashes[t], h & ~low_bits, side="left")
             last[t, at] = np.searchsorted(sorted_hashes[t], h | low_bits, side="right")
         open_[at] = (last[:, at] - first[:, at]).sum(axis=0) < wanted
+        if enough is not None:
+            full = at[~open_[at]]
+            open_[full] = [not enough(q, first[:, q], last[:, q]) for q in full.tolist()]
         if not open_.any():
             break
     return first, last
@@ -67,14 +72,24 @@ def search_block(query_ids, queries, ids, matrix, trees, k: int, share: float):
     # stretches of several trees overlap; so many rows in all hold about `share` of the block's rows once each
     wanted = int(np.ceil(-np.log1p(-min(share, 0.999)) * n)) + 2 * k
     asked = np.stack([strings(queries, t) for t in range(TREES)])
-    first, last = candidates([h for h, _ in trees], asked, wanted)
-    out_q, out_r, out_d = [], [], []
-    for q in range(len(queries)):
+
+    def gathered(q: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         mark = np.zeros(n, bool)
         for t, (_, order) in enumerate(trees):
-            mark[order[first[t, q]:last[t, q]]] = True
-        mark &= ids != query_ids[q]
-        rows = np.flatnonzero(mark)
+            mark[order[first[t]:last[t]]] = True
+        return np.flatnonzero(mark & (ids != query_ids[q]))
+
+    def enough(q: int, first: np.ndarray, last: np.ndarray) -> bool:
+        longest = int((last - first).max())  # distinct rows of one tree; the query's own may be among them
+        if longest < n and longest <= k + own.get(query_ids[q], 0):
+            return len(gathered(q, first, last)) >= min(k, n - own.get(query_ids[q], 0))
+        return True
+
+    own = dict(zip(*np.unique(ids[np.isin(ids, query_ids)], return_counts=True)))
+    first, last = candidates([h for h, _ in trees], asked, wanted, enough)
+    out_q, out_r, out_d = [], [], []
+    for q in range(len(queries)):
+        rows = gathered(q, first[:, q], last[:, q])
         distance = np.sqrt(((matrix[rows] - queries[q]) ** 2).sum(axis=1))
         if len(rows) > k:
             near = np.flatnonzero(distance <= np.partition(distance, k - 1)[k - 1])

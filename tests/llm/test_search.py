@@ -109,3 +109,15 @@ def test_recall_on_the_corpus(spark):
 def test_empty_tables(spark):
     t = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert blockmax.top_k(t, t).count() == 0 and forest.nearest(t, t).count() == 0
+
+
+def test_forest_small_table_with_copies(spark):
+    """Copies of the query fill every tree's stretch with the same rows; the others are candidates too."""
+    rng = np.random.default_rng(6)
+    made = [(k, [1.0, 2.0, 3.0, 4.0]) for k in range(8)] + [(k, [float(x) for x in rng.normal(size=4)]) for k in range(8, 40)]
+    made += [(k, [5.0, 6.0]) for k in (50, 50, 51)]  # fewer candidates than k
+    t = spark.createDataFrame(made, "vec_id long, embedding array<double>").coalesce(1)
+    got = forest.nearest(t, t.where("vec_id IN (0, 50)")).collect()
+    assert sorted(r["rank"] for r in got if r["query_id"] == 0) == list(range(1, 11))
+    assert [r["vec_id"] for r in sorted(got) if r["query_id"] == 0][:7] == list(range(1, 8))
+    assert [r["vec_id"] for r in got if r["query_id"] == 50] == [51]
