@@ -25,9 +25,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, that with the smallest doc_id; repeated rows are
-    one. A null doc_id is in no class and stays."""
-    first = (dart.near_duplicates(docs).where("doc_id = class_id").groupBy("doc_id").agg(F.min("text_hash").alias("text_hash")))
+    """One text of each class of near duplicates, that with the smallest doc_id; repeated rows are
+    one. A doc_id with unlike texts keeps a row of each. A null doc_id is in no class and stays."""
+    first = dart.text_classes(docs).groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).select("one.*")
     keyed = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     kept = keyed.join(first.hint("shuffle_hash"), ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
     return kept.unionByName(keyed.where(F.col("doc_id").isNull())).select(*DOCUMENT)

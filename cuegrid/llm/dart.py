@@ -209,9 +209,41 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def text_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, class): one row for each distinct text of each document with an id.
+
+    A document's texts are apart here: each (doc_id, text) is a node, named by a 64-bit hash, and
+    `class` is the smallest name that links reach."""
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")).where(
+        F.col("doc_id").isNotNull()).withColumn("node", F.xxhash64("doc_id", "text_hash"))
+    linked = _linked(known.select(F.col("node").alias("doc_id"), "text")).select(F.col("doc_id").alias("node"), F.col("class_id").alias("class")).distinct()
+    return known.select("doc_id", "text_hash", "node").distinct().join(linked, "node").select("doc_id", "text_hash", "class")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, class_id (smallest doc_id of its class), text_hash.
 
+    Documents are of one class if texts of theirs are (`text_classes`), directly or by way of
+    others. Texts without words (null, empty, white space) are alone. A null doc_id has a null
+    class. Rows that share a doc_id are one document, all of whose texts count. Extra columns are
+    ignored; empty tables give no rows."""
+    found = settled(text_classes(docs))
+    classed = found.select("doc_id", "class").distinct()
+    several = classed.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("z")).where("a < z")
+    edges = settled(classed.join(several, "doc_id").where("class > a").select("a", F.col("class").alias("b")).distinct())
+    if not edges.isEmpty():
+        whole = components(edges).select(F.col("node").alias("class"), "label")
+        classed = classed.join(whole, "class", "left").select("doc_id", F.coalesce("label", "class").alias("class")).distinct()
+    least = classed.groupBy("class").agg(F.min("doc_id").alias("class_id"))
+    of_doc = classed.join(least, "class").select("doc_id", "class_id")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")).join(
+        of_doc, "doc_id", "left").select("doc_id", "class_id", "text_hash")
+
+
+def _linked(docs: DataFrame) -> DataFrame:
+    """One row per row of docs(doc_id, text), whose doc_id has one text: doc_id, class_id (smallest
+    doc_id of its class), text_hash.
+
     A text is the multiset of its five-word shingles; two are linked if the weighted Jaccard
     similarity is 0.8 or more, and a class is all that links connect. Texts with one multiset are
     one node from the start (its smallest doc_id), so copies are never paired. Nodes that share a
@@ -223,10 +255,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     what two texts share is at most what either has less what is its own (on shingles that no other
     text in open buckets has), and less the shingles whose slots of a bitmap the other does not
     fill. Pairs within a class could not change it. So no link between candidates is lost, and a
-    bucket of near copies costs about its size.
-
-    Texts without words (null, empty, white space) are alone. A null doc_id has a null class. Rows
-    that share a doc_id are one document. Extra columns are ignored; empty tables give no rows."""
+    bucket of near copies costs about its size."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     known = keyed.where(F.col("doc_id").isNotNull())
     signs = settled(known.mapInArrow(_sign, _SIGNED))

@@ -93,3 +93,18 @@ def test_edges(documents):
     want = classes(rows)
     assert all(r["class_id"] == want[r["doc_id"]] for r in out if r["doc_id"] is not None)
     assert dart.near_duplicates(documents(rows).limit(0)).count() == 0
+
+
+def test_documents_with_several_texts(spark, documents):
+    """Every text of a doc_id finds its near copies, and none vanishes from the corpus."""
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    texts = [" ".join(f"{c}{rng.randrange(900)}" for _ in range(60)) for c in "abcd"]
+    rows = [(9, t) for t in texts] + [(20 + k, t + " end") for k, t in enumerate(texts)] + [(30, "alone here"), (10, texts[0]), (None, texts[1])]
+    docs = documents(rows)
+    out = dart.near_duplicates(docs).collect()
+    want = classes(rows)
+    assert len(out) == len(rows) and all(r["class_id"] == want.get(r["doc_id"]) for r in out)
+    kept = corpus_pipeline.minhash_near_dedup(spark, docs, "").select("doc_id", "text").collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([(9, t) for t in texts] + [(30, "alone here"), (None, texts[1])], key=str)
