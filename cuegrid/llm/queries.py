@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuegrid.llm import blockmax, dart, forest, language, lineblocks, packing, recompress, secrets, shards, transducer
+from cuegrid.llm import blockmax, dart, forest, language, lineblocks, lines, packing, recompress, secrets, shards, transducer
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -81,6 +81,12 @@ def op10_dart_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return dart.near_duplicates(table(spark, folder, "documents")).select("doc_id", "class_id")
 
 
+def op12_line_bitmaps(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    return lines.kept_texts(table(spark, folder, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 #: Checksums by folding over bytes, running sizes in order of doc_id, and where each middle byte lies.
 OP8 = """
 WITH one AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b::UBIGINT, range(8)::UBIGINT[]),
@@ -116,6 +122,17 @@ k AS (SELECT w.doc_id, len(ws) AS n, list_filter(ws, lambda x, i: NOT list_conta
 SELECT doc_id, n::BIGINT AS n_words, (n - len(stay))::BIGINT AS n_removed, sha256(array_to_string(stay, ' ')) AS kept_sha256 FROM k
 """
 
+#: All lines with their keys, and the largest document of each key that repeats.
+OP12 = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, i, ls[i] AS line FROM d, unnest(range(1, len(ls) + 1)) AS t(i)),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+m AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+SELECT k.doc_id, count(*) AS n_lines, count(*) FILTER (keeper <> k.doc_id) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (keeper IS NULL OR keeper = k.doc_id), '')) AS kept_sha256
+FROM k LEFT JOIN m ON k.key = m.key GROUP BY k.doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_block_max_search": OP1, "op5_recompression_dedup": OP5, "op8_byte_shards": OP8, "op10_dart_minhash": OP10}
+    return {"op1_block_max_search": OP1, "op5_recompression_dedup": OP5, "op8_byte_shards": OP8, "op10_dart_minhash": OP10, "op12_line_bitmaps": OP12}
