@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuegrid.llm import blockmax, dart, forest, language, lineblocks, lines, packing, recompress, secrets, shards, transducer
+from cuegrid.llm import blockmax, dart, forest, language, lineblocks, lines, merkle, packing, recompress, secrets, shards, transducer
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -87,6 +87,12 @@ def op12_line_bitmaps(spark: SparkSession, folder: str) -> DataFrame:
     return lines.kept_texts(table(spark, folder, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_midstate_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    return merkle.manifest(table(spark, folder, "documents"), merkle.tampered(F.col("doc_id"), F.col("text")))
+
+
 #: Checksums by folding over bytes, running sizes in order of doc_id, and where each middle byte lies.
 OP8 = """
 WITH one AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b::UBIGINT, range(8)::UBIGINT[]),
@@ -133,6 +139,36 @@ SELECT k.doc_id, count(*) AS n_lines, count(*) FILTER (keeper <> k.doc_id) AS n_
 FROM k LEFT JOIN m ON k.key = m.key GROUP BY k.doc_id
 """
 
+#: All levels of all trees ('=lang' and, above them, '~'), the steps from each leaf to the root, and folds along them.
+OP13 = r"""
+WITH RECURSIVE parts AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, text, array_to_string([CASE WHEN x IS NULL THEN '-' ELSE octet_length(encode(x)) || ':' || x END
+    FOR x IN [doc_id::VARCHAR, source, lang, n_chars::VARCHAR]], '') AS head FROM documents),
+texts AS (SELECT *, CASE WHEN crc % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS other FROM parts JOIN
+  (SELECT doc_id, xor(list_reduce(list_prepend(4294967295::UBIGINT, bytes), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)::UBIGINT[]),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)), 4294967295::UBIGINT) AS crc
+   FROM (SELECT doc_id, list_transform(regexp_extract_all(doc_id::VARCHAR, '.'), lambda x: ascii(x)::UBIGINT) AS bytes FROM documents)) USING (doc_id)),
+leaves AS (SELECT doc_id, tree, sha256(head || CASE WHEN text IS NULL THEN '-' ELSE octet_length(encode(text)) || ':' || text END) AS leaf,
+  sha256(head || CASE WHEN other IS NULL THEN '-' ELSE octet_length(encode(other)) || ':' || other END) AS changed,
+  row_number() OVER (PARTITION BY tree ORDER BY doc_id) - 1 AS idx FROM texts),
+low(tree, level, idx, node) AS (SELECT tree, 0, idx, leaf FROM leaves UNION ALL
+  SELECT tree, level + 1, idx // 8, sha256(string_agg(node, '' ORDER BY idx)) FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM low) WHERE n > 1 GROUP BY tree, level, idx // 8),
+depths AS (SELECT tree, max(level) AS depth FROM low GROUP BY tree),
+subroots AS (SELECT tree, node AS subroot, depth, row_number() OVER (ORDER BY tree) - 1 AS place FROM low JOIN depths USING (tree) WHERE level = depth),
+high(level, idx, node) AS (SELECT 0, place, subroot FROM subroots UNION ALL
+  SELECT level + 1, idx // 8, sha256(string_agg(node, '' ORDER BY idx)) FROM (SELECT *, count(*) OVER () AS n FROM high) WHERE n > 1 GROUP BY level, idx // 8),
+nodes AS (SELECT * FROM low UNION ALL SELECT '~', level, idx, node FROM high),
+top AS (SELECT max(level) AS height, arg_max(node, level) AS root FROM high),
+steps AS (SELECT doc_id, l AS step, tree, l AS level, idx >> (3 * l) AS own FROM leaves JOIN depths USING (tree), unnest(range(depth)) AS t(l)
+  UNION ALL SELECT doc_id, depth + l, '~', l, place >> (3 * l) FROM leaves JOIN subroots USING (tree), top, unnest(range(height)) AS t(l)),
+runs AS (SELECT doc_id, step, own, idx, node FROM steps JOIN nodes ON nodes.tree = steps.tree AND nodes.level = steps.level AND nodes.idx // 8 = own // 8),
+proofs AS (SELECT doc_id, sha256(string_agg(node, '' ORDER BY step, idx)) AS proof FROM runs WHERE idx <> own GROUP BY doc_id),
+folds(doc_id, step, node) AS (SELECT doc_id, 0, changed FROM leaves UNION ALL
+  SELECT f.doc_id, f.step + 1, sha256(string_agg(CASE WHEN idx = own THEN f.node ELSE r.node END, '' ORDER BY idx)) FROM folds AS f JOIN runs AS r ON r.doc_id = f.doc_id AND r.step = f.step GROUP BY f.doc_id, f.step),
+ends AS (SELECT doc_id, arg_max(node, step) AS folded FROM folds GROUP BY doc_id)
+SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM leaves JOIN subroots USING (tree) JOIN ends USING (doc_id) LEFT JOIN proofs USING (doc_id), top
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_block_max_search": OP1, "op5_recompression_dedup": OP5, "op8_byte_shards": OP8, "op10_dart_minhash": OP10, "op12_line_bitmaps": OP12}
+    return {"op1_block_max_search": OP1, "op5_recompression_dedup": OP5, "op8_byte_shards": OP8, "op10_dart_minhash": OP10, "op12_line_bitmaps": OP12, "op13_midstate_manifest": OP13}
