@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuegrid.llm import blockmax, dart, forest, language, lineblocks, lines, merkle, packing, recompress, secrets, shards, transducer
+from cuegrid.llm import blockmax, dart, forest, language, lineblocks, lines, merkle, packing, recompress, secrets, shards, transducer, whitening
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -81,6 +81,10 @@ def op10_dart_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return dart.near_duplicates(table(spark, folder, "documents")).select("doc_id", "class_id")
 
 
+def op11_jacobi_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
 def op12_line_bitmaps(spark: SparkSession, folder: str) -> DataFrame:
     from pyspark.sql import functions as F
 
