@@ -21,8 +21,8 @@ RESIDUAL = 256 * np.finfo(float).eps
 INNER_STEPS, GUARDS = 6, 2
 #: Vectors in the basis before it is cut back to the best Ritz vectors.
 BASIS = 48
-#: Rows of the blocks that products run over.
-BLOCK_ROWS = 4096
+#: Rows of the blocks that products run over, and of the files that hold them, unless those are few.
+BLOCK_ROWS, FILE_ROWS = 4096, 1 << 16
 
 
 def whole(vectors: DataFrame) -> DataFrame:
@@ -60,8 +60,11 @@ class Fit:
 
     def __init__(self, xs: DataFrame, size: int):
         self.size = size
-        distinct = xs.select("x").dropDuplicates(["x"])
-        self.blocks = settled(distinct.mapInArrow(_blocks, "rows int, data binary"))
+        distinct = settled(xs.select("x").dropDuplicates(["x"]))
+        count = distinct.count()
+        # as many files as rows call for, not as many as the shuffle had partitions: each costs every pass a task
+        files = max(1, min(8, -(-count // BLOCK_ROWS)), -(-count // FILE_ROWS))
+        self.blocks = settled(distinct.coalesce(files).mapInArrow(_blocks, "rows int, data binary"))
         self.passes = 0
         # halves of 32 bits, so that sums within a block stay whole
         self.n, low, high = 0, [0] * size, [0] * size
@@ -77,15 +80,18 @@ class Fit:
         self.rest = np.array([(s - int(m) * self.n) / max(1, self.n) - (m - int(m)) for s, m in zip(self.sums, self.mean)])
 
     def _sums(self, of_block: Callable[[np.ndarray], np.ndarray], kind: str, total: str) -> list:
-        """`of_block` of every block, summed by place."""
+        """`of_block` of every block, summed by place: in each task first, then by Spark."""
         size, self.passes = self.size, self.passes + 1
         number = pa.int64() if kind == "bigint" else pa.float64()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            values = None
             for batch in batches:
                 for data in column(batch, "data"):
-                    values = np.asarray(of_block(np.frombuffer(data.as_buffer(), np.int64).reshape(-1, size))).ravel()
-                    yield pa.record_batch({"place": pa.array(np.arange(len(values), dtype=np.int32)), "value": pa.array(values, number)})
+                    more = np.asarray(of_block(np.frombuffer(data.as_buffer(), np.int64).reshape(-1, size))).ravel()
+                    values = more if values is None else values + more
+            if values is not None:
+                yield pa.record_batch({"place": pa.array(np.arange(len(values), dtype=np.int32)), "value": pa.array(values, number)})
 
         parts = self.blocks.mapInArrow(run, f"place int, value {kind}")
         return parts.groupBy("place").agg(F.sum(F.col("value").cast(total)).alias("value")).collect()
