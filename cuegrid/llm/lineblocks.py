@@ -54,9 +54,12 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ABOUT = frozenset("with has no without is not hide show".split())
 # ---- end of fixed values ----
 
+#: An attribute's value: a quote opens one only straight after the equals sign, anywhere else it is a character.
+_VALUE = r"\s*+=\s*+(?:\"([^\"]*+)(?:\"|$)|'([^']*+)(?:'|$)|((?![\"'])[^\s>]*+))"
+_ATTRIBUTE = re.compile(rf"(=?[^\s/>=]++|=)(?:{_VALUE})?", re.S)
 _TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))|\b(hidden)\b", re.S)
+    r"<!--(?:.*?-->|.*)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)"
+    rf"(?P<attrs>(?:[\s/]++|{_ATTRIBUTE.pattern})*+)(?:>|$)", re.S)
 _ENDS = {name: re.compile(rf"</{name}(?=[\s/>]|$)", re.I) for name in RAW}
 _PARTS = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -102,12 +105,9 @@ class _Open:
 
 
 def _attributes(attrs: str) -> dict[str, str]:
-    found = {}
+    found: dict[str, str] = {}
     for m in _ATTRIBUTE.finditer(attrs):
-        if m.group(5):
-            found["hidden"] = ""
-        else:
-            found.setdefault(m.group(1).lower(), next(x for x in m.group(2, 3, 4) if x is not None))
+        found.setdefault(m.group(1).lower(), next((x for x in m.group(2, 3, 4) if x is not None), ""))
     return found
 
 

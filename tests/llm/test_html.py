@@ -117,3 +117,15 @@ def test_parts_of_an_article_by_name(page, part):
 @pytest.mark.parametrize("name", ["ad", "ad-box", "comments", "comment-list", "related", "related-posts", "share-links", "social", "newsletter-form", "google-ad-300x250"])
 def test_boxes_in_an_article_by_name(name):
     assert lineblocks.main_text(f"<article><p>{LONG}</p><div class='{name}'><p>Look here</p></div><p>{LONG}</p></article>") == f"{LONG} {LONG}"
+
+
+@pytest.mark.parametrize("attributes", ["class=main data-t=it's", 'title=5"', "data-x=a'b\"c'", "data-x = \"a>b\" title='it\">'", "a=b/c' d", "= x='1'", 'x="a"y=\'b\'z', "disabled x=", "'", '"', "a'b=c"])
+def test_quotes_in_bare_attributes(attributes):
+    told = [f"The {k}th paragraph of the story has quite a number of words, as stories do." for k in range(5)]
+    body = "".join(f"<p>{x}</p>" for x in told)
+    assert lineblocks.main_text(f"<html><body><div {attributes}>{body}</div></body></html>") == " ".join(told)
+
+
+def test_attributes_take_linear_time():
+    text = lineblocks.main_text("<div " + "a=' b " * 20000 + "><p>" + "x=\"" * 20000)
+    assert isinstance(text, str)
