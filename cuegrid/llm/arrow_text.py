@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Text bytes handled at once. A longer text makes a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _MASK = (1 << 64) - 1
-#: An odd multiplier of the polynomial names, and its inverse modulo 2**64.
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Names of spans are polynomials modulo two primes, with a base for each; two families of them
+#: have nothing in common. Modulo a power of two, whole families of texts would share a name.
+_FAMILIES = (((2147483647, 1103515245), (2147483629, 1664525019)), ((2147483587, 1812433253), (2147483579, 1597334677)))
+#: Words longer than this are named by BLAKE2, shorter ones eight bytes at a time.
+_LONG = 256
 
 #: White space between words: space and the controls 9 to 13.
 _SPACE = np.zeros(256, dtype=bool)
@@ -29,18 +33,32 @@ def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mixed(np.arange(256, dtype=np.uint64), 7)
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_STEP = 4096
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first `n` powers of the base and of its inverse."""
-    if len(_POWERS[0]) < n:
-        for k, b in enumerate((_BASE, _INVERSE)):
-            steps = np.full(max(n, 1 << 16), b, dtype=np.uint64)
-            steps[0] = 1
-            _POWERS[k] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS[0][:n], _POWERS[1][:n]
+class _Powers:
+    """Powers of a base modulo a prime, from two small tables however far they go."""
+
+    def __init__(self, base: int, prime: int):
+        self.base, self.prime = base, prime
+        self.near = self._table(base, _STEP)
+        self.far = np.ones(1, np.uint64)
+
+    def _table(self, base: int, n: int) -> np.ndarray:
+        out, now = np.empty(n, np.uint64), 1
+        for k in range(n):
+            out[k] = now
+            now = now * base % self.prime
+        return out
+
+    def __call__(self, k: np.ndarray) -> np.ndarray:
+        last = int(k.max(initial=0)) // _STEP
+        if len(self.far) <= last:
+            self.far = self._table(pow(self.base, _STEP, self.prime), 2 * last + 1)
+        return self.near[k % _STEP] * self.far[k // _STEP] % np.uint64(self.prime)
+
+
+_POWERS = [[(_Powers(b, p), _Powers(pow(b, -1, p), p), np.uint64(p)) for p, b in family] for family in _FAMILIES]
 
 
 def signed(x: np.ndarray) -> np.ndarray:
@@ -91,13 +109,69 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def names_of_spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int) -> np.ndarray:
-    """A 64-bit name for each span of `values` (uint64): equal spans have equal names."""
-    up, down = powers(len(values) + 1)
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[:-1], out=sums[1:], dtype=np.uint64)
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64), salt)
+def names_of_spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int, family: int = 0) -> np.ndarray:
+    """A 64-bit name for each span of `values` (uint64, well mixed): equal spans have equal names.
+    Each half of the values goes into the polynomial of one prime; the families' names do not
+    follow from one another."""
+    at, length = np.arange(len(values)), (ends - starts).astype(np.uint64)
+    parts = []
+    for half, (up, down, prime) in zip((values & np.uint64(0xFFFFFFFF), values >> np.uint64(32)), _POWERS[family]):
+        sums = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(half % prime * up(at) % prime, out=sums[1:], dtype=np.uint64)
+        parts.append((sums[ends] - sums[starts]) % prime * down(starts) % prime)
+    return mixed((parts[0] << np.uint64(31) | parts[1]) ^ mixed(length, salt + 64), salt)
+
+
+class Eights:
+    """The bytes of spans, eight at a time."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        padded = np.zeros(len(data) + 8, np.uint8)
+        padded[:len(data)] = data
+        self.view = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+        self.starts, self.length = starts, ends - starts
+
+    def at(self, spans: np.ndarray, k: int) -> np.ndarray:
+        """Bytes 8 k to 8 k + 8 of the given spans, zeros behind their ends."""
+        left = np.minimum(self.length[spans] - 8 * k, 8)
+        return self.view[self.starts[spans] + 8 * k].astype(np.uint64) & _FIRST_BYTES[left]
+
+
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def word_names(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 1) -> np.ndarray:
-    return names_of_spans(_BYTE[data], starts, ends, salt)
+    """A 64-bit name for each short span of bytes. Eight bytes at a time go through a scrambling that
+    is no polynomial, so no family of words shares a name."""
+    length = (ends - starts).astype(np.int64)
+    names = mixed(length.astype(np.uint64), salt)
+    eights = Eights(data, starts, ends)
+    on, k = np.flatnonzero((length > 0) & (length <= _LONG)), 0
+    while len(on):
+        names[on] = mixed(names[on] ^ eights.at(on, k), salt + 32)
+        k += 1
+        on = on[length[on] > 8 * k]
+    for w in np.flatnonzero(length > _LONG).tolist():
+        told = hashlib.blake2b(data[starts[w]:ends[w]].tobytes(), digest_size=8, salt=salt.to_bytes(8, "little"))
+        names[w] = int.from_bytes(told.digest(), "little")
+    return names
+
+
+def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each span's bytes, the first span with each number). Spans are grouped by name and
+    then compared byte by byte with their group's first."""
+    codes, names = pd.factorize(word_names(data, starts, ends))
+    first = np.empty(len(names), np.int64)
+    first[codes[::-1]] = np.arange(len(codes))[::-1]  # the earliest span is written last
+    like = first[codes]
+    own, other = Eights(data, starts, ends), Eights(data, starts[like], ends[like])
+    same, on, k = np.array_equal(own.length, other.length), np.flatnonzero(np.arange(len(like)) != like), 0
+    while same and len(on):
+        same = np.array_equal(own.at(on, k), other.at(on, k))
+        k += 1
+        on = on[own.length[on] > 8 * k]
+    if not same:  # two unlike spans of one name: group by the bytes themselves
+        codes, _ = pd.factorize(np.array([data[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())], object))
+        first = np.empty(codes.max() + 1, np.int64)
+        first[codes[::-1]] = np.arange(len(codes))[::-1]
+    return codes, first

@@ -114,7 +114,7 @@ def _earliest(owner, element, weight, until, sets, coordinates) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text", 3 << 20):
+    for batch in slices(batches, "text"):
         n = batch.num_rows
         owner, shingle, weight = weighted_shingles(column(batch, "text"))
         values = dart_signatures(owner, shingle, weight, n, BANDS * ROWS).reshape(n, BANDS, ROWS)
@@ -153,7 +153,7 @@ def similarity(left: pa.Array, right: pa.Array) -> np.ndarray:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text_b", 1 << 20):
+    for batch in slices(batches, "text_b"):
         close = similarity(column(batch, "text_a"), column(batch, "text_b")) >= SIMILARITY - 1e-12
         yield pa.record_batch({"a": column(batch, "a"), "b": column(batch, "b")}).filter(pa.array(close))
 
@@ -172,7 +172,7 @@ def own_weight(texts: DataFrame) -> DataFrame:
 
 
 def _bitmaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "text", 1 << 20):
+    for batch in slices(batches, "text"):
         n = batch.num_rows
         owner, shingle, weight = weighted_shingles(column(batch, "text"))
         slots = np.zeros((n, SLOTS), bool)
@@ -272,7 +272,7 @@ def _linked(docs: DataFrame) -> DataFrame:
     hubs = buckets.join(degrees, "node").groupBy("band").agg(F.min(F.struct(-F.col("degree"), "node")).alias("h")).select("band", F.col("h.node").alias("hub"))
     met = settled(_ordered(buckets.join(hubs, "band").where("node <> hub").select("hub", "node")))
     involved = chosen.join(degrees.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    texts = settled(known.join(involved.hint("shuffle_hash"), ["doc_id", "text_hash"], "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]))
+    texts = settled(known.join(involved, ["doc_id", "text_hash"], "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"]))
     # a document whose rows have several texts is one node to begin with
     same = member.where("doc_id <> node").join(chosen.select("doc_id"), "doc_id", "left_semi").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     labels = components(settled(verified(met, texts).unionByName(same).distinct()))

@@ -14,7 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cuegrid.llm.arrow_text import column, mixed, names_of_spans, slices
+from cuegrid.llm.arrow_text import column, mixed, slices, word_names
 
 #: Documents the model is fitted on at most, chosen by a hash of doc_id.
 TRAINING_DOCS = 1_600
@@ -30,7 +30,7 @@ LEXICON = 20_000
 LANGUAGES = 200
 UNKNOWN = "und"
 
-_RESULT = "lang_pred string, score double, n_words long, n_switches long, shares map<string,double>"
+_RESULT = "lang_pred string, score double, n_words long, n_switches long"
 
 
 @lru_cache(maxsize=1)
@@ -105,7 +105,7 @@ def features(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, lexicon:
 
 
 def word_keys(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return names_of_spans(mixed(points.astype(np.uint64), 49), starts, ends, 48)
+    return word_names(points.astype("<u4").view(np.uint8), 4 * starts, 4 * ends, 48)
 
 
 @dataclass
@@ -291,7 +291,7 @@ def train(docs: DataFrame, most: int = TRAINING_DOCS) -> Model:
     return fit([r["text"] for r in taken], [r["lang"] for r in taken])
 
 
-def _label(packed: bytes):
+def _label(packed: bytes, shares: bool):
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(packed)
         k, names = len(model.languages), model.languages
@@ -306,13 +306,13 @@ def _label(packed: bytes):
             best = share.argmax(axis=1) if k else np.zeros(n, int)
             word = gamma.argmax(axis=1) if k else np.zeros(len(starts), int)
             turned = (word[1:] != word[:-1]) & (owner[1:] == owner[:-1])
+            told = {"shares": pa.array([list(zip(names, row)) if y else [] for row, y in zip(share.tolist(), known.tolist())], pa.map_(pa.string(), pa.float64()))} if shares else {}
             yield pa.record_batch({
                 **{f.name: batch.column(j) for j, f in enumerate(batch.schema) if f.name not in ("lang_pred", "score", "n_words", "n_switches", "shares")},
                 "lang_pred": pa.array([names[b] if y else UNKNOWN for b, y in zip(best.tolist(), known.tolist())], pa.string()),
                 "score": pa.array(np.clip(np.where(known, share[np.arange(n), best] if k else 0.0, 0.0), 0.0, 1.0)),
                 "n_words": pa.array(count.astype(np.int64)),
-                "n_switches": pa.array(np.bincount(owner[1:][turned], minlength=n).astype(np.int64)),
-                "shares": pa.array([list(zip(names, row)) if y else [] for row, y in zip(share.tolist(), known.tolist())], pa.map_(pa.string(), pa.float64()))})
+                "n_switches": pa.array(np.bincount(owner[1:][turned], minlength=n).astype(np.int64)), **told})
 
     return label
 
@@ -322,8 +322,8 @@ def _model(packed: bytes) -> Model:
     return pickle.loads(base64.b64decode(packed))
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with lang_pred, score, n_words, n_switches and shares.
+def predict(docs: DataFrame, model: Model, shares: bool = True) -> DataFrame:
+    """`docs` with lang_pred, score, n_words, n_switches and, if wanted, shares.
 
     Each line of a text is a chain of words; forward-backward gives every word its posterior over the
     languages, so a text that switches is labelled word by word. shares are the mean posteriors;
@@ -334,7 +334,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     names = ("lang_pred", "score", "n_words", "n_switches", "shares")
     kept = docs.drop(*names)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(_label(packed), f"{schema}, {_RESULT}")
+    return kept.mapInArrow(_label(packed, shares), f"{schema}, {_RESULT}" + (", shares map<string,double>" if shares else ""))
 
 
 def word_labels(text: str, model: Model) -> list[tuple[int, int, str, float]]:

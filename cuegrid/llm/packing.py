@@ -8,15 +8,14 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from cuegrid.llm.arrow_text import column, names_of_spans, slices, text_bytes, word_bounds
+from cuegrid.llm.arrow_text import column, distinct_spans, slices, text_bytes, word_bounds
 from cuegrid.llm.lineage import settled
 
 #: Words whose ids a worker remembers; beyond that it starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 #: Unknown words encoded by one call.
 TOGETHER = 2_000
 
@@ -48,7 +47,7 @@ class WordCodec:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
+        self.place: dict[bytes, int] = {}
         self.bounds = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
@@ -72,10 +71,11 @@ class WordCodec:
         finishes = np.sort(np.concatenate([ends, cut]))
         return lower, letter, begins, finishes, np.searchsorted(begins, offsets)
 
-    def learn(self, names: list[int], words: list[str], simple: np.ndarray) -> None:
+    def learn(self, spelt: list[bytes], simple: np.ndarray) -> None:
         """Encode words not yet known. Simple words (letters only) make one run of merges each, whose
         last token alone ends a word, so many are encoded as one text; others are set apart by a
         separator that is a token of its own, or encoded alone where they hold such a token."""
+        words = [w.decode("utf-8", "surrogatepass") for w in spelt]
         counts = np.zeros(len(words), np.int64)
         order: list[np.ndarray] = []
         parts: list[np.ndarray] = []
@@ -104,7 +104,7 @@ class WordCodec:
                 parts.append(ids)
         done = np.concatenate(order)
         base = len(self.bounds) - 1
-        self.place.update(zip([names[k] for k in done.tolist()], range(base, base + len(done))))
+        self.place.update(zip([spelt[k] for k in done.tolist()], range(base, base + len(done))))
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(counts[done])])
         self.ids = np.concatenate([self.ids, *parts])
 
@@ -114,28 +114,23 @@ class WordCodec:
         lower, letter, starts, ends, firsts = self.spans(data, offsets)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        codes, names = pd.factorize(names_of_spans(_SPREAD[lower], starts, ends, 3))
-        names = names.tolist()
-        if len(self.place) + len(names) > REMEMBERED:
+        codes, first = distinct_spans(lower, starts, ends)
+        raw = lower.tobytes()
+        spelt = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+        if len(self.place) + len(spelt) > REMEMBERED:
             self.clear()
-        new = [k for k, n in enumerate(names) if n not in self.place]
+        new = [k for k, w in enumerate(spelt) if w not in self.place]
         if new:
-            first = np.empty(len(names), np.int64)
-            first[codes[::-1]] = np.arange(len(codes))[::-1]  # the earliest place is written last
-            raw, at = lower.tobytes(), first[new]
+            at = first[new]
             others = np.concatenate([[0], np.cumsum(~letter)])
-            self.learn([names[k] for k in new], [raw[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[at].tolist(), ends[at].tolist())],
-                       others[starts[at]] == others[ends[at]])
-        place = np.array([self.place[n] for n in names], np.int64)[codes]
+            self.learn([spelt[k] for k in new], others[starts[at]] == others[ends[at]])
+        place = np.array([self.place[w] for w in spelt], np.int64)[codes]
         begin, n = self.bounds[place], self.bounds[place + 1] - self.bounds[place]
         before = np.cumsum(n) - n
         ids = self.ids[np.arange(int(n.sum())) + np.repeat(begin - before, n)]
         return ids, np.append(before, len(ids))[firsts]
 
 
-_SPREAD = (np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9FB21C651E98DF25)
-
-
 @lru_cache(maxsize=2)
 def codec(path: str) -> WordCodec:
     return WordCodec(path)

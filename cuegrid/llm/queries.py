@@ -33,7 +33,7 @@ def op2_crf_language(spark: SparkSession, folder: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
-    seen = language.predict(docs.select("doc_id", "text"), language.train(docs))
+    seen = language.predict(docs.select("doc_id", "text"), language.train(docs), shares=False)
     return seen.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "n_words", "n_switches")
 
 

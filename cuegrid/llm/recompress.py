@@ -21,10 +21,10 @@ _FAR = np.int64(1) << 40
 _SIDES = mixed(np.arange(64, dtype=np.uint64), 5) | np.uint64(1)
 _FORE, _HIND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
-#: A place in a document: 24 bits of its text's hash, 8 bits of a count of windows, 32 bits of the first.
+#: A place in a text: a count of windows above 32 bits of the first.
 _COUNT = 255
-_ANCHORS = "symbol long, region long, doc_id long, place long"
-_WINDOWS = "window long, check long, doc_id long, place long"
+_ANCHORS = "symbol long, region long, doc_id long, text_hash long, place long"
+_WINDOWS = "window long, check long, doc_id long, text_hash long, place long"
 _RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -100,19 +100,22 @@ def levels(names: np.ndarray, text: np.ndarray, rounds: int = ROUNDS) -> Iterato
 
 
 class Texts:
-    """Words of a slice of documents: names, the text of each, and each text's first word."""
+    """Words of a slice of documents: two names that do not follow from one another, the text of each,
+    and each text's first word."""
 
-    def __init__(self, batch: pa.RecordBatch, salt: int = 1):
+    def __init__(self, batch: pa.RecordBatch):
         data, offsets = text_bytes(column(batch, "text"))
         starts, ends, self.firsts = word_bounds(data, offsets)
-        self.names = word_names(data, starts, ends, salt)
+        self.names, self.others = word_names(data, starts, ends, 1), word_names(data, starts, ends, 2)
         self.text = np.repeat(np.arange(batch.num_rows), np.diff(self.firsts))
         self.doc_ids = column(batch, "doc_id").to_numpy()
-        self.hashes = (column(batch, "text_hash").to_numpy().view(np.uint64) >> np.uint64(40)) << np.uint64(40)
+        self.hashes = column(batch, "text_hash").to_numpy()
 
-    def places(self, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    def places(self, first: np.ndarray, count: np.ndarray) -> dict[str, pa.Array]:
+        """Which text so many windows from `first` on belong to, and where they begin in it."""
         text = self.text[first]
-        return signed(self.hashes[text] | (count.astype(np.uint64) << np.uint64(32)) | (first - self.firsts[text]).astype(np.uint64))
+        return {"doc_id": pa.array(self.doc_ids[text]), "text_hash": pa.array(self.hashes[text]),
+                "place": pa.array(count.astype(np.int64) << 32 | (first - self.firsts[text]))}
 
 
 def count_of(place):
@@ -125,7 +128,7 @@ def first_of(place):
 
 def _anchors(window: int, rounds: int):
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text"):
             t = Texts(batch)
             n = len(t.names)
             if n < window:
@@ -155,31 +158,29 @@ def _anchors(window: int, rounds: int):
             count = np.diff(np.r_[head, len(windows)])
             first = windows[head]
             offset = np.where(known[head], anchor[head] - first, -1)
-            region = mixed(names_of_spans(t.names, first, first + count + window - 1, 23) + offset.astype(np.int64).view(np.uint64), 24)
+            region = mixed(names_of_spans(t.others, first, first + count + window - 1, 23, family=1) + offset.astype(np.int64).view(np.uint64), 24)
             yield pa.record_batch({
-                "symbol": pa.array(signed(key[head])), "region": pa.array(signed(region)),
-                "doc_id": pa.array(t.doc_ids[t.text[first]]), "place": pa.array(t.places(first, count))})
+                "symbol": pa.array(signed(key[head])), "region": pa.array(signed(region)), **t.places(first, count)})
 
     return anchors
 
 
 def _windows(window: int):
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text"):
             batch = batch.filter(pc.is_valid(column(batch, "places")))
             if not batch.num_rows:
                 continue
             t = Texts(batch)
             lists = column(batch, "places")
-            places = lists.flatten().to_numpy().view(np.uint64)
+            places = lists.flatten().to_numpy()
             owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
             count = (count_of(places)).astype(np.int64)
             first = first_of(places).astype(np.int64) + t.firsts[owner]
             at = np.repeat(first, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
             yield pa.record_batch({
                 "window": pa.array(signed(names_of_spans(t.names, at, at + window, 25))),
-                "check": pa.array(signed(names_of_spans(mixed(t.names, 26), at, at + window, 27))),
-                "doc_id": pa.array(t.doc_ids[t.text[at]]), "place": pa.array(t.places(at, np.ones(len(at), np.int64)))})
+                "check": pa.array(signed(names_of_spans(t.others, at, at + window, 27, family=1))), **t.places(at, np.ones(len(at), np.int64))})
 
     return windows
 
@@ -231,35 +232,37 @@ def dedup(docs: DataFrame, window: int = 50, rounds: int = ROUNDS) -> DataFrame:
     windows they stand for) are named as well: where a smaller document has the same region, all its
     windows are repeated; where only the symbol is shared, the windows themselves are compared, by
     two names together. All counts and joins are combined before shuffling or can be split by Spark
-    where one passage is very common; no group is gathered, except the places of one text.
+    where one passage is very common; no group is gathered, except the places of one text. A text
+    is known by its doc_id and a 64-bit hash, so unlike texts of one doc_id stay apart.
 
     Adds n_words, n_removed, kept_sha256, kept (the words left, joined by one space); keeps other
     columns, but for those with these names or those of the scratch columns in `_SCRATCH`. Null or empty text: no words. A null doc_id is not smaller than any and nothing is
     removed from it. Rows with one doc_id do not affect one another. Empty tables give no rows."""
-    keyed = docs.drop(*_ADDED, *_SCRATCH).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("text_place", F.expr("text_hash >> 40"))
+    keyed = docs.drop(*_ADDED, *_SCRATCH).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     light = keyed.where(F.col("doc_id").isNotNull()).select("doc_id", "text", "text_hash")
     anchors = light.mapInArrow(_anchors(window, rounds), _ANCHORS)
     shared = anchors.groupBy("symbol").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("symbol")
     repeated = settled(anchors.join(shared, "symbol"))
-    regions = repeated.groupBy("symbol", "region").agg(F.min("doc_id").alias("source"))
+    # what joins rows by their own key is written first, so that nothing but a shuffle lies below the join and Spark can split a hot key
+    regions = settled(repeated.groupBy("symbol", "region").agg(F.min("doc_id").alias("source")))
     marked = repeated.join(regions, ["symbol", "region"])
-    whole = marked.where("doc_id > source").select("doc_id", "place")
-    several = regions.groupBy("symbol").agg(F.count("*").alias("n")).where("n > 1").select("symbol")
-    partly = marked.where("doc_id = source").join(several, "symbol").select("doc_id", "place")
-    # both passes over the texts join the same rows, all columns alike, so that texts are shuffled once
-    texts = lambda places: keyed.join(_lists(places).hint("shuffle_hash"), ["doc_id", "text_place"], "left")
-    singles = texts(partly).mapInArrow(_windows(window), _WINDOWS)
-    origins = singles.groupBy("window", "check").agg(F.min("doc_id").alias("source"))
-    single = singles.join(origins, ["window", "check"]).where("doc_id > source").select("doc_id", "place")
+    whole = marked.where("doc_id > source").select(*_PLACE)
+    several = settled(regions.groupBy("symbol").agg(F.count("*").alias("n")).where("n > 1").select("symbol"))
+    partly = marked.where("doc_id = source").join(several, "symbol").select(*_PLACE)
+    texts = lambda places: keyed.join(_lists(places), ["doc_id", "text_hash"], "left")
+    singles = settled(texts(partly).mapInArrow(_windows(window), _WINDOWS))
+    origins = settled(singles.groupBy("window", "check").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("last")).where("source < last").drop("last"))
+    single = singles.join(origins, ["window", "check"]).where("doc_id > source").select(*_PLACE)
     joined = texts(whole.unionByName(single))
     others = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema if f.name not in _SCRATCH)
     return joined.mapInArrow(_kept(window), f"{others}, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
-_SCRATCH = ("places", "text_hash", "text_place")
+_PLACE = ("doc_id", "text_hash", "place")
+_SCRATCH = ("places", "text_hash")
 _ADDED = ("n_words", "n_removed", "kept_sha256", "kept")
 
 
 def _lists(places: DataFrame) -> DataFrame:
     """The places of each text; their number is bounded by the text's words."""
-    return places.groupBy("doc_id", F.expr("place >> 40").alias("text_place")).agg(F.collect_list("place").alias("places"))
+    return places.groupBy("doc_id", "text_hash").agg(F.collect_list("place").alias("places"))

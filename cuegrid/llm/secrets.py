@@ -78,7 +78,7 @@ def scan_blobs(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
         seen = ledger.where(F.col("rule_version") == RULE_VERSION).select("blob").distinct()
         chosen, lone = chosen.join(seen, "blob", "left_anti"), lone.join(seen, "blob", "left_anti")
     # repeated rows of one doc_id may hold one content; the second scan of it is dropped
-    held = rows.join(chosen.hint("shuffle_hash"), ["doc_id", "blob"], "left_semi").select("text", "blob")
+    held = rows.join(chosen, ["doc_id", "blob"], "left_semi").select("text", "blob")
     return held.unionByName(lone.select("text", "blob")).mapInArrow(_scan, _FINDINGS).dropDuplicates(["blob"])
 
 

@@ -8,11 +8,10 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cuegrid.llm.arrow_text import _BYTE, column, names_of_spans, slices
+from cuegrid.llm.arrow_text import column, distinct_spans, slices
 
 #: Units, and neighbouring pairs of pieces, that a worker remembers; beyond that it starts afresh.
 REMEMBERED, PAIRS = 1_500_000, 800_000
@@ -103,7 +102,7 @@ class Transducer:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
+        self.place: dict[bytes, int] = {}
         self.bounds = np.zeros(1, np.int64)
         self.known = np.zeros(0, np.uint32)
 
@@ -209,21 +208,18 @@ class Transducer:
         fresh[1:-1] |= plain[:-1] & plain[1:] & ~self.inner[data[:-1] & 127, data[1:] & 127]
         starts = np.flatnonzero(fresh[:-1])
         ends = np.append(starts[1:], len(data))
-        codes, names = pd.factorize(names_of_spans(_BYTE[data], starts, ends, 4))
-        names = names.tolist()
-        if len(self.place) + len(names) > REMEMBERED:
+        codes, first = distinct_spans(data, starts, ends)
+        spelt = [joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+        if len(self.place) + len(spelt) > REMEMBERED:
             self.clear()
-        new = [k for k, n in enumerate(names) if n not in self.place]
+        new = [w for w in spelt if w not in self.place]
         if new:
-            first = np.empty(len(names), np.int64)
-            first[codes[::-1]] = np.arange(len(codes))[::-1]
-            at = first[new]
-            found = [self.ids_of(joined[a:b].decode("utf-8", "surrogatepass").replace(" ", SPACE)) for a, b in zip(starts[at].tolist(), ends[at].tolist())]
+            found = [self.ids_of(w.decode("utf-8", "surrogatepass").replace(" ", SPACE)) for w in new]
             base = len(self.bounds) - 1
-            self.place.update(zip([names[k] for k in new], range(base, base + len(new))))
+            self.place.update(zip(new, range(base, base + len(new))))
             self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum([len(x) for x in found])])
             self.known = np.concatenate([self.known, np.array([i for x in found for i in x], np.uint32)])
-        place = np.array([self.place[n] for n in names], np.int64)[codes]
+        place = np.array([self.place[w] for w in spelt], np.int64)[codes]
         begin, n = self.bounds[place], self.bounds[place + 1] - self.bounds[place]
         before = np.cumsum(n) - n
         ids = self.known[np.arange(int(n.sum())) + np.repeat(begin - before, n)]
