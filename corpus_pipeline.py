@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,6 +9,7 @@ from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cuegrid.llm import dart, language, packing, recompress, secrets
+from cuegrid.session import shared_folder
 
 #: Columns that every stage but the last returns.
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
@@ -20,7 +20,7 @@ LEAST_SHARE = 0.5
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one language: those without letters go, and those that no language has half of.
     The model learns from what is labelled among these documents."""
-    seen = language.predict(docs, language.train(docs))
+    seen = language.predict(docs.select(*DOCUMENT), language.train(docs), shares=False)
     return seen.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(*DOCUMENT)
 
 
@@ -29,7 +29,7 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     one. A doc_id with unlike texts keeps a row of each. A null doc_id is in no class and stays."""
     first = dart.text_classes(docs).groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).select("one.*")
     keyed = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = keyed.join(first.hint("shuffle_hash"), ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    kept = keyed.join(first, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id", "text_hash"])
     return kept.unionByName(keyed.where(F.col("doc_id").isNull())).select(*DOCUMENT)
 
 
@@ -63,13 +63,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents. Each result is written as Parquet into the folder that
-    ``spark.checkpoint.dir`` names and read again, so that a lost executor costs one stage."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="corpus-pipeline-")
-    base = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    ``spark.checkpoint.dir`` names and read again, so that a lost executor costs one stage. The
+    folders ``pipeline-*`` and ``scratch-*`` there may go once the returned rows are stored. Columns
+    of documents other than those of `DOCUMENT` are left behind by the first stage."""
+    base = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{k}_{name}")
