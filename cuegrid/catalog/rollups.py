@@ -74,7 +74,7 @@ def argmax_within_tolerance(spark, folder):
 def channel_stats(spark, folder):
     from cuegrid.operators.sequences import channel_stats as stats
 
-    return stats(T.pixels(spark, folder)).select("scene", "channel", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+    return stats(T.pixels(spark, folder), "scene").select("scene", "channel", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
 @query("a9_scene_text", "SELECT script_id, scene_ix, text FROM scn", "scn")

@@ -17,6 +17,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # whole texts go to the Python workers by bytes, not by rows
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
 }
 
 
@@ -40,6 +42,7 @@ def local_session(cores: int = 8, memory: str = "12g") -> SparkSession:
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
 
 
