@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from cuegrid.catalog import tables as T
 from cuegrid.catalog.base import block, query
 from cuegrid.streaming import events as E
+from cuegrid.streaming.alarms import run_alarms
 from cuegrid.streaming.run import run_available
 
 C = F.col
@@ -57,6 +58,18 @@ def failure_alarms(spark, folder):
     return run_available(E.failure_alarms(rows, "user_id"))
 
 
+@query("r4_quota_alarms", """
+  SELECT user_id, event_id AS seq, CASE WHEN spent THEN 'quota' ELSE 'streak' END AS alarm FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id, g, bad ORDER BY ts, event_id) AS streak FROM (
+      SELECT *, event_type = 'error' AS bad, event_type = 'error' AND value > 40 AS spent,
+        sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM events)) WHERE bad AND (spent OR streak = 3)""")
+def quota_alarms(spark, folder):
+    """An error of a high value stands for a spent quota."""
+    bad = C("event_type") == "error"
+    rows = _stream(spark, folder).select("user_id", "ts", C("event_id").alias("seq"), bad.alias("failed"), (bad & (C("value") > 40)).alias("quota"))
+    return run_alarms(rows, "user_id")
+
+
 #: Requests (views) with the next answer (click) of their user; one that is late is given up as soon as
 #: a later event of its user or the watermark shows it.
 block("answered", """

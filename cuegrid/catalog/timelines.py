@@ -233,6 +233,18 @@ def failure_streak(spark, folder):
                             3, F.floor(C("scene") / SMALL_ORDERS)).select("project", "scene", "streak", "attempted")
 
 
+@query("w15_quota_stop", """
+  SELECT project, scene, streak, coalesce(max(ends) OVER (PARTITION BY project ORDER BY scene ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS attempted FROM (
+    SELECT *, CASE WHEN streak >= 3 OR spent THEN 1 ELSE 0 END AS ends FROM (
+      SELECT *, CASE WHEN status = 'failed' THEN row_number() OVER (PARTITION BY project, g, status = 'failed' ORDER BY scene) ELSE 0 END AS streak
+      FROM (SELECT *, status = 'failed' AND audio_ms % 5 = 0 AS spent, sum(CASE WHEN status <> 'failed' THEN 1 ELSE 0 END) OVER (PARTITION BY project ORDER BY scene) AS g
+        FROM osc)))""", "osc")
+def quota_stop(spark, folder):
+    """A failure whose audio length is a multiple of five milliseconds stands for a spent quota."""
+    return S.failure_streak(T.order_scenes(spark, folder), "project", "scene", C("status") == "failed", 3, F.floor(C("scene") / SMALL_ORDERS),
+                            quota=(C("status") == "failed") & (C("audio_ms") % 5 == 0)).select("project", "scene", "streak", "attempted")
+
+
 @query("w16_budget", """
   SELECT project, scene FROM (SELECT *, sum(CASE WHEN status <> 'complete' THEN 1 ELSE 0 END) OVER (
     PARTITION BY project ORDER BY scene) AS used FROM osc) WHERE used <= 3""", "osc")

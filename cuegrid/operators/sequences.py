@@ -9,6 +9,7 @@ from cuegrid.functions.scalars import segment_suffix
 from cuegrid.functions.text import share_words
 from cuegrid.operators.intervals import nearest_within, percentiles
 from cuegrid.operators.rows import unfold
+from cuegrid.operators.runs import failure_runs
 from cuegrid.operators.scan import scan
 from cuegrid.session import cut_lineage
 
@@ -25,20 +26,10 @@ def running_offset(scenes: DataFrame, key: str, order: str, length: Column,
 
 
 def failure_streak(scenes: DataFrame, key: str, order: str, failed: Column, limit: int = 3,
-                   chunk: Column | None = None) -> DataFrame:
+                   chunk: Column | None = None, quota: Column | None = None) -> DataFrame:
     """Adds `streak` (failures in a row up to and including the row) and `attempted` (false
-    from the row on that follows `limit` failures in a row)."""
-    place = ordinal_chunk(order) if chunk is None else chunk
-    numbered = scan(scenes.withColumn("_bad", failed), [key], [order], place, number="_n")
-    seen = scan(cut_lineage(numbered), [key], [order], place,
-                maxes={"_ok": F.when(~F.col("_bad"), F.col("_n"))},
-                maxes_before={"_ok_before": F.when(~F.col("_bad"), F.col("_n"))})
-    seen = (seen.withColumn("streak", F.col("_n") - F.coalesce("_ok", F.lit(0)))
-            .withColumn("_hit", (F.col("_n") - 1 - F.coalesce("_ok_before", F.lit(0)) >= limit)
-                        .cast("int")))
-    stopped = scan(cut_lineage(seen), [key], [order], place, maxes={"_stop": F.col("_hit")})
-    return stopped.withColumn("attempted", F.col("_stop") == 0).drop(
-        "_bad", "_n", "_ok", "_ok_before", "_hit", "_stop")
+    from the row on that follows `limit` failures in a row or a spent quota)."""
+    return failure_runs(scenes, [key], [order], failed, ordinal_chunk(order) if chunk is None else chunk, quota=quota, limit=limit)
 
 
 def within_budget(scenes: DataFrame, key: str, order: str, needs: Column, budget: int,
