@@ -1,4 +1,4 @@
-"""Run events as streams: counts, states, streaks, durations, timeouts.
+"""Run events as streams: counts, states, durations, timeouts.
 
 Each function takes and returns a (streaming or batch) DataFrame; the caller starts the
 query. Events later than the watermark are dropped by the stateful operators."""
@@ -35,28 +35,6 @@ def latest_states(events: DataFrame, keys: list[str], status: str = "status", ts
         *keys, status, F.col(f"_at.{ts}").alias(ts), F.col(f"_at.{seq}").alias(seq))
 
 
-def failure_alarms(events: DataFrame, key: str, limit: int = 3) -> DataFrame:
-    """events(key, ts, seq, failed) -> (key, seq) of the event that makes `limit` failures in a
-    row. One counter per key is carried between micro-batches; the events of a key within a
-    micro-batch are ordered first, so bound the batch with maxFilesPerTrigger; in batch, and for keys of
-    any size, use sequences.failure_streak."""
-    kind = events.schema[key].dataType.simpleString()
-
-    def count(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        run = state.get[0] if state.exists else 0
-        rows = pd.concat(list(frames)).sort_values(["ts", "seq"])
-        hits = []
-        for seq, failed in zip(rows["seq"], rows["failed"]):
-            run = run + 1 if failed else 0
-            if run == limit:
-                hits.append(seq)
-        state.update((run,))
-        yield pd.DataFrame({key: [group[0]] * len(hits), "seq": hits})
-
-    return events.select(key, "ts", "seq", "failed").groupBy(key).applyInPandasWithState(
-        count, f"{key} {kind}, seq long", "run int", "append", GroupStateTimeout.NoTimeout)
-
-
 def answered_requests(events: DataFrame, key: str, deadline_s: int) -> DataFrame:
     """events(key, ts, seq, kind 'request'|'done') -> (key, seq, done_seq, micros): each request with
     the first 'done' of its key behind it (by time, then seq), or with nulls once its own deadline

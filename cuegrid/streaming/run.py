@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 
+from cuegrid.session import shared_folder
+
 
 def work_folder(df: DataFrame) -> str:
-    """A fresh folder under the shared checkpoint folder (a temporary one only where the
-    session names none)."""
-    root = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(
-        prefix="cuegrid-stream-")
-    return f"{root}/stream-{uuid.uuid4().hex}"
+    """A fresh folder under the folder that all executors share. It may go once the results that
+    were read from it are stored."""
+    return f"{shared_folder(df.sparkSession).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def run_available(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:

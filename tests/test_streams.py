@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from cuegrid.streaming import events as E
+from cuegrid.streaming.alarms import run_alarms
 from cuegrid.streaming.run import run_available
 
 BASE = dt.datetime(2024, 1, 1)
@@ -27,11 +28,11 @@ def test_failure_counter_spans_batches_and_resets(spark, tmp_path):
     schema = "user string, ts timestamp, seq long, failed boolean"
     src, state = str(tmp_path / "in"), str(tmp_path / "work")
     feed(spark, src, [("u", at(1), 1, True), ("u", at(2), 2, True)], schema)
-    alarms = E.failure_alarms(stream(spark, src, schema), "user")
-    assert run_available(alarms, folder=state).count() == 0
+    rows = stream(spark, src, schema).withColumn("quota", F.lit(False))
+    assert run_alarms(rows, "user", folder=state).count() == 0
     feed(spark, src, [("u", at(3), 3, True), ("u", at(4), 4, False), ("u", at(5), 5, True)], schema)
-    alarms = E.failure_alarms(stream(spark, src, schema), "user")
-    assert [r.seq for r in run_available(alarms, folder=state).collect()] == [3]
+    rows = stream(spark, src, schema).withColumn("quota", F.lit(False))
+    assert [r.seq for r in run_alarms(rows, "user", folder=state).collect()] == [3]
 
 
 def test_latest_state_can_go_back(spark, tmp_path):
