@@ -9,7 +9,8 @@ from cuegrid.catalog.base import query
 from cuegrid.functions import scalars as D, text as X
 from cuegrid.operators import reports as R
 from cuegrid.operators.subtitles import build_cues, cue_blocks
-from cuegrid.sources import documents as DOC, files as FILES, logs as L
+from cuegrid.sources import documents as DOC, files as FILES, logs as L, sinks as SINKS, texts as TEXTS
+from cuegrid.streaming.run import work_folder
 
 C = F.col
 
@@ -111,6 +112,58 @@ def subtitle_rows(spark, folder):
     return build_cues(rows).groupBy("script_id").agg(F.count(F.lit(1)).alias("cues"), F.sum(F.length("line")).alias("chars"))
 
 
+@query("s12_subtitle_files", """
+  SELECT '=' || script_id || '.srt' AS file, count(*) AS lines, sha256(string_agg(line || chr(10), '' ORDER BY scene_ix, j, k)) AS text_sha256 FROM cue GROUP BY script_id""", "cue")
+def subtitle_files(spark, folder):
+    """One file for each script, published together and read back."""
+    rows = T.scenes(spark, folder).select("script_id", "scene_ix", "text", F.lit(4.0).alias("speech"), F.lit(4.5).alias("rendered"))
+    path = work_folder(rows)
+    TEXTS.write_texts(build_cues(rows), path, 1, "script_id", ["cue_ix"], "line", ".srt")
+    return TEXTS.read_texts(spark, path).select("file", (F.length("text") - F.length(F.replace("text", F.lit("\n")))).cast("long").alias("lines"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("s1_script_files", "SELECT doc_id::VARCHAR AS script_id, sha256(coalesce(text, '') || chr(10)) AS text_sha256 FROM documents")
+def script_files(spark, folder):
+    """Every script written as a file of its own and read as a source."""
+    docs = T.scripts(spark, folder).withColumn("text", F.coalesce("text", F.lit("")))
+    path = work_folder(docs)
+    TEXTS.write_texts(docs, path, 1, "script_id", ["script_id"], "text")
+    return FILES.read_scripts(spark, f"{path}/data", r"=(\d+)\.txt$").select("script_id", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("s3_documents_or_default", """
+  SELECT script_id AS project, CASE WHEN script_id % 3 = 0 THEN 'p' ELSE 'none' END AS presenter, CASE WHEN script_id % 3 = 0 THEN count(*) END AS scenes FROM sents GROUP BY script_id""", "sents")
+def documents_or_default(spark, folder):
+    """State documents of a third of the projects, written as JSON and read by their schema."""
+    states = _states(spark, folder).where(F.size("scenes") > 0)
+    path = work_folder(states)
+    states.where(C("project") % 3 == 0).withColumn("project", C("project").cast("string")).write.json(f"{path}/states")
+    docs = spark.read.schema(DOC.STATE_SCHEMA).json(f"{path}/states").select(C("project").cast("long").alias("project"), "presenter", F.size("scenes").cast("long").alias("scenes"))
+    full = DOC.with_default(states.select("project"), docs, "project", "presenter", F.lit("none"))
+    return full.join(docs.select("project", "scenes"), "project", "left").select("project", "presenter", "scenes")
+
+
+@query("s5_published_state", "SELECT event_id, event_type FROM events WHERE event_id % 2 = 0")
+def published_state(spark, folder):
+    """The newest version that was published; one written behind it but not published stays unseen."""
+    rows = T.table(spark, folder, "events").select("event_id", "event_type")
+    path = work_folder(rows)
+    SINKS.write_version(rows, path, 1)
+    SINKS.write_version(rows.where("event_id % 2 = 0"), path, 2)
+    rows.where("event_id % 3 = 0").write.parquet(f"{path}/data/version=3")
+    return SINKS.read_version(spark, path)
+
+
+@query("s11_filled_template", "SELECT doc_id, 'Say: ' || text || chr(10) AS prompt FROM documents WHERE text IS NOT NULL")
+def filled_template(spark, folder):
+    """A template read from a file and filled with each text; it is one small row."""
+    docs = T.table(spark, folder, "documents").where("text IS NOT NULL")
+    path = work_folder(docs)
+    spark.range(1).select(F.lit("Say: {{DIALOGUE}}").alias("value")).write.text(f"{path}/template")
+    template = DOC.read_template(spark, f"{path}/template").first().template
+    return docs.select("doc_id", F.replace(F.lit(template), F.lit("{{DIALOGUE}}"), C("text")).alias("prompt"))
+
+
 @query("s13_concat_manifest", """
   SELECT project, line_no, line FROM (SELECT project, row_number() OVER (PARTITION BY project ORDER BY path) - 1 AS line_no,
     'file ''' || replace(replace(path, 'video', 'it''s'), '''', '''\\''''') || '''' AS line FROM fil)

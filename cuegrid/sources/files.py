@@ -8,12 +8,13 @@ from cuegrid import params as P
 from cuegrid.functions.rounding import round_exact
 
 
-def read_scripts(spark: SparkSession, path: str) -> DataFrame:
-    """One row per script file: script_id (name of the project folder), path, text."""
+def read_scripts(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """One row per script file: script_id (name of the project folder, or what the first group of
+    `pattern` finds in the file's path), path, text."""
     rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
     where = F.col("_metadata.file_path")
-    return rows.select(project_of(where).alias("script_id"), where.alias("path"),
-                       F.col("value").alias("text"))
+    name = project_of(where) if pattern is None else F.regexp_extract(where, pattern, 1)
+    return rows.select(name.alias("script_id"), where.alias("path"), F.col("value").alias("text"))
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
