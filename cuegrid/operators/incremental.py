@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cuegrid.functions.scalars import segment_scene
+from cuegrid.functions.text import bound
 
 #: Columns an unchanged scene keeps after replanning. The last two say how its audio was made;
 #: without them the audio would look stale and be synthesised again.
@@ -140,20 +141,19 @@ def fingerprint_stale(scenes: DataFrame, keys: list[str], outputs: DataFrame) ->
 def merge_layers(settings: DataFrame, owner: str = "owner") -> DataFrame:
     """settings(owner, path, value, layer), dotted leaf paths -> (owner, path, value) after a
     deep merge in layer order: a higher layer's leaf replaces the same leaf, everything under
-    it, and any leaf it runs through."""
+    it, and any leaf it runs through.
+
+    Each path meets the nodes of the tree it runs through once: there the node's own leaf learns
+    the highest layer below it, and the paths below learn the node's. The source is read once; a
+    leaf's layers are combined before they are shuffled, and what meets in a node is at most
+    the distinct paths of one owner's settings."""
+    leaf = settings.groupBy(owner, "path").agg(F.max("layer").alias("_leaf"), F.max_by("value", "layer").alias("value"))
     parts = F.split("path", r"\.")
-    above = F.when(F.size(parts) > 1, F.transform(
-        F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))
-        ).otherwise(F.array().cast("array<string>"))
-    rows = settings.withColumn("_above", above)
-    leaf = rows.groupBy(owner, "path").agg(F.max("layer").alias("_leaf"), F.max_by("value", "layer").alias("value"))
-    through = rows.select(owner, F.explode("_above").alias("path"), "layer").groupBy(owner, "path").agg(
-        F.max("layer").alias("_through"))
-    best = leaf.join(through, [owner, "path"], "left").where(
-        F.col("_through").isNull() | (F.col("_through") <= F.col("_leaf")))
-    prefixes = rows.select(owner, "path", "_above").dropDuplicates([owner, "path"]).select(
-        owner, "path", F.explode("_above").alias("_p"))
-    over = prefixes.join(leaf.select(owner, F.col("path").alias("_p"), F.col("_leaf").alias("_l")),
-                         [owner, "_p"]).groupBy(owner, "path").agg(F.max("_l").alias("_over"))
-    return best.join(over, [owner, "path"], "left").where(
-        F.col("_over").isNull() | (F.col("_over") <= F.col("_leaf"))).select(owner, "path", "value")
+    nodes = bound(parts, lambda t: F.transform(F.sequence(F.lit(1), F.size(t)), lambda n: F.struct(
+        F.array_join(F.slice(t, F.lit(1), n), ".").alias("node"), (n == F.size(t)).alias("own"))))
+    met = leaf.select(owner, "path", "_leaf", "value", F.explode(nodes).alias("_n")).select("*", F.col("_n.node").alias("_node"), F.col("_n.own").alias("_own"))
+    here = Window.partitionBy(owner, "_node")
+    below, at = F.max(F.when(~F.col("_own"), F.col("_leaf"))).over(here), F.max(F.when(F.col("_own"), F.col("_leaf"))).over(here)
+    seen = met.select(owner, "path", "_leaf", "value", F.when(F.col("_own"), below).otherwise(at).alias("_rival"))
+    merged = seen.groupBy(owner, "path").agg(F.max("_leaf").alias("_leaf"), F.max("_rival").alias("_rival"), F.any_value("value").alias("value"))
+    return merged.where(F.col("_rival").isNull() | (F.col("_rival") <= F.col("_leaf"))).select(owner, "path", "value")
