@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cuegrid.functions.text import bound, matching_text
 from cuegrid.operators.rows import unfold
+from cuegrid.session import stored
 
 #: Gram lengths in words. A line uses the longest that fits between its first and last word:
 #: long grams are rare, so few texts meet a line they do not contain.
@@ -16,22 +17,30 @@ def _tokens(norm: Column) -> Column:
     return F.split(norm, " ")
 
 
-def _line_gram(norm: Column) -> Column:
-    """STRUCT<kind, gram>: a key every text containing the line must share. Kind 1-8: that
-    many of the line's inner words (inner, because the first and last may be parts of longer
-    words). Kind 0, for a line of one or two words: the first characters, up to three, of its
-    longest word."""
+def _line_grams(norm: Column) -> Column:
+    """STRUCT<kind, grams>: keys every text containing the line must hold, each of them. Kind
+    1-8: all runs of that many of the line's inner words (inner, because the first and last may
+    be parts of longer words). Kind 0, for a line of one or two words: the runs of three
+    characters of its longest word, or that word if it is shorter."""
 
-    def key(t: Column) -> Column:
+    def keys(t: Column) -> Column:
         kind = F.lit(0)
         for size in reversed(GRAM_SIZES):
             kind = F.when(F.size(t) - 2 >= size, F.lit(size)).otherwise(kind)
         longest = F.element_at(F.array_sort(F.transform(t, lambda w: F.struct(
             F.length(w).alias("n"), w.alias("w")))), -1)["w"]
-        return F.struct(kind.alias("kind"), F.when(kind > 0, F.array_join(
-            F.slice(t, F.lit(2), kind), " ")).otherwise(F.substring(longest, 1, 3)).alias("gram"))
 
-    return bound(_tokens(norm), key)
+        def inner(n: Column) -> Column:
+            return F.transform(F.sequence(F.lit(2), F.size(t) - n), lambda i: F.array_join(F.slice(t, i, n), " "))
+
+        def characters(w: Column) -> Column:
+            return F.when(F.length(w) <= 3, F.array(w)).otherwise(F.transform(
+                F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3))))
+
+        return bound(kind, lambda n: F.struct(n.alias("kind"), F.array_distinct(
+            F.when(n > 0, inner(n)).otherwise(bound(longest, characters))).alias("grams")))
+
+    return bound(_tokens(norm), keys)
 
 
 def _text_grams(norm: Column, kinds: list[int]) -> Column:
@@ -57,25 +66,39 @@ def _text_grams(norm: Column, kinds: list[int]) -> Column:
     return bound(_tokens(norm), of_words)
 
 
+def candidate_pairs(lines: DataFrame, texts: DataFrame, line_id: str, text_id: str, line: str, text: str, extra: list[str]) -> DataFrame:
+    """(line_id, _line, extra, text_id): each line with the texts that hold its rarest gram."""
+    left = lines.select(line_id, matching_text(F.col(line)).alias("_line"), *extra).where(
+        F.col("_line") != "").distinct().withColumn("_g", _line_grams(F.col("_line")))
+    kinds = sorted(r[0] for r in left.select("_g.kind").distinct().collect())
+    offered = stored(unfold(left, F.transform("_g.grams", lambda g: F.xxhash64(F.col("_g.kind"), g)), "_at", "_k", line_id, "_line", *extra).drop("_at"))
+    right = texts.select(text_id, matching_text(F.col(text)).alias("_text"))
+    grams = unfold(right, _text_grams(F.col("_text"), kinds or [1]), "_at", "_k", text_id).drop("_at")
+    held = stored(grams.join(offered.select("_k"), "_k", "left_semi"))
+    counts = held.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
+    # a gram that no text holds comes first, so its line meets none
+    rarest = offered.join(counts, "_k", "left").groupBy(line_id, "_line", *extra).agg(
+        F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_k")).alias("_best")).select(line_id, "_line", *extra, F.col("_best._k").alias("_k"))
+    return held.join(rarest, "_k").drop("_k").distinct()
+
+
 def containing_texts(lines: DataFrame, texts: DataFrame, line_id: str, text_id: str,
                      line: str = "line", text: str = "text",
                      seconds: str | None = None) -> DataFrame:
     """(line_id, text_id) where the normalised line occurs in the normalised text and, if
     `seconds` names a column of lines, the text also carries that length label.
 
-    Lines and texts meet on a gram each containing text must hold; only those pairs are
-    compared. Which kinds of gram the lines need (at most five) is looked up first, so that
-    texts are not broken into grams nothing asks for."""
+    A text that contains a line holds every gram of the line, so each line meets texts on the one of
+    its grams that the fewest texts hold, by counts over all texts; only those pairs are
+    compared. A word that is in every text decides nothing unless a line has no other. Texts
+    are broken only into the kinds of gram the lines have (at most five, looked up first), and
+    only grams some line has are kept, by a join whose small side Spark broadcasts if its size allows;
+    they are written once, so that a gram which stays common is a plain join that Spark can split."""
     extra = [seconds] if seconds else []
-    left = lines.select(line_id, matching_text(F.col(line)).alias("_line"), *extra).where(
-        F.col("_line") != "").withColumn("_g", _line_gram(F.col("_line")))
-    kinds = sorted(r[0] for r in left.select("_g.kind").distinct().collect())
-    right = texts.select(text_id, matching_text(F.col(text)).alias("_text"))
-    grams = unfold(right, _text_grams(F.col("_text"), kinds or [1]), "_at", "_k", text_id).drop("_at")
-    key = F.xxhash64("_g.kind", "_g.gram").alias("_k")
     # ids only travel through the gram join; the texts come back for the few candidates
-    met = grams.join(left.select(line_id, "_line", *extra, key), "_k").drop("_k")
-    pairs = met.distinct().join(right, text_id).where(F.contains("_text", "_line"))
+    met = candidate_pairs(lines, texts, line_id, text_id, line, text, extra)
+    pairs = met.join(texts.select(text_id, F.col(text).alias("_raw")), text_id)
+    pairs = pairs.withColumn("_text", matching_text(F.col("_raw"))).where(F.contains("_text", "_line"))
     if seconds:
         # the label must not be part of a longer number or word
         pairs = pairs.where(F.regexp_like(F.col("_text"), F.concat(

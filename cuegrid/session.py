@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
@@ -93,3 +94,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     recomputation after a lost executor) start from the files."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written as Parquet into the shared folder and read from there. Unlike a checkpoint it keeps
+    its size, by which Spark decides what to broadcast, and gives only the columns asked for. The
+    files (``stored-*``) may go once the query's result is kept."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
