@@ -116,9 +116,9 @@ _RUNS = """
         WINDOW w AS (PARTITION BY scene_key ORDER BY seg_ix)) a
     JOIN (SELECT *, sum(t1 - t0) OVER w AS p1 FROM clip WINDOW w AS (PARTITION BY scene_key ORDER BY seg_ix)) b
       ON a.scene_key = b.scene_key AND a.seg_ix <= b.seg_ix
-    JOIN (SELECT scene_key, sum(t1 - t0) * 0.6 AS nn FROM narr GROUP BY ALL) n ON n.scene_key = a.scene_key
+    JOIN (SELECT scene_key, sum(t1 - t0) * SHARE AS nn FROM narr GROUP BY ALL) n ON n.scene_key = a.scene_key
     JOIN lens l ON l.scene_key = a.scene_key) r"""
-block("runs", _RUNS, "clip", "narr", "lens")
+block("runs", _RUNS.replace("SHARE", "0.6"), "clip", "narr", "lens")
 
 
 def _line_rows(spark, folder):
@@ -147,20 +147,51 @@ def run_scores(spark, folder):
         F.round("line_score", 6).alias("best"))
 
 
-@query("k6_pair_phrases", """
-  SELECT scene_key, true AS covered FROM trk GROUP BY scene_key
-  HAVING count(*) FILTER (track = 'clip') > 0 AND count(*) FILTER (track = 'narration') > 0""", "trk")
+# The search in SQL: every way to pair a scene's segments, listed by recursion.
+block("fullruns", _RUNS.replace("SHARE", "1"), "clip", "narr", "lens")
+block("sel", """
+  SELECT scene_key, row_number() OVER (PARTITION BY scene_key ORDER BY min(ix)) - 1 AS ix, i0, i1 FROM (
+    SELECT scene_key, 0 AS ix, (q).i AS i0, (q).j AS i1 FROM (
+      SELECT scene_key, arg_min({'i': i, 'j': j}, (-(j - i), round(score, 9), i)) AS q FROM fullruns WHERE score <= best + 0.08 GROUP BY scene_key)
+    UNION ALL SELECT scene_key, 1, 0, max(seg_ix) FROM clip GROUP BY scene_key
+    UNION ALL SELECT scene_key, 2, 0, max(seg_ix) - CASE WHEN count(*) > 1 AND any_value(clip_len) - max(t1) < 0.15::DOUBLE THEN 1 ELSE 0 END
+      FROM clip JOIN lens USING (scene_key) GROUP BY scene_key)
+  WHERE scene_key IN (SELECT scene_key FROM narr) GROUP BY scene_key, i0, i1""", "fullruns", "clip", "narr", "lens")
+block("arr", """
+  SELECT scene_key, ix, i1 - i0 + 1 AS size, nl, al[i0 + 1:i1 + 1] AS cl, clip_len FROM sel JOIN lens USING (scene_key)
+  JOIN (SELECT scene_key, list({'a': t0, 'b': t1} ORDER BY seg_ix) AS al FROM clip GROUP BY scene_key) USING (scene_key)
+  JOIN (SELECT scene_key, list({'a': t0, 'b': t1} ORDER BY seg_ix) AS nl FROM narr GROUP BY scene_key) USING (scene_key)""", "sel", "lens", "clip", "narr")
+block("walk", """
+  SELECT * FROM (WITH RECURSIVE w AS (
+    SELECT scene_key, ix, 0::BIGINT AS n, 0::BIGINT AS c, []::BIGINT[] AS path, 0.0::DOUBLE AS price, 1e9::DOUBLE AS lo, 0.0::DOUBLE AS hi FROM arr
+    UNION ALL SELECT scene_key, ix, n2, c2, list_concat(path, [n2, c2]), price + ln(said / greatest(seen, 1e-3)) ** 2 * (said + seen),
+      least(lo, said / greatest(seen, 1e-3)), greatest(hi, said / greatest(seen, 1e-3)) FROM (
+      SELECT w.*, n2, c2, nl[n2].b - nl[n + 1].a AS said, cl[c2].b - cl[c + 1].a AS seen FROM w JOIN arr USING (scene_key, ix),
+        unnest(range(n + 1, least(n + 4, len(nl)) + 1)) x(n2), unnest(range(c + 1, least(c + 4, len(cl)) + 1)) y(c2))
+    WHERE said / greatest(seen, 1e-3) BETWEEN 0.45::DOUBLE AND 2.2::DOUBLE) SELECT * FROM w)""", "arr")
+block("grid", "SELECT * FROM (VALUES " + ", ".join(
+    f"({k}, {b}::DOUBLE, {lo}::DOUBLE, {hi}::DOUBLE)" for k, (b, lo, hi) in enumerate(
+        (b, lo, hi) for b in P.SEARCH_BONUS for lo, hi in P.SEARCH_RATIO)) + ") g(setting, bonus, least_rate, most_rate)")
+block("paired", """
+  SELECT scene_key, ix, setting, coalesce(path, [len(nl), len(cl)]) AS path FROM arr CROSS JOIN grid LEFT JOIN (
+    SELECT w.scene_key, w.ix, setting, arg_min(path, price - len(path) / 2 * bonus) AS path FROM walk w JOIN arr a USING (scene_key, ix), grid
+    WHERE n = len(nl) AND c = len(cl) AND lo >= least_rate AND hi <= most_rate GROUP BY w.scene_key, w.ix, setting) USING (scene_key, ix, setting)""",
+      "arr", "walk", "grid")
+_PHRASES = """
+  SELECT scene_key, ix, setting, size, clip_len, k, len(path) // 2 AS n, nl[CASE WHEN k = 0 THEN 0 ELSE path[2 * k - 1] END + 1].a AS ns, nl[path[2 * k + 1]].b AS ne,
+    cl[CASE WHEN k = 0 THEN 0 ELSE path[2 * k] END + 1].a AS cs, cl[path[2 * k + 2]].b AS ce
+  FROM {paths} JOIN arr USING (scene_key, ix), unnest(range(0, len(path) // 2)) r(k)"""
+block("phr", _PHRASES.format(
+    paths="(SELECT scene_key, ix, min(setting) AS setting, path FROM paired GROUP BY scene_key, ix, path)"), "paired", "arr")
+
+
+@query("k6_pair_phrases", "SELECT scene_key, ix AS sel_ix, setting, k, ns, ne, cs, ce FROM (" + _PHRASES.format(paths="paired") + ")",
+       "paired", "arr")
 def pair_phrases(spark, folder):
-    """Every pairing begins and ends with the first and last segments of both sides and its
-    phrases keep their order."""
+    """One row per phrase of every selection under every setting."""
     c = FT.candidates(_speech(spark, folder), C("clip_len"))
-    first, last = F.get("phrases", F.lit(0)), F.element_at("phrases", -1)
-    ok = ((first["ns"] == F.get("narr", F.lit(0))["t0"]) & (last["ne"] == F.element_at("narr", -1)["t1"])
-          & (first["cs"] == F.get("sel", F.lit(0))["t0"]) & (last["ce"] == F.element_at("sel", -1)["t1"])
-          & F.forall(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("phrases") - 1)), lambda k: F.coalesce(
-              (F.get("phrases", k)["ns"] > F.get("phrases", k - 1)["ne"])
-              & (F.get("phrases", k)["cs"] > F.get("phrases", k - 1)["ce"]), F.lit(True))))
-    return c.groupBy("scene_key").agg(F.bool_and(ok).alias("covered"))
+    return c.select("scene_key", "sel_ix", "setting", F.posexplode("phrases").alias("k", "p")).select(
+        "scene_key", "sel_ix", "setting", "k", "p.*")
 
 
 @query("j10_candidate_settings", """
@@ -172,40 +203,77 @@ def candidate_settings(spark, folder):
     return T.speech_arrays(spark, folder).select("scene_key", F.inline(grid))
 
 
-@query("k7_fit_placement", """
-  SELECT scene_key, count(*) AS pieces, 0.0::DOUBLE AS first_start, 6.2::DOUBLE AS last_end FROM narr
-  WHERE scene_key IN (SELECT scene_key FROM clip) GROUP BY scene_key""", "narr", "clip")
+def sql_apart(first: str, second: str, keys: str, total: str) -> str:
+    """Seconds in [0, total) where only one of two tables of intervals (keys, s, e) is on."""
+    cut = "SELECT {k}, greatest(0, least(s, {t})) AS s, greatest(0, least(e, {t})) AS e FROM ({x})"
+    edges = " UNION ALL ".join(
+        f"SELECT {keys}, unnest([s, e]) AS t, unnest([{a}]) AS da, unnest([{b}]) AS db FROM ({cut.format(k=keys, t=total, x=x)}) WHERE e > s"
+        for x, a, b in ((first, "1, -1", "0, 0"), (second, "0, 0", "1, -1")))
+    return f"""SELECT {keys}, round(coalesce(sum(CASE WHEN (a > 0) <> (b > 0) THEN nt - t END), 0), 3) AS mismatch FROM (
+      SELECT {keys}, t, sum(da) OVER w AS a, sum(db) OVER w AS b, lead(t) OVER w AS nt FROM (
+        SELECT {keys}, t, sum(da) AS da, sum(db) AS db FROM ({edges}) GROUP BY ALL)
+      WINDOW w AS (PARTITION BY {keys} ORDER BY t)) GROUP BY {keys}"""
+
+
+def sql_exact(expression: str, digits: int = 3) -> str:
+    return f"CAST(printf('%.{digits}f', {expression}) AS DOUBLE)"
+
+
+_CAND = "scene_key, ix, setting"
+_PLACED = """
+  SELECT *, greatest(0, cs - w0 - (ns - a) / v) AS o FROM (
+    SELECT *, CASE WHEN k = 0 THEN 0.0::DOUBLE ELSE (lag(ne) OVER w + ns) / 2 END AS a,
+      CASE WHEN k = n - 1 THEN 6.2::DOUBLE ELSE (ne + lead(ns) OVER w) / 2 END AS b,
+      greatest(0.7::DOUBLE, least(1.45::DOUBLE, (ne - ns) / greatest(ce - cs, 1e-3))) AS v,
+      {w0} AS w0 FROM {phrases} WINDOW w AS (PARTITION BY {keys} ORDER BY k))"""
+block("plc", _PLACED.format(w0="greatest(0, first_value(cs) OVER w - 0.25::DOUBLE)", phrases="phr", keys=_CAND), "phr")
+block("fitted", f"""
+  SELECT *, {sql_exact('greatest(0, w0 + dur - clip_len)')} AS held FROM (
+    SELECT {_CAND}, any_value(size) AS size, any_value(clip_len) AS clip_len, any_value(w0) AS w0, any_value(n) AS n,
+      count(*) FILTER (v IN (0.7::DOUBLE, 1.45::DOUBLE)) AS clamped,
+      ceil(round((greatest(arg_max(ce, k) - any_value(w0), arg_max(o + (ne - a) / v, k)) + 0.3::DOUBLE) * 24, 6)) / 24 AS dur
+    FROM plc GROUP BY {_CAND})""", "plc")
+block("fitmiss", sql_apart(
+    f"SELECT {_CAND}, t0 - w0 AS s, t1 - w0 AS e, dur FROM clip JOIN fitted USING (scene_key) WHERE t1 > w0 AND t0 < w0 + dur",
+    f"SELECT {_CAND}, o + (greatest(t0, a) - a) / v AS s, o + (least(t1, b) - a) / v AS e, dur FROM narr JOIN plc USING (scene_key)"
+    f" JOIN (SELECT {_CAND}, dur FROM fitted) USING ({_CAND}) WHERE least(t1, b) > greatest(t0, a)", _CAND, "dur"),
+      "clip", "narr", "fitted", "plc")
+block("bestfit", f"""
+  SELECT scene_key, f.* FROM (SELECT scene_key, arg_min({{'w0': w0, 'dur': dur, 'freeze_pad': held, 'mismatch': mismatch, 'n': n}},
+      ({sql_exact('mismatch + 0.05::DOUBLE * clamped + 0.5::DOUBLE * held')}, -size, ix, setting)) AS f
+    FROM fitted JOIN fitmiss USING ({_CAND}) GROUP BY scene_key)""", "fitted", "fitmiss")
+block("plain_phr", """
+  SELECT scene_key, n.seg_ix AS k, count(*) OVER (PARTITION BY scene_key) AS n, n.t0 AS ns, n.t1 AS ne, coalesce(c.t0, l.t0) AS cs, coalesce(c.t1, l.t1) AS ce
+  FROM narr n LEFT JOIN clip c USING (scene_key, seg_ix)
+  JOIN (SELECT scene_key, arg_max(t0, seg_ix) AS t0, max(t1) AS t1 FROM clip GROUP BY scene_key) l USING (scene_key)""", "narr", "clip")
+
+
+@query("k7_fit_placement", "SELECT scene_key, k AS ix, round(a, 9) AS narr_start, round(b, 9) AS narr_end, round(v, 9) AS tempo, round(o, 9) AS out_start FROM ("
+       + _PLACED.format(w0="0.0::DOUBLE", phrases="plain_phr", keys="scene_key") + ")", "plain_phr")
 def fit_placement(spark, folder):
-    """One phrase a segment: the pieces tile the narration, one placement per segment."""
+    """One phrase a segment, on the clip's segment of its number or the last one."""
     rows = _speech(spark, folder).where((F.size("clip") > 0) & (F.size("narr") > 0))
-    n = F.size("narr")
     phrases = F.transform("narr", lambda s, k: X.bound(
         F.coalesce(F.get("clip", k), F.element_at("clip", -1)), lambda c: F.struct(
             s["t0"].alias("ns"), s["t1"].alias("ne"), c["t0"].alias("cs"), c["t1"].alias("ce"))))
-    p = FT.placements(phrases, C("narr_len"), F.lit(0.0))
-    tiles = F.forall(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1)), lambda k: F.coalesce(
-        F.get("p", k)["narr_start"] == F.get("p", k - 1)["narr_end"], F.lit(True)))
-    return rows.withColumn("p", p).where(tiles).select(
-        "scene_key", F.size("p").cast("bigint").alias("pieces"),
-        F.get("p", F.lit(0))["narr_start"].alias("first_start"),
-        F.element_at("p", -1)["narr_end"].alias("last_end"))
-
-
-@query("k9_fit_search", """
-  SELECT scene_key, true AS tiles, true AS covered FROM trk GROUP BY scene_key
-  HAVING count(*) FILTER (track = 'clip') > 0 AND count(*) FILTER (track = 'narration') > 0""", "trk")
+    return rows.select("scene_key", F.posexplode(FT.placements(phrases, C("narr_len"), F.lit(0.0))).alias("ix", "p")).select(
+        "scene_key", "ix", *[F.round(C("p")[n], 9).alias(n) for n in ("narr_start", "narr_end", "tempo", "out_start")])
+
+
+@query("k9_fit_search", f"""
+  SELECT {_CAND.replace('ix,', 'ix AS sel_ix,')}, n AS n_phrases, clamped, round(w0, 6) AS w0, round(dur, 6) AS dur, held AS freeze_pad, mismatch
+  FROM fitted JOIN fitmiss USING ({_CAND})""", "fitted", "fitmiss")
 def fit_search(spark, folder):
-    best = FT.plan_fit(_speech(spark, folder), "scene_key")
-    first, last = F.get("places", F.lit(0)), F.element_at("places", -1)
-    voice_end = last["out_start"] + (C("scene_end") - last["narr_start"]) / last["tempo"]
-    ends = _speech(spark, folder).where(F.size("narr") > 0).select(
-        "scene_key", F.element_at("narr", -1)["t1"].alias("scene_end"))
-    return best.join(ends, "scene_key").select(
-        "scene_key", ((first["narr_start"] == 0.0) & (last["narr_end"] == 6.2)).alias("tiles"),
-        (voice_end + 0.3 <= C("dur") + 1e-6).alias("covered"))
+    """Every candidate's plan; settings that pair alike count once."""
+    c = FT.fit_plans(FT.candidates(_speech(spark, folder), C("clip_len")), C("narr_len"), C("clip_len"))
+    return c.groupBy("scene_key", "sel_ix", "phrases").agg(F.min_by(F.struct("setting", F.size("phrases").alias("n_phrases"), F.col(
+        "clamped").cast("bigint").alias("clamped"), F.round("w0", 6).alias("w0"), F.round("dur", 6).alias("dur"), "freeze_pad", "mismatch"),
+        "setting").alias("f")).select("scene_key", "sel_ix", "f.*")
 
 
-@query("k9_fit_plans")
+@query("k9_fit_plans", """
+  SELECT scene_key, CASE WHEN n > 1 THEN 'phrases' ELSE 'span' END AS mode, n AS n_phrases, round(w0, 6) AS w0, round(dur, 6) AS dur, freeze_pad, mismatch
+  FROM bestfit""", "bestfit")
 def fit_plans(spark, folder):
     return FT.plan_fit(_speech(spark, folder), "scene_key").select(
         "scene_key", "mode", "n_phrases", F.round("w0", 6).alias("w0"), F.round("dur", 6).alias("dur"),
@@ -290,7 +358,42 @@ block("lipmap", """
   FROM pcs p JOIN clip c USING (scene_key) JOIN okmap USING (scene_key) WHERE c1 - c0 > 1e-3 AND p.t1 - p.t0 > 1e-3""", "pcs", "clip", "okmap")
 
 
-@query("k14_alignment_search")
+def _alignment_blocks(name: str, target: str) -> None:
+    """`name`: the best time map of each scene that has one, for narrations of `target` seconds."""
+    w = f"WINDOW w AS (PARTITION BY {_CAND} ORDER BY k)"
+    block(name + "_held", f"""
+      SELECT *, CASE WHEN tail > 0 THEN greatest(0, tail - (seen_end - ce1)) ELSE 0 END AS post FROM (
+        SELECT {_CAND}, any_value(size) AS size, any_value(n) AS n, arg_min(cs, k) AS cs0, arg_min(ns, k) AS ns0, arg_max(ce, k) AS ce1, arg_max(ne, k) AS ne1,
+          greatest(0, arg_min(ns, k) - arg_min(cs, k)) AS pre, {target} - arg_max(ne, k) AS tail,
+          least(any_value(clip_len), arg_max(ce, k) + ({target} - arg_max(ne, k))) AS seen_end
+        FROM (SELECT *, lead(cs) OVER w - ce AS cp, lead(ns) OVER w - ne AS np FROM phr {w}) GROUP BY {_CAND}
+        HAVING bool_and(ne - ns >= 1e-3 AND ce - cs >= 1e-3 AND (ne - ns) / (ce - cs) BETWEEN 0.6::DOUBLE AND 1.6::DOUBLE
+          AND coalesce(np >= 1e-3 AND cp >= 1e-3 AND np / cp BETWEEN 0.3::DOUBLE AND 3, true)))""", "phr")
+    block(name + "_pieces", f"""
+      SELECT {_CAND}, c0, c1, p.t0, p.t1, (p.t1 - p.t0) / (c1 - c0) AS f FROM (
+        SELECT {_CAND}, cs AS c0, ce AS c1, ns AS t0, ne AS t1 FROM phr UNION ALL
+        SELECT {_CAND}, ce, lead(cs) OVER w, ne, lead(ns) OVER w FROM phr {w} UNION ALL
+        SELECT {_CAND}, greatest(0, cs0 - ns0), cs0, pre, ns0 FROM {name}_held WHERE ns0 > 0 UNION ALL
+        SELECT {_CAND}, ce1, seen_end, ne1, ne1 + (seen_end - ce1) FROM {name}_held WHERE tail > 0) p
+      WHERE c1 - c0 > 1e-3 AND p.t1 - p.t0 > 1e-3 AND ({_CAND}) IN (SELECT ({_CAND}) FROM {name}_held)""", "phr", name + "_held")
+    block(name + "_miss", sql_apart(
+        f"SELECT {_CAND}, p.t0 + (greatest(c.t0, c0) - c0) * f AS s, p.t0 + (least(c.t1, c1) - c0) * f AS e FROM clip c JOIN {name}_pieces p"
+        " USING (scene_key) WHERE least(c.t1, c1) > greatest(c.t0, c0)",
+        f"SELECT {_CAND}, t0 AS s, t1 AS e FROM narr JOIN {name}_held USING (scene_key)", _CAND, target),
+          "clip", "narr", name + "_pieces", name + "_held")
+    block(name, f"""
+      SELECT scene_key, a.* FROM (SELECT scene_key, arg_min({{'n': n, 'pre': pre, 'post': post, 'mismatch': mismatch}},
+          ({sql_exact('mismatch + 0.5::DOUBLE * (pre + post)')}, -size, ix, setting)) AS a
+        FROM {name}_held JOIN {name}_miss USING ({_CAND}) GROUP BY scene_key)""", name + "_held", name + "_miss")
+
+
+_alignment_blocks("bestmap", "6.4::DOUBLE")
+_alignment_blocks("framemap", "(154 / 24)")
+
+
+@query("k14_alignment_search", """
+  SELECT scene_key, CASE WHEN n > 1 THEN 'phrases' ELSE 'span' END AS mode, n AS n_phrases, round(pre, 3) AS pre_hold, round(post, 3) AS post_hold, mismatch
+  FROM bestmap""", "bestmap")
 def alignment_search(spark, folder):
     return A.search_alignment(_speech(spark, folder), "scene_key").select(
         "scene_key", "mode", "n_phrases", F.round("pre_hold", 3).alias("pre_hold"),
@@ -462,10 +565,29 @@ def range_predicates(spark, folder):
                                                 r.between(*P.SPEECH_RANGE).alias("speech_ok"))
 
 
-@query("k24_render_plans")
-def render_plans(spark, folder):
+_RENDER = """
+  SELECT scene_key, CASE WHEN several THEN 'trim' WHEN {mapped} THEN 'lip_align' ELSE 'video_master' END AS action,
+    round(CASE WHEN several OR {mapped} THEN 154 / 24 ELSE dur END, 4) AS target_duration,
+    CASE WHEN several THEN 0.0 WHEN {mapped} THEN {hold} ELSE freeze_pad END AS freeze_pad,
+    CASE WHEN several THEN NULL WHEN {mapped} THEN {miss} ELSE f.mismatch END AS mismatch,
+    CASE WHEN several THEN round(1 / 1.15::DOUBLE, 4) END AS retime_factor
+  FROM (SELECT *, scene_key % 6 = 5 AS several FROM bestfit) f {join}"""
+
+
+def _render(spark, folder, rule):
     from cuegrid.plans.render import render_plans as plan
 
     clips = F.when(C("scene_key") % 6 == 5, F.array(F.lit(4.0), F.lit(4.0))).otherwise(F.array(C("clip_len")))
     rows = _two_sided(spark, folder).drop("target").withColumn("audio_s", C("narr_len")).withColumn("clip_durations", clips)
-    return plan(rows, "scene_key")
+    return plan(rows, "scene_key", rule)
+
+
+@query("k24_render_plans", _RENDER.format(mapped="false", hold="0.0", miss="0.0", join=""), "bestfit")
+def render_plans(spark, folder):
+    return _render(spark, folder, P.Sync())
+
+
+@query("k24_audio_master", _RENDER.format(mapped="(m.n IS NOT NULL)", hold=sql_exact("m.pre + m.post"), miss="m.mismatch",
+                                          join="LEFT JOIN framemap m USING (scene_key)"), "bestfit", "framemap")
+def audio_master_plans(spark, folder):
+    return _render(spark, folder, P.Sync(mode="audio_master"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from cuegrid import params as P
 from cuegrid.functions.rounding import round_exact
 from cuegrid.functions.text import bound, matching_word, words_of
-from cuegrid.operators.fit import apart_seconds, candidates, span
+from cuegrid.operators.fit import apart_seconds, cheapest, span
 from cuegrid.operators.rows import keep_parallel
 from cuegrid.operators.scan import scan
 
@@ -87,22 +87,35 @@ def map_mismatch(pieces: Column, narr: Column, clip: Column, target: Column) ->
     return apart_seconds(mapped_lips(pieces, clip), narr, target)
 
 
+def alignment_cost(mapped: Column, mismatch: Column) -> Column:
+    return round_exact(mismatch + 0.5 * (mapped["pre_hold"] + mapped["post_hold"]), 3)
+
+
 def search_alignment(rows: DataFrame, key: str, target: str = "target",
-                     clip_len: str = "clip_len", cands: DataFrame | None = None) -> DataFrame:
+                     clip_len: str = "clip_len") -> DataFrame:
     """Best time map per scene over the same candidates the fit uses; scenes without a
-    plausible one are absent."""
-    if cands is None:
-        cands = candidates(keep_parallel(rows, key), F.col(clip_len))
-    cands = cands.withColumn(
-        "map", time_map(F.col("phrases"), F.col(target), F.col(clip_len))).where("map is not null")
-    cands = cands.withColumn("mismatch", map_mismatch(F.col("map.pieces"), F.col("narr"),
-                                                      F.col("clip"), F.col(target)))
-    cost = round_exact(F.col("mismatch") + 0.5 * (F.col("map.pre_hold") + F.col("map.post_hold")), 3)
-    order = F.struct(cost, -F.size("sel"), "sel_ix", "setting")
-    body = F.struct("map.pieces", "map.pre_hold", "map.post_hold", "mismatch",
-                    F.size("phrases").alias("n_phrases"),
-                    F.when(F.size("phrases") > 1, "phrases").otherwise("span").alias("mode"))
-    return cands.groupBy(key).agg(F.min_by(body, order).alias("a")).select(key, "a.*")
+    plausible one are absent. `scored`: candidates mapped for it. What a selection makes the picture
+    hold does not depend on the pairing, so it bounds the cost of all its maps."""
+    goal, length = F.col(target), F.col(clip_len)
+
+    def plan(phrases: Column) -> Column:
+        return bound(time_map(phrases, goal, length), lambda m: F.when(m.isNotNull(), bound(
+            map_mismatch(m["pieces"], F.col("narr"), F.col("clip"), goal), lambda miss: F.struct(
+                alignment_cost(m, miss).alias("cost"), F.struct(
+                    m["pieces"].alias("pieces"), m["pre_hold"].alias("pre_hold"), m["post_hold"].alias("post_hold"),
+                    miss.alias("mismatch")).alias("body")))))
+
+    def least(sel: Column) -> Column:
+        said_last, seen_last = F.element_at("narr", -1)["t1"], F.element_at(sel, -1)["t1"]
+        before = F.greatest(F.lit(0.0), F.get("narr", F.lit(0))["t0"] - F.get(sel, F.lit(0))["t0"])
+        tail = goal - said_last
+        after = F.greatest(F.lit(0.0), tail - (F.least(length, seen_last + tail) - seen_last))
+        return 0.5 * (before + F.when(tail > 0, after).otherwise(0.0)) - 0.002
+
+    found = cheapest(keep_parallel(rows, key), length, plan, least).where("best is not null")
+    n = F.size("best.phrases")
+    return found.select(key, "best.body.*", n.alias("n_phrases"),
+                        F.when(n > 1, "phrases").otherwise("span").alias("mode"), "scored")
 
 
 # ------------------------------------------------------------------ simple pairing --------

@@ -171,9 +171,9 @@ def pairings(narr: list[tuple[float, float]], clip: list[tuple[float, float]]) -
     return out
 
 
-@F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.ArrayType(T.IntegerType()))))
 def _pair_udf(n0: pd.Series, n1: pd.Series, c0: pd.Series, c1: pd.Series) -> pd.Series:
-    return pd.Series([pairings(list(zip(a, b)), list(zip(c, d)))
+    return pd.Series([[pairings(list(zip(a, b)), list(zip(*clip))) for clip in zip(c, d)]
                       for a, b, c, d in zip(n0, n1, c0, c1)])
 
 
@@ -194,35 +194,85 @@ def select_speech(rows: DataFrame, clip: str = "clip", narr: str = "narr",
         "_p", "_r")
 
 
-def candidates(rows: DataFrame, clip_len: Column) -> DataFrame:
-    """One row per distinct selection of clip segments and search setting, at most 18 per
-    scene: adds sel_ix, sel, setting, phrases ARRAY<STRUCT<ns,ne,cs,ce>>."""
-    chosen = select_speech(rows.where((F.size("narr") > 0) & (F.size("clip") > 0)),
-                           clip_len=clip_len)
+def selections(rows: DataFrame, clip_len: Column) -> DataFrame:
+    """Scenes with speech on both sides, with `sels` ARRAY<STRUCT<ix,segs>>: the distinct choices of clip
+    segments, three at most: the run that is the line, all long segments, those that end before the clip."""
+    chosen = select_speech(rows.where((F.size("narr") > 0) & (F.size("clip") > 0)), clip_len=clip_len)
     real = chosen.withColumn("_real", long_segments(F.col("clip")))
     sels = F.filter(F.array_distinct(F.array(
         F.col("line").cast(SPAN), F.col("_real").cast(SPAN),
         without_end_touch(F.col("_real"), clip_len).cast(SPAN))), lambda s: F.size(s) > 0)
-    each = unfold(real, sels, "sel_ix", "sel", *rows.columns)
-    paths = each.withColumn("_paths", _pair_udf(
-        field(F.col("narr"), "t0"), field(F.col("narr"), "t1"),
-        field(F.col("sel"), "t0"), field(F.col("sel"), "t1")))
-    wide = unfold(paths, "_paths", "setting", "_path", *each.columns)
+    return real.select(*rows.columns, F.transform(sels, lambda s, k: F.struct(k.alias("ix"), s.alias("segs"))).alias("sels"))
+
+
+def paths_of(sels: Column) -> Column:
+    """Per selection of an array of them, its pairings under every search setting."""
+    return _pair_udf(field(F.col("narr"), "t0"), field(F.col("narr"), "t1"),
+                     F.transform(sels, lambda s: field(s["segs"], "t0")), F.transform(sels, lambda s: field(s["segs"], "t1")))
+
+
+def phrases_on(path: Column, sel: Column) -> Column:
+    """ARRAY<STRUCT<ns,ne,cs,ce>> of a flat path n1, c1, n2, c2, ... over the row's narration and `sel`."""
 
     def phrase(k: Column) -> Column:
         def used(offset: int) -> Column:
-            return F.coalesce(F.get(F.col("_path"), k * 2 - 2 + offset), F.lit(0))
+            return F.coalesce(F.get(path, k * 2 - 2 + offset), F.lit(0))
 
         def upto(offset: int) -> Column:
-            return F.get(F.col("_path"), k * 2 + offset) - 1
+            return F.get(path, k * 2 + offset) - 1
 
-        return F.struct(F.get("narr", used(0))["t0"].alias("ns"),
-                        F.get("narr", upto(0))["t1"].alias("ne"),
-                        F.get("sel", used(1))["t0"].alias("cs"),
-                        F.get("sel", upto(1))["t1"].alias("ce"))
+        return F.struct(F.get("narr", used(0))["t0"].alias("ns"), F.get("narr", upto(0))["t1"].alias("ne"),
+                        F.get(sel, used(1))["t0"].alias("cs"), F.get(sel, upto(1))["t1"].alias("ce"))
 
-    steps = F.sequence(F.lit(0), F.floor(F.size("_path") / 2).cast("int") - 1)
-    return wide.withColumn("phrases", F.transform(steps, phrase)).drop("_path")
+    return F.transform(F.sequence(F.lit(0), F.floor(F.size(path) / 2).cast("int") - 1), phrase)
+
+
+def candidates(rows: DataFrame, clip_len: Column) -> DataFrame:
+    """One row per distinct selection of clip segments and search setting, at most 18 per
+    scene: adds sel_ix, sel, setting, phrases ARRAY<STRUCT<ns,ne,cs,ce>>. The full search; `cheapest`
+    finds the same plan from fewer."""
+    chosen = selections(rows, clip_len)
+    paths = chosen.withColumn("_paths", paths_of(F.col("sels")))
+    each = unfold(paths, F.arrays_zip("sels", "_paths"), "_k", "_s", *rows.columns)
+    wide = unfold(each.select(*rows.columns, F.col("_s.sels.ix").alias("sel_ix"), F.col("_s.sels.segs").alias("sel"),
+                              F.col("_s._paths").alias("_paths")),
+                  "_paths", "setting", "_path", *rows.columns, "sel_ix", "sel")
+    return wide.withColumn("phrases", phrases_on(F.col("_path"), F.col("sel"))).drop("_path")
+
+
+def cheapest(rows: DataFrame, clip_len: Column, plan, least) -> DataFrame:
+    """Adds `best` STRUCT<cost,fewer,sel_ix,setting,phrases,body>, the cheapest candidate's plan (null if
+    none has one), and `scored`, how many candidates were planned for it.
+
+    plan(phrases) is STRUCT<cost,body> or null; least(segs), a bound below the cost of every plan on a
+    selection, needs no pairing. The first selection is planned, and of the others only those whose
+    bound does not exceed its cost, so most pairings are never computed. Settings that pair alike
+    are planned once. All of it stays inside the scene's row. Equal costs: more segments, then the
+    order of selections and settings."""
+
+    def planned(base: DataFrame, sels: Column, best: str, count: str) -> DataFrame:
+        def distinct(sel: Column, paths: Column) -> Column:
+            first = F.filter(F.sequence(F.lit(0), F.size(paths) - 1),
+                             lambda i: F.array_position(paths, F.get(paths, i)) == i + 1)
+            return F.transform(first, lambda i: F.struct(
+                sel["ix"].alias("ix"), F.size(sel["segs"]).alias("n"), i.alias("setting"),
+                phrases_on(F.get(paths, i), sel["segs"]).alias("phrases")))
+
+        tried = base.withColumn("_try", sels)
+        tried = tried.withColumn("_paths", paths_of(F.col("_try")))
+        listed = tried.withColumn("_list", F.flatten(F.transform("_try", lambda s, k: bound(
+            F.get("_paths", k), lambda paths: distinct(s, paths)))))
+        priced = F.transform("_list", lambda x: bound(plan(x["phrases"]), lambda p: F.when(p.isNotNull(), F.struct(
+            p["cost"].alias("cost"), (-x["n"]).alias("fewer"), x["ix"].alias("sel_ix"), x["setting"].alias("setting"),
+            x["phrases"].alias("phrases"), p["body"].alias("body")))))
+        return listed.select(*base.columns, F.array_min(priced).alias(best), F.size("_list").alias(count))
+
+    first = planned(selections(rows, clip_len), F.slice("sels", 1, 1), "_first", "_n")
+    open_still = F.filter(F.slice("sels", F.lit(2), F.size("sels")), lambda s: F.col("_first").isNull() | (
+        least(s["segs"]) <= F.col("_first.cost")))
+    both = planned(first, open_still, "_more", "_m")
+    return both.select(*rows.columns, F.array_min(F.array("_first", "_more")).alias("best"),
+                       (F.col("_n") + F.col("_m")).alias("scored"))
 
 
 # ------------------------------------------------------------------ plan columns ----------
@@ -288,41 +338,70 @@ def lips_in_window(clip: Column, w0: Column, w1: Column) -> Column:
     return F.transform(inside, lambda s: span(s["t0"] - w0, s["t1"] - w0))
 
 
+def fit_plan(phrases: Column, narr_len: Column, clip_len: Column, rule: P.Sync = P.Sync(), fps: int = 24) -> Column:
+    """STRUCT<w0,dur,places,freeze_pad,clamped,mismatch,mode> of paired phrases; the row holds clip and narr."""
+    first, last = F.get(phrases, F.lit(0)), F.element_at(phrases, -1)
+
+    def timed(x: Column) -> Column:
+        tail = F.element_at(x["places"], -1)
+        voice_end = tail["out_start"] + (last["ne"] - tail["narr_start"]) / tail["tempo"]
+        dur = frame_aligned(F.greatest(last["ce"] - x["w0"], voice_end) + rule.fit_tail, fps)
+        # a tempo equal to a bound is one that had to be clamped
+        at_bound = F.size(F.filter(x["places"], lambda p: p["tempo"].isin(*P.TEMPO_RANGE)))
+        return bound(dur, lambda d: F.struct(
+            x["w0"].alias("w0"), d.alias("dur"), x["places"].alias("places"),
+            round_exact(F.greatest(F.lit(0.0), x["w0"] + d - clip_len), 3).alias("freeze_pad"), at_bound.alias("clamped"),
+            apart_seconds(lips_in_window(F.col("clip"), x["w0"], x["w0"] + d), voice_spans(x["places"], F.col("narr")), d
+                          ).alias("mismatch"),
+            F.when(F.size(phrases) > 1, "phrases").otherwise("span").alias("mode")))
+
+    return bound(F.greatest(F.lit(0.0), first["cs"] - rule.fit_lead), lambda w0: bound(F.struct(
+        w0.alias("w0"), placements(phrases, narr_len, w0).alias("places")), timed))
+
+
+def fit_cost(plan: Column) -> Column:
+    return round_exact(plan["mismatch"] + 0.05 * plan["clamped"] + 0.5 * plan["freeze_pad"], 3)
+
+
 def fit_plans(cands: DataFrame, narr_len: Column, clip_len: Column,
               rule: P.Sync = P.Sync(), fps: int = 24) -> DataFrame:
     """Adds the plan of each candidate: w0, dur, places, freeze_pad, clamped, mismatch, mode."""
-    first = F.get("phrases", F.lit(0))
-    last = F.element_at("phrases", -1)
-    rows = cands.withColumn("w0", F.greatest(F.lit(0.0), first["cs"] - rule.fit_lead))
-    rows = rows.withColumn("places", placements(F.col("phrases"), narr_len, F.col("w0")))
-    tail = F.element_at("places", -1)
-    voice_end = tail["out_start"] + (last["ne"] - tail["narr_start"]) / tail["tempo"]
-    end = F.greatest(last["ce"] - F.col("w0"), voice_end)
-    rows = rows.withColumn("dur", frame_aligned(end + rule.fit_tail, fps))
-    rows = rows.withColumn("freeze_pad", round_exact(F.greatest(
-        F.lit(0.0), F.col("w0") + F.col("dur") - clip_len), 3))
-    rows = rows.withColumn("mismatch", apart_seconds(
-        lips_in_window(F.col("clip"), F.col("w0"), F.col("w0") + F.col("dur")),
-        voice_spans(F.col("places"), F.col("narr")), F.col("dur")))
-    # a tempo equal to a bound is one that had to be clamped
-    at_bound = F.size(F.filter("places", lambda p: p["tempo"].isin(*P.TEMPO_RANGE)))
-    return rows.withColumn("clamped", at_bound).withColumn(
-        "mode", F.when(F.size("phrases") > 1, "phrases").otherwise("span"))
+    return cands.withColumn("_f", fit_plan(F.col("phrases"), narr_len, clip_len, rule, fps)).select(*cands.columns, "_f.*")
+
+
+def least_fit_cost(sel: Column, clip_len: Column, rule: P.Sync = P.Sync(), fps: int = 24) -> Column:
+    """A bound below the cost of every plan on a selection, however its pauses pair up.
+
+    The window begins at its first segment and lasts at least to its last one. Where the lips (disjoint
+    segments) move in it for longer than the voice lasts at its slowest, they are alone; what the clip is too short
+    for freezes. Two thousandths are left for rounding."""
+
+    def price(w: Column) -> Column:
+        lips = add_up(F.transform(F.col("clip"), lambda s: F.greatest(F.lit(0.0), F.least(
+            s["t1"], w["w1"]) - F.greatest(s["t0"], w["w0"]))))
+        voice = add_up(F.transform(F.col("narr"), lambda s: s["t1"] - s["t0"])) / P.TEMPO_RANGE[0]
+        return (F.greatest(F.lit(0.0), lips - voice) + 0.5 * F.greatest(F.lit(0.0), w["w1"] - clip_len)) - 0.002
+
+    return bound(F.greatest(F.lit(0.0), F.get(sel, F.lit(0))["t0"] - rule.fit_lead), lambda w0: bound(F.struct(
+        w0.alias("w0"), (w0 + frame_aligned(F.element_at(sel, -1)["t1"] - w0 + rule.fit_tail, fps)).alias("w1")), price))
 
 
 def plan_fit(rows: DataFrame, key: str, narr_len: str = "narr_len", clip_len: str = "clip_len",
-             rule: P.Sync = P.Sync(), fps: int = 24, cands: DataFrame | None = None) -> DataFrame:
+             rule: P.Sync = P.Sync(), fps: int = 24) -> DataFrame:
     """Best plan per scene (none without speech on both sides): least disagreement, clamping
-    and freezing; then more segments; then the order of the search. `cands`: the scenes'
-    candidates if they have been made already."""
-    if cands is None:
-        cands = candidates(keep_parallel(rows, key), F.col(clip_len))
-    plans = fit_plans(cands, F.col(narr_len), F.col(clip_len), rule, fps)
-    cost = round_exact(F.col("mismatch") + 0.05 * F.col("clamped") + 0.5 * F.col("freeze_pad"), 3)
-    order = F.struct(cost, -F.size("sel"), "sel_ix", "setting")
-    body = F.struct("w0", (F.col("w0") + F.col("dur")).alias("w1"), "dur", "places", "freeze_pad",
-                    "mismatch", "mode", F.size("phrases").alias("n_phrases"))
-    return plans.groupBy(key).agg(F.min_by(body, order).alias("f")).select(key, "f.*")
+    and freezing; then more segments; then the order of the search. `scored`: candidates planned for it."""
+    length = F.col(clip_len)
+
+    def plan(phrases: Column) -> Column:
+        return bound(fit_plan(phrases, F.col(narr_len), length, rule, fps),
+                     lambda f: F.struct(fit_cost(f).alias("cost"), f.alias("body")))
+
+    found = cheapest(keep_parallel(rows, key), length, plan, lambda sel: least_fit_cost(sel, length, rule, fps))
+    f = F.col("best.body")
+    return found.where("best is not null").select(
+        key, f["w0"].alias("w0"), (f["w0"] + f["dur"]).alias("w1"), f["dur"].alias("dur"), f["places"].alias("places"),
+        f["freeze_pad"].alias("freeze_pad"), f["mismatch"].alias("mismatch"), f["mode"].alias("mode"),
+        F.size("best.phrases").alias("n_phrases"), "scored")
 
 
 # ------------------------------------------------------------------ table forms -----------

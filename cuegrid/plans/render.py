@@ -7,10 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cuegrid import params as P
 from cuegrid.functions.rounding import round_exact
 from cuegrid.operators.align import search_alignment
-from cuegrid.operators.fit import candidates, plan_fit
-from cuegrid.operators.rows import keep_parallel
+from cuegrid.operators.fit import plan_fit
 from cuegrid.operators.sync import sync_plan
-from cuegrid.session import cut_lineage
+from cuegrid.session import stored
 
 
 def choose_action(mode: Column, n_clips: Column, lip_voice: Column, fit: Column, align: Column,
@@ -31,22 +30,31 @@ def render_plans(scenes: DataFrame, key: str, rule: P.Sync = P.Sync(), fps: int
     """scenes(key, audio_s, clip_durations, clip, narr, narr_len, clip_len) -> one row per
     scene: key, action, target_duration, freeze_pad, mismatch, retime_factor.
 
-    The searches run once per single-clip scene; `lip_voice(key, dur, freeze_pad)` holds
-    plans made from transcripts."""
+    Single-clip scenes are searched in the mode's order, and only scenes that an anti join finds without
+    a plan of the first search go to the second; `lip_voice(key, dur, freeze_pad)` holds plans made
+    from transcripts, whose scenes need no search in their mode."""
     base = scenes.withColumn("plain", sync_plan(F.col("audio_s"), F.col("clip_durations"), rule,
                                                 tail, fps))
     single = base.where(F.size("clip_durations") == 1).withColumn("target", F.col("plain.target_duration"))
-    # both searches start from the same candidates, so these are made once
-    cands = cut_lineage(candidates(keep_parallel(single, key), F.col("clip_len")))
-    fit = plan_fit(single, key, rule=rule, fps=fps, cands=cands).select(
-        key, F.struct(F.col("dur"), F.col("freeze_pad"), F.col("mismatch")).alias("fit"))
-    out = base.join(fit, key, "left")
-    if rule.lip_align:
-        maps = search_alignment(single, key, cands=cands).select(key, F.struct(
+    if lip_voice is not None and rule.mode == "lip_voice":
+        single = single.join(lip_voice.select(key), key, "left_anti")
+
+    def fitted(rows: DataFrame) -> DataFrame:
+        return plan_fit(rows, key, rule=rule, fps=fps).select(
+            key, F.struct("dur", "freeze_pad", "mismatch").alias("fit"))
+
+    def aligned(rows: DataFrame) -> DataFrame:
+        return search_alignment(rows, key).select(key, F.struct(
             (F.col("pre_hold") + F.col("post_hold")).alias("hold"), F.col("mismatch")).alias("align"))
-        out = out.join(maps, key, "left")
+
+    if not rule.lip_align:
+        out = base.join(fitted(single), key, "left").withColumn(
+            "align", F.lit(None).cast("struct<hold:double,mismatch:double>"))
     else:
-        out = out.withColumn("align", F.lit(None).cast("struct<hold:double,mismatch:double>"))
+        searches = (aligned, fitted) if rule.mode == "audio_master" else (fitted, aligned)
+        first = stored(searches[0](single))  # read twice
+        out = base.join(first, key, "left").join(
+            searches[1](single.join(first.select(key), key, "left_anti")), key, "left")
     if lip_voice is not None:
         out = out.join(lip_voice.select(key, F.struct("dur", "freeze_pad").alias("voice")), key, "left")
     else:
