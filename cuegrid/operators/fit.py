@@ -398,7 +398,7 @@ def plan_fit(rows: DataFrame, key: str, narr_len: str = "narr_len", clip_len: st
 
     found = cheapest(keep_parallel(rows, key), length, plan, lambda sel: least_fit_cost(sel, length, rule, fps))
     f = F.col("best.body")
-    return found.where("best is not null").select(
+    return found.select(  # every scene with speech on both sides has a plan
         key, f["w0"].alias("w0"), (f["w0"] + f["dur"]).alias("w1"), f["dur"].alias("dur"), f["places"].alias("places"),
         f["freeze_pad"].alias("freeze_pad"), f["mismatch"].alias("mismatch"), f["mode"].alias("mode"),
         F.size("best.phrases").alias("n_phrases"), "scored")

@@ -126,6 +126,18 @@ def group_units(scripts: DataFrame, rule: P.Planning = P.Planning(),
             .drop("_ends"))
 
 
+def scene_seconds(group: Column, rule: P.Planning = P.Planning(), gap: float | None = None) -> Column:
+    """Length of a scene from its units: estimated from their counts, or (with `gap`) measured."""
+    if gap is not None:
+        return F.round(F.aggregate(_field(group, "seconds"), F.lit(0.0), lambda a, s: a + s)
+                       + F.lit(gap) * (F.size(group) - 1), 2)
+
+    def total_of(name: str) -> Column:
+        return F.aggregate(_field(group, name), F.lit(0), lambda a, v: a + v)
+
+    return X.speech_seconds(total_of("words"), total_of("ends"), total_of("clauses"), rule.words_per_second)
+
+
 def assign_gestures(cues: Column) -> Column:
     """ARRAY<STRING> of gestures from an array of cues: the cue's own gesture, otherwise the
     next neutral one, never the previous scene's again. A sequential rule over one script's
@@ -169,17 +181,24 @@ def plan_scenes(scripts: DataFrame, rule: P.Planning = P.Planning(), *,
 
     `measured(text_key, seconds)`, keyed by the SHA-256 of the unit text, replaces the
     estimates: units are exploded, joined by key and gathered again per script."""
-    base = scripts.select("script_id", X.split_units(F.col("text"), rule.max_s,
-                                                     rule.words_per_second).alias("units"))
-    if measured is not None:
-        base = _with_measured(base, measured, rule)
-    grouped = group_units(base, rule, None if measured is None else gap)
+    grouped = grouped_scripts(scripts, rule, measured, gap)
     texts = F.transform(F.col("scenes"), lambda g: F.array_join(_field(g, "text"), " "))
     return _explode_plan(grouped.withColumn("texts", texts), rule,
                          None if measured is None else gap, template, description,
                          with_dialogue, patterns)
 
 
+def grouped_scripts(scripts: DataFrame, rule: P.Planning = P.Planning(), measured: DataFrame | None = None,
+                    gap: float = 0.2) -> DataFrame:
+    """scripts(script_id, text) -> script_id, units, scenes ARRAY<ARRAY<unit>>; one row per script. A null
+    text is an empty one, without units or scenes."""
+    base = scripts.select("script_id", X.split_units(F.coalesce("text", F.lit("")), rule.max_s,
+                                                     rule.words_per_second).alias("units"))
+    if measured is not None:
+        base = _with_measured(base, measured, rule)
+    return group_units(base, rule, None if measured is None else gap)
+
+
 def _with_measured(base: DataFrame, measured: DataFrame, rule: P.Planning) -> DataFrame:
     unit = F.col("u")
     rows = unfold(base, "units", "k", "u", "script_id").withColumn(
@@ -199,23 +218,12 @@ def _explode_plan(rows: DataFrame, rule: P.Planning, gap: float | None, template
     cues = F.transform(F.col("texts"), lambda t, i: X.classify_cue(t, i, total, patterns))
     rows = rows.withColumn("cues", cues)
 
-    def length(group: Column) -> Column:
-        if gap is not None:
-            return F.round(F.aggregate(_field(group, "seconds"), F.lit(0.0), lambda a, s: a + s)
-                           + F.lit(gap) * (F.size(group) - 1), 2)
-
-        def total_of(name: str) -> Column:
-            return F.aggregate(_field(group, name), F.lit(0), lambda a, v: a + v)
-
-        return X.speech_seconds(total_of("words"), total_of("ends"), total_of("clauses"),
-                                rule.words_per_second)
-
     rows = rows.withColumn("gestures", assign_gestures(F.col("cues")))
     zipped = F.transform(F.col("texts"), lambda t, i: F.struct(
         (i + 1).cast("int").alias("scene_ix"), t.alias("text"),
         F.size(F.get("scenes", i)).alias("n_units"),
         F.transform(F.get("scenes", i), lambda u: u["text"]).alias("units"),
-        length(F.get("scenes", i)).alias("estimated_duration"),
+        scene_seconds(F.get("scenes", i), rule, gap).alias("estimated_duration"),
         F.get("cues", i).alias("cue"), F.get("gestures", i).alias("gesture")))
     out = unfold(rows, zipped, "_k", "s", "script_id").select(
         "script_id", "s.scene_ix", F.format_string("scene_%03d", "s.scene_ix").alias("scene_id"),

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cuegrid import params as P
 from cuegrid.functions.rounding import round_exact
 from cuegrid.functions.scalars import text_sha
-from cuegrid.operators.scenes import plan_scenes
+from cuegrid.functions.text import bound
+from cuegrid.operators.scenes import grouped_scripts, plan_scenes, scene_seconds
 from cuegrid.operators.sync import planned_clips, sync_plan, total
 
 ACTIONS = ("exact", "retime", "trim", "insufficient")
@@ -31,12 +32,33 @@ def scene_table(scripts: DataFrame, planning: P.Planning = P.Planning(), clips:
         )).withColumn("status", F.when(lost, "failed").otherwise(F.col("status")))
 
 
-def production_plan(scripts: DataFrame, **options) -> DataFrame:
-    """Per script: scenes, narration seconds, requested footage and scenes per sync action."""
-    scenes = scene_table(scripts, **options)
-    action = F.col("sync.action")
-    return scenes.groupBy("script_id").agg(
-        F.count(F.lit(1)).alias("scenes"),
-        round_exact(F.sum(F.rint(F.col("estimated_duration") * 1000).cast("bigint")) / 1000, 2).alias("narration_s"),
-        F.sum("footage").alias("footage_s"), F.count_if(F.col("status") == "failed").alias("uncovered"),
-        *[F.count_if(action == a).alias(a) for a in ACTIONS])
+def production_plan(scripts: DataFrame, planning: P.Planning = P.Planning(), clips: P.Clips = P.Clips(),
+                    sync: P.Sync = P.Sync(), audio: P.Audio = P.Audio(), video: P.Video = P.Video(),
+                    source: str = "combinations", measured: DataFrame | None = None, gap: float = 0.2) -> DataFrame:
+    """Per script: scenes, narration seconds, requested footage and scenes per sync action.
+
+    A fold over the script's array of scenes, so a corpus needs no shuffle (measured lengths are joined,
+    and do): script ids are unique, and scripts without scenes are absent."""
+    rows = grouped_scripts(scripts, planning, measured, gap).where(F.size("scenes") > 0)
+    seconds = F.transform("scenes", lambda g: scene_seconds(g, planning, None if measured is None else gap))
+
+    def planned(length: Column) -> Column:
+        wanted = planned_clips(source, length + audio.tail_padding, allowed=clips.allowed, rule=sync)
+        return bound(wanted, lambda c: bound(F.coalesce(total(c), F.lit(0.0)), lambda footage: F.struct(
+            length.alias("length"), footage.alias("footage"), c.isNull().alias("lost"),
+            sync_plan(length, c, sync, audio.tail_padding, video.fps, footage)["action"].alias("action"))))
+
+    plans = rows.select("script_id", seconds.alias("seconds")).select(
+        "script_id", F.transform("seconds", planned).alias("p"))
+
+    def count(test) -> Column:
+        return F.size(F.filter("p", test)).cast("bigint")
+
+    def actions(name: str) -> Column:
+        return count(lambda x: x["action"] == name)
+
+    ms = F.aggregate(F.transform("p", lambda x: F.rint(x["length"] * 1000).cast("bigint")), F.lit(0).cast("bigint"), lambda a, v: a + v)
+    return plans.select(
+        "script_id", F.size("p").cast("bigint").alias("scenes"), round_exact(ms / 1000, 2).alias("narration_s"),
+        total(F.transform("p", lambda x: x["footage"])).alias("footage_s"), count(lambda x: x["lost"]).alias("uncovered"),
+        *[actions(a).alias(a) for a in ACTIONS])
