@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cuegrid.catalog.base import block
 from cuegrid.functions import text as X
-from cuegrid.operators.rows import keep_parallel, unfold
+from cuegrid.operators.rows import keep_parallel, settled, unfold
 from cuegrid.operators.scan import scan
 
 
@@ -35,7 +35,7 @@ def scripts(spark: SparkSession, folder: str) -> DataFrame:
 def sentence_arrays(spark: SparkSession, folder: str) -> DataFrame:
     """script_id, sents ARRAY<STRING>: sentences of all paragraphs, one row per script"""
     sents = F.flatten(F.transform(X.split_paragraphs(F.col("text")), X.split_sentences))
-    return scripts(spark, folder).select("script_id", sents.alias("sents"))
+    return settled(scripts(spark, folder), sents=sents).drop("text")
 
 
 def sentences(spark: SparkSession, folder: str) -> DataFrame:
