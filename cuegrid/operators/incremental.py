@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from cuegrid.functions.scalars import segment_scene
 from cuegrid.functions.text import bound
+from cuegrid.session import stored
 
 #: Columns an unchanged scene keeps after replanning. The last two say how its audio was made;
 #: without them the audio would look stale and be synthesised again.
@@ -29,6 +30,7 @@ def stale_audio(scenes: DataFrame, signature: Column, voice: Column) -> DataFram
 def has_speech(scenes: DataFrame, cached: DataFrame, key: str, voice: Column) -> DataFrame:
     """Adds `has_speech`: untrimmed narration of the current text exists, either every unit
     (units ARRAY<unit key>, in cached(unit_key)) or the scene's own file."""
+    scenes = stored(scenes)  # read twice
     listed = scenes.select(key, F.explode(F.array_distinct("units")).alias("unit_key"))
     present = cached.select("unit_key").distinct().withColumn("_hit", F.lit(True))
     units = listed.join(present, "unit_key", "left").groupBy(key).agg(
