@@ -9,6 +9,7 @@ from cuegrid.catalog import tables as T
 from cuegrid.catalog.base import block, query
 from cuegrid.functions import text as X
 from cuegrid.operators import align as A, fit as FT, lips as L, sync as S
+from cuegrid.operators.rows import settled
 
 C = F.col
 _COMBOS = ", ".join(f"({n}, {k}, {sum(c)}::DOUBLE, '{'+'.join(str(int(x)) for x in sorted(c, reverse=True))}')"
@@ -403,7 +404,8 @@ def alignment_search(spark, folder):
 def _transcripts(spark, folder):
     """A scene's line and what was heard of it: every seventh word is missing, and one word
     is said twice where the line has more than ten."""
-    rows = T.scenes(spark, folder).withColumn("w", X.words_of(C("text")))
+    rows = T.scenes(spark, folder)
+    rows = settled(rows, text=C("text"), w=X.words_of(C("text")))
     heard = F.filter("w", lambda _, i: i % 7 != 3)
     twice = F.when(F.size("w") > 10, F.concat(F.slice(heard, F.lit(1), F.lit(1)), heard)).otherwise(heard)
     return rows.select("script_id", "scene_ix", "text", twice.alias("heard"))
@@ -416,7 +418,8 @@ def align_words(spark, folder):
     a = A.align_words(_transcripts(spark, folder))
     inc = F.forall(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("pairs") - 1)), lambda k: F.coalesce(
         (F.get("pairs", k)["i"] > F.get("pairs", k - 1)["i"]) & (F.get("pairs", k)["j"] > F.get("pairs", k - 1)["j"]), F.lit(True)))
-    same = F.forall("pairs", lambda p: X.matching_word(F.get("script_words", p["i"])) == X.matching_word(F.get("heard", p["j"])))
+    sides = F.struct(X.matching_words(C("script_words")).alias("said"), X.matching_words(C("heard")).alias("heard"))
+    same = X.bound(sides, lambda s: F.forall("pairs", lambda p: F.get(s["said"], p["i"]) == F.get(s["heard"], p["j"])))
     return a.select("script_id", "scene_ix", F.size("script_words").alias("n_words"), inc.alias("in_order"), same.alias("same_words"))
 
 

@@ -10,7 +10,10 @@ from cuegrid import params as P
 from cuegrid.functions.rounding import fixed, round_exact
 
 # --- fixed values: token patterns -------------------------------------------------------
-WORD = "[A-Za-z0-9À-ɏ']+"
+# classes list their characters up to U+00FF: those are one table look-up, while ranges are tried one by one
+LOWER = "abcdefghijklmnopqrstuvwxyz"
+DIGITS = "0123456789"
+WORD = f"[{LOWER.upper()}{LOWER}{DIGITS}{''.join(map(chr, range(0xC0, 0x100)))}Ā-ɏ']+"
 SENTENCE_END = "[.!?]+"
 CLAUSE_MARKS = ",;:—"
 
@@ -71,7 +74,7 @@ def parse_ratio(value: Column) -> Column:
 
 def count_syllables(word: Column) -> Column:
     """Vowel groups of the letters a-z, with a silent final e, and at least one."""
-    letters = F.regexp_replace(F.lower(word), "[^a-z]", "")
+    letters = F.regexp_replace(F.lower(word), f"[^{LOWER}]+", "")
     groups = F.regexp_count(letters, F.lit("[aeiouy]+"))
     silent = letters.endswith("e") & ~letters.rlike("(le|ee)$") & (groups > 1)
     return F.greatest(F.lit(1), groups - silent.cast("int"))

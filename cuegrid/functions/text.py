@@ -11,7 +11,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, functions as F
 
 from cuegrid import params as P
-from cuegrid.functions.scalars import (count_clause_marks, count_sentence_ends, count_words,
+from cuegrid.functions.scalars import (DIGITS, LOWER, count_clause_marks, count_sentence_ends, count_words,
                                        speech_seconds)
 
 # --- fixed values: patterns and word lists ----------------------------------------------
@@ -299,12 +299,20 @@ def matching_text(text: Column) -> Column:
 
 
 def matching_word(word: Column) -> Column:
-    return F.regexp_replace(F.replace(F.lower(word), F.lit("’"), F.lit("'")), "[^a-z0-9']", "")
+    return F.regexp_replace(F.replace(F.lower(word), F.lit("’"), F.lit("'")), f"[^{LOWER}{DIGITS}']+", "")
+
+
+def matching_words(words: Column) -> Column:
+    """`matching_word` of every word, by one pass over all of them. Words that cannot be told apart in
+    the joined text (null, or with a line break) are taken one by one."""
+    apart = (F.size(words) == 0) | F.exists(words, lambda w: w.isNull() | F.contains(w, F.lit("\n")))
+    joined = F.replace(F.lower(F.array_join(words, "\n")), F.lit("’"), F.lit("'"))
+    return F.when(apart, F.transform(words, matching_word)).otherwise(
+        F.split(F.regexp_replace(joined, f"[^{LOWER}{DIGITS}'\n]+", ""), "\n"))
 
 
 def classify_message(message: Column) -> Column:
     """Outcome named by a message's tail: credits, then policy, then a failure."""
-    tail = F.lower(F.right(collapse(message), F.lit(600)))
 
     def names(words: Sequence[str], where: Column) -> Column:
         hit = F.lit(False)
@@ -312,9 +320,13 @@ def classify_message(message: Column) -> Column:
             hit = hit | where.contains(word)
         return hit
 
-    return (F.when(names(CREDIT_WORDS, tail), F.lit("rate_limit"))
-            .when(names(POLICY_WORDS, tail), F.lit("permanent"))
-            .when(names(FAILURE_WORDS, F.right(tail, F.lit(250))), F.lit("transient")))
+    def outcome(tail: Column) -> Column:
+        return (F.when(names(CREDIT_WORDS, tail), F.lit("rate_limit"))
+                .when(names(POLICY_WORDS, tail), F.lit("permanent"))
+                .when(names(FAILURE_WORDS, F.right(tail, F.lit(250))), F.lit("transient")))
+
+    # the message is collapsed once, not once a word
+    return bound(collapse(message), lambda m: bound(F.lower(F.right(m, F.lit(600))), outcome))
 
 
 def wrap_instruction(prompt: Column, seconds: Column, default_seconds: int = 8) -> Column:

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from cuegrid import params as P
 from cuegrid.functions.rounding import round_exact
-from cuegrid.functions.text import bound, matching_word, words_of
+from cuegrid.functions.text import bound, matching_words, words_of
 from cuegrid.operators.fit import apart_seconds, cheapest, span
-from cuegrid.operators.rows import keep_parallel
+from cuegrid.operators.rows import keep_parallel, settled
 from cuegrid.operators.scan import scan
 
 TINY = 1e-3
@@ -204,12 +205,14 @@ def matching_pairs(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(found)
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()),
-                                          T.StructField("j", T.IntegerType())])))
-def matched_words(script: pd.Series, heard: pd.Series) -> pd.Series:
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("i", T.IntegerType()),
+                                         T.StructField("j", T.IntegerType())])))
+def matched_words(script: pa.Array, heard: pa.Array) -> pa.Array:
     """Index pairs of words matched in order, by recursive longest matching block."""
-
-    return pd.Series([[{"i": i, "j": j} for i, j in matching_pairs(list(a), list(b))] for a, b in zip(script, heard)])
+    found = [matching_pairs(a, b) for a, b in zip(script.to_pylist(), heard.to_pylist())]
+    sides = [pa.array([p[side] for pairs in found for p in pairs], pa.int32()) for side in (0, 1)]
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()),
+                                    pa.StructArray.from_arrays(sides, ["i", "j"]))
 
 
 matched_words = matched_words.asNondeterministic()  # keeps filters from re-running it
@@ -218,9 +221,9 @@ matched_words = matched_words.asNondeterministic()  # keeps filters from re-runn
 def align_words(rows: DataFrame, text: str = "text", heard: str = "heard") -> DataFrame:
     """rows(text STRING, heard ARRAY<STRING>) -> adds script_words, pairs, coverage, extra,
     trailing_extra, usable."""
-    base = rows.withColumn("script_words", words_of(F.col(text)))
+    base = settled(rows, **{"script_words": words_of(F.col(text)), heard: F.col(heard)}).select(*rows.columns, "script_words")
     pairs = base.withColumn("pairs", matched_words(
-        F.transform("script_words", matching_word), F.transform(heard, matching_word)))
+        matching_words(F.col("script_words")), matching_words(F.col(heard))))
     n = F.size("pairs")
     first_j, last_j = F.get("pairs", F.lit(0))["j"], F.element_at("pairs", -1)["j"]
     extra = F.when(n == 0, F.size(heard)).otherwise((last_j - first_j + 1) - n + first_j)
