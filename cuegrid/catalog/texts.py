@@ -8,6 +8,7 @@ from cuegrid import params as P
 from cuegrid.catalog import tables as T
 from cuegrid.catalog.base import block, query
 from cuegrid.functions import text as X
+from cuegrid.functions.scalars import count_words
 from cuegrid.operators import scenes as SC
 from cuegrid.operators.rows import unfold
 from cuegrid.operators.subtitles import build_cues, cue_blocks
@@ -289,11 +290,13 @@ def scene_grouping(spark, folder):
 def scene_plan(spark, folder):
     plan = SC.plan_scenes(T.scripts(spark, folder), template=F.lit(TEMPLATE), patterns=CORPUS_PATTERNS)
     from cuegrid.operators.scan import scan
+    from cuegrid.session import stored
 
+    plan = stored(plan.select("script_id", "scene_ix", "scene_id", "text", "gesture"))  # the scan reads its input twice
     seen = scan(plan, ["script_id"], ["scene_ix"], F.floor(C("scene_ix") / 16), number="rn",
                 lags={"before": C("gesture")})
     return seen.groupBy("script_id").agg(
-        F.sum(F.regexp_count("text", F.lit("[A-Za-z0-9À-ɏ']+"))).alias("words"),
+        F.sum(count_words(C("text"))).alias("words"),
         F.min_by("gesture", "scene_ix").alias("first_gesture"),
         F.count_if(C("gesture") == C("before")).alias("repeats"),
         F.bool_and(F.col("scene_id") == F.format_string("scene_%03d", "rn")).alias("numbered"))
@@ -353,5 +356,5 @@ def production_scenes(spark, folder):
 
     rows = scene_table(T.scripts(spark, folder))
     enough = C("clip_durations").isNull() | (C("sync.ratio") >= 0.9 * 0.98)
-    return rows.groupBy("script_id").agg(F.sum(F.regexp_count("text", F.lit("[A-Za-z0-9À-ɏ']+"))).alias("words"),
+    return rows.groupBy("script_id").agg(F.sum(count_words(C("text"))).alias("words"),
                                          F.bool_and(enough).alias("covered"))
