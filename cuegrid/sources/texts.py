@@ -7,11 +7,13 @@ import sys
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 from urllib.parse import quote
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceWriter, WriterCommitMessage
 
 FORMAT = "cuegrid_texts"
 POINTER = "published"
@@ -43,20 +45,25 @@ class TextWriter(DataSourceWriter):
 
     def write(self, rows: Iterator) -> Written:
         """Rows (key, line) of whole keys, in order; a line is written as it comes."""
+        return self.put((row[0], (row[1],)) for row in rows)
+
+    def put(self, parts: Iterator) -> Written:
+        """Parts (key, some lines) of whole keys, in order; a part is written as it comes."""
         store, root = _store(self.root)
         name = f"data/version={self.version}/{uuid.uuid4().hex}"
         key, out, files, lines = None, None, 0, 0
         try:
-            for row in rows:
-                if out is None or row[0] != key:
+            for found, some in parts:
+                if out is None or found != key:
                     if out is not None:
                         out.close()
-                    key = row[0]
-                    store.create_dir(f"{root}/{name}", recursive=True)
+                    else:
+                        store.create_dir(f"{root}/{name}", recursive=True)
+                    key = found
                     out = store.open_output_stream(f"{root}/{name}/{file_name(key)}{self.suffix}")
                     files += 1
-                out.write(f"{row[1]}\n".encode())
-                lines += 1
+                out.write("".join([f"{line}\n" for line in some]).encode())
+                lines += len(some)
         finally:
             if out is not None:
                 out.close()
@@ -79,6 +86,14 @@ class TextWriter(DataSourceWriter):
                 store.delete_dir(f"{root}/{message.folder}")
 
 
+class BatchWriter(TextWriter, DataSourceArrowWriter):
+    """The same from Arrow batches, which Spark bounds: no row object a line, one write for a key's lines in a batch."""
+
+    def write(self, batches: Iterator) -> Written:
+        return self.put((key, [line for _, line in rows]) for batch in batches for key, rows in groupby(
+            zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), itemgetter(0)))
+
+
 def file_name(key) -> str:
     """A name of its own for every key, null included."""
     return "null" if key is None else "=" + quote(str(key), safe="")
@@ -89,8 +104,8 @@ class Texts(DataSource):
     def name(cls) -> str:
         return FORMAT
 
-    def writer(self, schema, overwrite: bool) -> TextWriter:
-        return TextWriter(self.options["path"], int(self.options["version"]), self.options.get("suffix", ".txt"))
+    def writer(self, schema, overwrite: bool) -> BatchWriter:
+        return BatchWriter(self.options["path"], int(self.options["version"]), self.options.get("suffix", ".txt"))
 
 
 def write_texts(rows: DataFrame, path: str, version: int, key: str, order: list[str], line: str, suffix: str = ".txt") -> None:

@@ -79,3 +79,17 @@ def test_pointer_is_one_small_file(spark, tmp_path):
     texts.write_texts(lines(spark), path, 7, "k", ["i"], "line")
     names = [p.name for p in (tmp_path / "out" / texts.POINTER).iterdir()]
     assert names == [f"{7:020d}.json"] and texts.read_texts(spark, path).agg(F.sum(F.length("text"))).first()[0] > 0
+
+
+def test_writer_takes_batches_and_splits_keys_over_them(tmp_path):
+    import pyarrow as pa
+
+    def batch(*rows):
+        return pa.RecordBatch.from_pylist([{"key": k, "line": v} for k, v in rows], pa.schema([("key", pa.int64()), ("line", pa.string())]))
+
+    writer = texts.BatchWriter(str(tmp_path), 1, ".txt")
+    told = writer.write(iter([batch((None, "z"), (1, "a"), (1, "")), batch(), batch((1, None), (2, "b\nc"))]))
+    assert (told.files, told.lines) == (3, 5)
+    found = {p.name: p.read_text() for p in (tmp_path / told.folder).iterdir()}
+    assert found == {"null.txt": "z\n", "=1.txt": "a\n\nNone\n", "=2.txt": "b\nc\n"}
+    assert writer.write(iter([])).files == 0
