@@ -58,11 +58,10 @@ def total(clips: Column) -> Column:
     return F.aggregate(clips, F.lit(0.0), lambda a, c: a + c)
 
 
-def sync_plan(audio: Column, clips: Column, rule: P.Sync = P.Sync(),
-              tail: float | Column = P.Audio().tail_padding,
-              fps: int | Column = P.Video().fps, video: Column | None = None) -> Column:
-    """STRUCT<target_duration, video_duration, ratio, retime_factor, action, freeze_pad>.
-    `video`, the summed clip length, may be given as a column computed beforehand."""
+def sync_state(audio: Column, clips: Column, rule: P.Sync = P.Sync(),
+               tail: float | Column = P.Audio().tail_padding,
+               fps: int | Column = P.Video().fps, video: Column | None = None) -> dict[str, Column]:
+    """target_duration, video_duration, ratio and action of a plan, without its exactly rounded numbers."""
     tail = tail if isinstance(tail, Column) else F.lit(float(tail))
     rate = fps if isinstance(fps, Column) else F.lit(fps)
     target = frame_aligned(audio + tail, rate)
@@ -73,6 +72,16 @@ def sync_plan(audio: Column, clips: Column, rule: P.Sync = P.Sync(),
               .when(in_range(ratio, rule), F.lit("retime"))
               .when(ratio > rule.max_speedup, F.lit("trim"))
               .otherwise(F.lit("insufficient")))
+    return {"target_duration": target, "video_duration": video, "ratio": ratio, "action": action}
+
+
+def sync_plan(audio: Column, clips: Column, rule: P.Sync = P.Sync(),
+              tail: float | Column = P.Audio().tail_padding,
+              fps: int | Column = P.Video().fps, video: Column | None = None) -> Column:
+    """STRUCT<target_duration, video_duration, ratio, retime_factor, action, freeze_pad>.
+    `video`, the summed clip length, may be given as a column computed beforehand."""
+    rate = fps if isinstance(fps, Column) else F.lit(fps)
+    target, video, ratio, action = sync_state(audio, clips, rule, tail, fps, video).values()
     factor = (F.when((video <= 0) | (action == "exact"), F.lit(1.0))
               .when(action == "retime", target / video)
               .when(action == "trim", F.lit(1 / rule.max_speedup))
@@ -111,7 +120,8 @@ def top_up(audio: Column, clips: Column, allowed=P.Clips().allowed, rule: P.Sync
     the scene has fewer than four clips: at most four unrolled steps inside the row."""
 
     def step(have: Column, _: Column) -> Column:
-        return bound(sync_plan(audio, have, rule, tail, fps), lambda plan: F.when(
+        state = sync_state(audio, have, rule, tail, fps, total(have))
+        return bound(F.struct(*[state[n].alias(n) for n in ("target_duration", "video_duration", "action")]), lambda plan: F.when(
             (F.size(have) < P.MAX_CLIPS_PER_SCENE) & (plan["action"] == "insufficient"),
             bound(choose_clips(plan["target_duration"] - plan["video_duration"], allowed, rule),
                   lambda more: F.when(more.isNull(), have).otherwise(

@@ -74,3 +74,20 @@ def test_scene_plan_is_stored(spark, folder):
     out = load()[0]["k2_scene_plan"](spark, folder)
     assert "flatten(" not in plan(out)
     assert sorted((r.script_id, r.words, r.numbered) for r in out.collect()) == [(1, 13, True), (4, 2, True)]
+
+
+def test_top_up_rounds_nothing_exactly(spark):
+    from cuegrid.operators import sync as S
+
+    rows = spark.createDataFrame([(5.0, []), (9.0, [4.0]), (31.0, [8.0]), (90.0, []), (3.0, [8.0])], "a double, c array<double>")
+    out = rows.select(S.top_up(F.col("a"), F.col("c")).alias("c"))
+    assert "decimal(" not in plan(out)
+    for row, got in zip(rows.collect(), out.collect()):
+        have = list(row.c)
+        while len(have) < 4:
+            p = spark.createDataFrame([(row.a, have)], "a double, c array<double>").select(S.sync_plan(F.col("a"), F.col("c")).alias("p")).first().p
+            more = spark.createDataFrame([(p.target_duration - p.video_duration,)], "t double").select(S.choose_clips(F.col("t")).alias("c")).first().c
+            if p.action != "insufficient" or not more:
+                break
+            have.append(more[0])
+        assert list(got.c) == have
