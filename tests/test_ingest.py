@@ -3,12 +3,13 @@
 import datetime as dt
 import json
 import random
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
 from cuegrid.catalog import check, load
 from cuegrid.sources.logs import event_fields
-from cuegrid.streaming import events as E
+from cuegrid.streaming import events as E, requests
 from cuegrid.streaming.ingest import ingest, late_counts, stream_lines
 from cuegrid.streaming.requests import timed_requests
 from cuegrid.streaming.run import run_available
@@ -98,6 +99,42 @@ def test_timed_requests_in_any_order_of_arrival(spark, tmp_path):
         assert sorted(map(tuple, got.collect()), key=str) == answers(told, 120, edge)
 
 
+class Store:
+    """A key's states and timers, counting what is asked of them."""
+
+    def __init__(self):
+        self.calls, self.timers, self.map, self.value = 0, set(), {}, None
+
+    def __getattr__(self, name):
+        self.calls += 1
+        return {"getMapState": lambda *_: self, "getValueState": lambda *_: self, "registerTimer": self.timers.add, "containsKey": self.map.__contains__,
+                "keys": lambda: iter(list(self.map)), "getValue": self.map.get, "updateValue": self.map.__setitem__, "removeKey": self.map.pop,
+                "get": lambda: self.value, "update": lambda v: setattr(self, "value", v), "clear": lambda: setattr(self, "value", None)}[name]
+
+
+def test_timed_requests_ask_the_store_by_blocks(monkeypatch):
+    monkeypatch.setattr(requests, "RUN", 40)
+    monkeypatch.setattr(requests, "BLOCK", 10)
+    chosen = random.Random(3)
+    rows = [("u", 10**12 + (k // 3) * 9_000_000 + chosen.choice([0, 300, 1500]), k, chosen.choice(["request", "request", "done"])) for k in range(400)]
+    rows += rows[300:340]  # the same event twice is one
+    got, told, edge, store = [], [], 0, Store()
+    watch = requests.Requests(120)
+    watch.init(store)
+    for n, (a, b) in enumerate(((0, 150), (150, 151), (151, 440))):
+        part = rows[a:b]
+        chosen.shuffle(part)
+        part = [r for r in part if r[1] // 1000 > edge]  # the others are dropped on arrival
+        told, edge = told + part, max([edge, *(t // 1000 - 300_000 for _, t, _, _ in part)])
+        times = SimpleNamespace(getCurrentWatermarkInMs=lambda: edge)
+        list(watch.handleInputRows(("u",), iter([{"at": t, "seq": s, "done": what == "done"} for _, t, s, what in part]), times))
+        while due := [t for t in store.timers if t <= edge]:
+            store.timers.remove(min(due))
+            got += [(r.key, r.seq, r.done_seq, r.micros) for r in watch.handleExpiredTimer(("u",), times, None)]
+        assert sorted(got, key=str) == answers(sorted(set(told)), 120, edge), n
+    assert store.calls < len(rows)  # fewer than events
+
+
 def test_new_stream_queries(spark):
     queries, oracles = load()
     folder = "/root/testdata/sf0.001"
