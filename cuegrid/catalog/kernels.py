@@ -266,10 +266,9 @@ def fit_placement(spark, folder):
   FROM fitted JOIN fitmiss USING ({_CAND})""", "fitted", "fitmiss")
 def fit_search(spark, folder):
     """Every candidate's plan; settings that pair alike count once."""
-    c = FT.fit_plans(FT.candidates(_speech(spark, folder), C("clip_len")), C("narr_len"), C("clip_len"))
-    return c.groupBy("scene_key", "sel_ix", "phrases").agg(F.min_by(F.struct("setting", F.size("phrases").alias("n_phrases"), F.col(
-        "clamped").cast("bigint").alias("clamped"), F.round("w0", 6).alias("w0"), F.round("dur", 6).alias("dur"), "freeze_pad", "mismatch"),
-        "setting").alias("f")).select("scene_key", "sel_ix", "f.*")
+    c = FT.fit_plans(FT.candidates(_speech(spark, folder), C("clip_len"), once=True), C("narr_len"), C("clip_len"))
+    return c.select("scene_key", "sel_ix", "setting", F.size("phrases").alias("n_phrases"), F.col("clamped").cast("bigint").alias("clamped"),
+                    F.round("w0", 6).alias("w0"), F.round("dur", 6).alias("dur"), "freeze_pad", "mismatch")
 
 
 @query("k9_fit_plans", """

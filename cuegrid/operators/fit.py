@@ -18,7 +18,7 @@ from cuegrid.functions.rounding import round_exact
 from cuegrid.functions.scalars import clamp, frame_aligned
 from cuegrid.functions.text import bound
 from cuegrid.operators.intervals import overlap_join
-from cuegrid.operators.rows import keep_parallel, unfold
+from cuegrid.operators.rows import keep_parallel, settled, unfold
 
 SPAN = "array<struct<t0:double,t1:double>>"
 
@@ -171,10 +171,78 @@ def pairings(narr: list[tuple[float, float]], clip: list[tuple[float, float]]) -
     return out
 
 
+#: Pairs of sides whose pairings are computed together, at most, and from how many on that pays.
+TOGETHER, FEW = 1024, 8
+
+
+def pairings_of_many(sides: list[tuple]) -> list[list[list[int]]]:
+    """`pairings` of every (narration, clip) of a list: those of the same two sizes go through the
+    search together, as columns, with the same operations in the same order."""
+    shapes: dict[tuple[int, int], list[int]] = {}
+    for k, (narr, clip) in enumerate(sides):
+        shapes.setdefault((len(narr), len(clip)), []).append(k)
+    out: list = [None] * len(sides)
+    for (n, m), places in shapes.items():
+        for at in range(0, len(places), TOGETHER):
+            part = places[at:at + TOGETHER]
+            if len(part) < FEW or not n or not m:
+                found = [pairings(*sides[k]) for k in part]
+            else:
+                found = _pairings_alike(np.array([sides[k][0] for k in part], float), np.array([sides[k][1] for k in part], float))
+            for k, paths in zip(part, found):
+                out[k] = paths
+    return out
+
+
+def _pairings_alike(narr: np.ndarray, clip: np.ndarray) -> list[list[list[int]]]:
+    """`pairings` of sides of one shape: narr[pair, segment, (start, end)], clip likewise."""
+    grid = [(bonus, low, high) for bonus in P.SEARCH_BONUS for low, high in P.SEARCH_RATIO]
+    bonus, low, high = (np.array(x) for x in zip(*grid))
+    count, n, m = len(narr), narr.shape[1], clip.shape[1]
+    cost = {(0, 0): np.zeros((count, len(grid)))}  # infinite where nothing leads to
+    came: dict[tuple[int, int], np.ndarray] = {}
+    for stop_n in range(1, n + 1):
+        for stop_c in range(1, m + 1):
+            top, back = np.full((count, len(grid)), np.inf), np.full((count, len(grid)), -1)
+            for i in range(max(0, stop_n - P.MAX_GROUP), stop_n):
+                spoken = narr[:, stop_n - 1, 1] - narr[:, i, 0]
+                for p in range(max(0, stop_c - P.MAX_GROUP), stop_c):
+                    if (i, p) not in cost:
+                        continue
+                    seen = clip[:, stop_c - 1, 1] - clip[:, p, 0]
+                    rate = spoken / np.maximum(seen, 1e-3)
+                    fits = (low <= rate[:, None]) & (rate[:, None] <= high) & (rate[:, None] > 0)
+                    some = np.flatnonzero(fits.any(axis=1))
+                    if not len(some):
+                        continue
+                    price = np.zeros(count)
+                    price[some] = [math.log(r) ** 2 for r in rate[some].tolist()]
+                    c = cost[i, p] + (price * (spoken + seen))[:, None] - bonus
+                    better = fits & (c < top)
+                    top[better], back[better] = c[better], i * (m + 1) + p
+            cost[stop_n, stop_c], came[stop_n, stop_c] = top, back
+    steps = {at: back.tolist() for at, back in came.items()}
+    out = []
+    for k in range(count):
+        paths = []
+        for g in range(len(grid)):
+            path, at = [], (n, m)
+            if steps[at][k][g] < 0:
+                path = [n, m]
+            else:
+                while at != (0, 0):
+                    path = [*at, *path]
+                    at = divmod(steps[at][k][g], m + 1)
+            paths.append(path)
+        out.append(paths)
+    return out
+
+
 @F.pandas_udf(T.ArrayType(T.ArrayType(T.ArrayType(T.IntegerType()))))
 def _pair_udf(n0: pd.Series, n1: pd.Series, c0: pd.Series, c1: pd.Series) -> pd.Series:
-    return pd.Series([[pairings(list(zip(a, b)), list(zip(*clip))) for clip in zip(c, d)]
-                      for a, b, c, d in zip(n0, n1, c0, c1)])
+    rows = [(list(zip(a.tolist(), b.tolist())), [list(zip(s.tolist(), e.tolist())) for s, e in zip(c, d)]) for a, b, c, d in zip(n0, n1, c0, c1)]
+    found = iter(pairings_of_many([(narr, clip) for narr, clips in rows for clip in clips]))
+    return pd.Series([[next(found) for _ in clips] for _, clips in rows])
 
 
 _pair_udf = _pair_udf.asNondeterministic()
@@ -227,26 +295,29 @@ def phrases_on(path: Column, sel: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.floor(F.size(path) / 2).cast("int") - 1), phrase)
 
 
-def candidates(rows: DataFrame, clip_len: Column) -> DataFrame:
+def candidates(rows: DataFrame, clip_len: Column, once: bool = False) -> DataFrame:
     """One row per distinct selection of clip segments and search setting, at most 18 per
-    scene: adds sel_ix, sel, setting, phrases ARRAY<STRUCT<ns,ne,cs,ce>>. The full search; `cheapest`
-    finds the same plan from fewer."""
+    scene: adds sel_ix, sel, setting, phrases ARRAY<STRUCT<ns,ne,cs,ce>>. With `once`, of the settings of a
+    selection that give equal phrases only the first. The full search; `cheapest` finds the same plan from fewer."""
     chosen = selections(rows, clip_len)
     paths = chosen.withColumn("_paths", paths_of(F.col("sels")))
-    each = unfold(paths, F.arrays_zip("sels", "_paths"), "_k", "_s", *rows.columns)
-    wide = unfold(each.select(*rows.columns, F.col("_s.sels.ix").alias("sel_ix"), F.col("_s.sels.segs").alias("sel"),
-                              F.col("_s._paths").alias("_paths")),
-                  "_paths", "setting", "_path", *rows.columns, "sel_ix", "sel")
-    return wide.withColumn("phrases", phrases_on(F.col("_path"), F.col("sel"))).drop("_path")
+    each = unfold(paths, F.arrays_zip("sels", "_paths"), "_k", "_s", *rows.columns).select(
+        *rows.columns, F.col("_s.sels.ix").alias("sel_ix"), F.col("_s.sels.segs").alias("sel"), F.col("_s._paths").alias("_paths"))
+    made = settled(each, _all=F.transform("_paths", lambda path: phrases_on(path, F.col("sel"))))
+    listed = F.transform("_all", lambda p, i: F.struct(i.alias("setting"), p.alias("phrases")))
+    if once:
+        listed = F.filter(listed, lambda x: F.array_position("_all", x["phrases"]) == x["setting"] + 1)
+    wide = unfold(made, listed, "_k", "_c", *rows.columns, "sel_ix", "sel")
+    return wide.select(*rows.columns, "sel_ix", "sel", "_c.setting", "_c.phrases")
 
 
 def cheapest(rows: DataFrame, clip_len: Column, plan, least) -> DataFrame:
     """Adds `best` STRUCT<cost,fewer,sel_ix,setting,phrases,body>, the cheapest candidate's plan (null if
     none has one), and `scored`, how many candidates were planned for it.
 
-    plan(phrases) is STRUCT<cost,body> or null; least(segs), a bound below the cost of every plan on a
-    selection, needs no pairing. The first selection is planned, and of the others only those whose
-    bound does not exceed its cost, so most pairings are never computed. Settings that pair alike
+    plan(phrases) is STRUCT<cost,body> or null; least(segs) is a bound below the cost of every plan on a
+    selection. All selections are paired, in one pass of one Python worker, which costs little beside the plans: the
+    first is planned, and of the others only those whose bound does not exceed its cost. Settings that pair alike
     are planned once. All of it stays inside the scene's row. Equal costs: more segments, then the
     order of selections and settings."""
 
@@ -258,16 +329,16 @@ def cheapest(rows: DataFrame, clip_len: Column, plan, least) -> DataFrame:
                 sel["ix"].alias("ix"), F.size(sel["segs"]).alias("n"), i.alias("setting"),
                 phrases_on(F.get(paths, i), sel["segs"]).alias("phrases")))
 
-        tried = base.withColumn("_try", sels)
-        tried = tried.withColumn("_paths", paths_of(F.col("_try")))
-        listed = tried.withColumn("_list", F.flatten(F.transform("_try", lambda s, k: bound(
-            F.get("_paths", k), lambda paths: distinct(s, paths)))))
+        listed = settled(base, _list=F.flatten(F.transform(sels, lambda s: bound(
+            F.get("_paths", s["ix"]), lambda paths: distinct(s, paths)))))
         priced = F.transform("_list", lambda x: bound(plan(x["phrases"]), lambda p: F.when(p.isNotNull(), F.struct(
             p["cost"].alias("cost"), (-x["n"]).alias("fewer"), x["ix"].alias("sel_ix"), x["setting"].alias("setting"),
             x["phrases"].alias("phrases"), p["body"].alias("body")))))
-        return listed.select(*base.columns, F.array_min(priced).alias(best), F.size("_list").alias(count))
+        return settled(listed, **{best: F.array_min(priced), count: F.size("_list")}).drop("_list")
 
-    first = planned(selections(rows, clip_len), F.slice("sels", 1, 1), "_first", "_n")
+    paired = selections(rows, clip_len)
+    paired = paired.withColumn("_paths", paths_of(F.col("sels")))
+    first = planned(paired, F.slice("sels", 1, 1), "_first", "_n")
     open_still = F.filter(F.slice("sels", F.lit(2), F.size("sels")), lambda s: F.col("_first").isNull() | (
         least(s["segs"]) <= F.col("_first.cost")))
     both = planned(first, open_still, "_more", "_m")
