@@ -7,6 +7,8 @@ order, and one script stays one row until its parts are exploded, so no step shu
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, functions as F
 
@@ -56,7 +58,7 @@ def strip(text: Column) -> Column:
 
 
 def collapse(text: Column) -> Column:
-    return strip(F.regexp_replace(text, rf"(?U){SPACE}+", " "))
+    return F.trim(F.regexp_replace(text, rf"(?U){SPACE}+", " "))
 
 
 def words_of(text: Column) -> Column:
@@ -65,8 +67,13 @@ def words_of(text: Column) -> Column:
 
 
 def normalize_script(text: Column) -> Column:
-    t = F.replace(F.regexp_replace(text, "\r\n?", "\n"), F.lit("\ufeff"), F.lit(""))
-    lines = F.split(F.regexp_replace(t, "[ \t]{2,}|\t", " "), "\n")
+    def changed(value: Column, pattern: str, new: str, *signs: str) -> Column:
+        """Patterns are only tried on texts that hold one of their signs."""
+        return bound(value, lambda t: F.when(reduce(or_, [F.contains(t, F.lit(x)) for x in signs]),
+                                             F.regexp_replace(t, pattern, new)).otherwise(t))
+
+    t = F.replace(changed(text, "\r\n?", "\n", "\r"), F.lit("\ufeff"), F.lit(""))
+    lines = F.split(changed(t, "[ \t]{2,}|\t", " ", "  ", "\t"), "\n")
     return strip(F.array_join(F.transform(lines, strip), "\n"))
 
 
@@ -115,9 +122,22 @@ def ends_with_abbreviation(piece: Column) -> Column:
 def split_sentences(paragraph: Column) -> Column:
     """ARRAY<STRING> of sentences: mark each candidate end, take the mark back where the
     token before it is an abbreviation, split at the marks that are left."""
-    t = F.regexp_replace(strip(paragraph), rf"(?U)({_ENDERS})({SPACE}+)", f"$1{_MARK}$2")
-    t = F.regexp_replace(t, _FALSE_MARK, "$1$2")
-    return F.filter(F.transform(F.split(t, _MARK), strip), lambda s: s != "")
+
+    def unmarked(t: Column) -> Column:
+        """Only the token before a mark is looked at: the pattern over a whole text tries every word."""
+        def kept(piece: Column) -> Column:
+            false = piece.endswith(".") & ends_with_abbreviation(F.substring_index(piece, " ", -1))
+            return F.when(false, piece).otherwise(F.concat(piece, F.lit(_MARK)))
+
+        return F.array_join(F.transform(F.split(t, _MARK), kept), "")
+
+    def parts(p: Column) -> Column:
+        marked = F.regexp_replace(p, rf"(?U)({_ENDERS})({SPACE}+)", f"$1{_MARK}$2")
+        # a text with marks of its own goes through the pattern
+        return F.split(F.when(F.contains(p, F.lit(_MARK)), F.regexp_replace(marked, _FALSE_MARK, "$1$2")).otherwise(
+            unmarked(marked)), _MARK)
+
+    return F.filter(F.transform(bound(strip(paragraph), parts), strip), lambda s: s != "")
 
 
 def fill(parts: Column, too_long: Callable[[Column, Column], Column]) -> Column:
@@ -223,9 +243,14 @@ def cue_lines(text: Column, limit: int = P.MAX_CUE_CHARS) -> Column:
     def sentence_lines(sentence: Column) -> Column:
         size = F.length(sentence)
         even = size / F.ceil(size / F.lit(limit)) * F.lit(1.15)
-        return bound(F.least(F.lit(float(limit)), even), lambda room: F.when(
-            size <= room, F.array(F.array_join(words_of(sentence), " "))).otherwise(
-            fill(words_of(sentence), lambda _, trial: F.length(trial) > room)))
+        room = F.least(F.lit(float(limit)), even)
+
+        def filled(line: Column) -> Column:
+            # the longest stretch of whole words that has room, or a word that has none: one pass, not a step a word
+            most = F.greatest(F.lit(1), F.floor(room)).cast("string")
+            return F.regexp_extract_all(line, F.concat(F.lit(" ?(.{1,"), most, F.lit("}(?= |\\z)|[^ ]+)")), F.lit(1))
+
+        return bound(collapse(sentence), lambda line: F.when(size <= room, F.array(line)).otherwise(filled(line)))
 
     return F.flatten(F.transform(split_sentences(text), sentence_lines))
 

@@ -91,3 +91,63 @@ def test_top_up_rounds_nothing_exactly(spark):
                 break
             have.append(more[0])
         assert list(got.c) == have
+
+
+def test_lines_are_filled_in_one_pass(spark):
+    words = ["a", "tide" * 3, "w" * 90, "né", "\U0001f600" * 5, "out"]
+    texts = [" ".join(words[(k * k + j) % 6] for j in range(k)) + "." for k in range(1, 60)] + ["One.  Two three. " + "xy " * 70, " ", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    one = X.cue_lines(F.col("t"))
+    assert "aggregate(" not in plan(rows.select(one))
+    for text, lines, sents in rows.select("t", one, X.split_sentences(F.col("t"))).collect():
+        want = []
+        for s in sents:
+            room, done = min(84.0, len(s) / -(-len(s) // 84) * 1.15), []
+            for w in s.split():
+                if done and len(done[-1]) + 1 + len(w) <= room:
+                    done[-1] += " " + w
+                else:
+                    done.append(w)
+            want += [" ".join(s.split())] if len(s) <= room else done
+        assert lines == want, text
+
+
+def test_only_tokens_before_marks_are_tried(spark):
+    texts = ["Dr. No met (Mr. X. Y.) vs. U.S.A. troops. He left... J. K. R. wrote e.g. this.\" Ok? No. 5 went.", "Dr.\x1eMr.\x1e It. Be", "x etc. y.\tNo. Z!", "Prof.", "", None, " a. b. "]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    marked = F.regexp_replace(X.strip(F.col("t")), rf"(?U)({X._ENDERS})({X.SPACE}+)", f"$1{X._MARK}$2")
+    whole = F.filter(F.transform(F.split(F.regexp_replace(marked, X._FALSE_MARK, "$1$2"), X._MARK), X.strip), lambda s: s != "")
+    out = rows.select("t", X.split_sentences(F.col("t")).alias("a"), whole.alias("b"))
+    assert "substring_index(" in plan(out)
+    for r in out.collect():
+        assert r.a == r.b, r.t
+
+
+def test_sides_of_one_shape_are_paired_together(monkeypatch):
+    import random
+    from cuegrid.operators import fit as FT
+
+    chosen, sides = random.Random(5), []
+    for k in range(300):
+        narr, clip = ([(i + chosen.randrange(20) / 100, i + chosen.randrange(3, 9) / 10) for i in range(chosen.randrange(0 if k % 9 == 0 else 1, 7))] for _ in range(2))
+        sides.append((narr, clip))
+    want, alone = [FT.pairings(*s) for s in sides], []
+    monkeypatch.setattr(FT, "pairings", lambda n, c, f=FT.pairings: alone.append(1) or f(n, c))
+    assert FT.pairings_of_many(sides * 4) == want * 4
+    assert len(alone) < len(sides)
+
+
+def test_candidates_that_pair_alike_come_once_and_selections_are_paired_in_one_pass(spark):
+    from cuegrid.operators import fit as FT
+
+    def segs(shift):
+        return [(i + shift, i + 0.5 + shift * i / 10) for i in range(4)]
+
+    rows = spark.createDataFrame([(1, segs(0.1), segs(0.3)), (2, [(0.0, 0.4), (0.0, 0.4), (0.1, 0.3)], segs(0.2)), (3, [], segs(0.1))],
+                                 f"k long, clip {FT.SPAN}, narr {FT.SPAN}").withColumn("narr_len", F.lit(5.0)).withColumn("clip_len", F.lit(5.0))
+    every, once = (FT.candidates(rows, F.col("clip_len"), once=x).select("k", "sel_ix", "setting", "phrases").collect() for x in (False, True))
+    first = {}
+    for r in sorted(every):
+        first.setdefault((r.k, r.sel_ix, str(r.phrases)), r.setting)
+    assert sorted((r.k, r.sel_ix, str(r.phrases), r.setting) for r in once) == sorted((*k, v) for k, v in first.items())
+    assert plan(FT.plan_fit(rows, "k")).count("ArrowEvalPython") == 2
