@@ -9,7 +9,7 @@ from cuegrid.catalog import tables as T
 from cuegrid.catalog.base import block, query
 from cuegrid.functions import text as X
 from cuegrid.operators import align as A, fit as FT, lips as L, sync as S
-from cuegrid.operators.rows import settled
+from cuegrid.operators.rows import keep_parallel, settled
 
 C = F.col
 _COMBOS = ", ".join(f"({n}, {k}, {sum(c)}::DOUBLE, '{'+'.join(str(int(x)) for x in sorted(c, reverse=True))}')"
@@ -444,31 +444,28 @@ def transcript_usable(spark, folder):
 
 def _chunk_inputs(spark, folder):
     """Lines whose words are a scene's narration events, heard in the clip's segments."""
-    t = T.tracks(spark, folder)
-    speech = T.track(t, "clip")
-    words = T.track(t, "narration").join(speech.select("scene_key").distinct(), "scene_key", "left_semi").select(
-        "scene_key", C("seg_ix").cast("long").alias("word_ix"), "word", "t0", "t1")
-    line = words.groupBy("scene_key").agg(F.array_sort(F.collect_list(F.struct("word_ix", "word"))).alias("w"))
-    lines = line.select("scene_key", F.transform("w", lambda x: x["word"]).alias("script_words"),
-                        F.transform("w", lambda _, k: F.struct(k.cast("int").alias("i"), k.cast("int").alias("j"))).alias("pairs"))
-    return lines, words, speech
+    span = (C("seg_ix"), C("word"), C("t0"), C("t1"))
+    rows = keep_parallel(T.tracks(spark, folder).where("scene_key is not null"), "scene_key").groupBy("scene_key").agg(
+        F.array_sort(F.collect_list(F.when(C("track") == "narration", F.struct(*span)))).alias("words"),
+        F.collect_list(F.when(C("track") == "clip", F.struct("seg_ix", "t0", "t1"))).alias("speech"))
+    return rows.select(
+        "scene_key", "words", "speech", F.transform("words", lambda x: x["word"]).alias("script_words"),
+        F.transform("words", lambda _, k: F.struct(k.cast("int").alias("i"), k.cast("int").alias("j"))).alias("pairs"))
 
 
 @query("k16_lip_chunks", """
   SELECT scene_key, string_agg(word, ' ' ORDER BY seg_ix) AS line FROM narr
   WHERE scene_key IN (SELECT scene_key FROM clip) GROUP BY scene_key""", "narr", "clip")
 def lip_chunks(spark, folder):
-    lines, words, speech = _chunk_inputs(spark, folder)
-    chunks = L.make_chunks(lines, words, speech, "scene_key")
+    chunks = L.make_chunks(_chunk_inputs(spark, folder), "scene_key")
     return chunks.groupBy("scene_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
         F.struct("ix", "text"))), lambda c: c["text"]), " ").alias("line"))
 
 
 @query("k17_balanced_chunks")
 def balanced_chunks(spark, folder):
-    lines, words, speech = _chunk_inputs(spark, folder)
-    marks = speech.select("scene_key", (C("t0") + 0.04).alias("mark"))
-    return L.make_chunks(lines, words, speech, "scene_key", marks).select(
+    rows = _chunk_inputs(spark, folder).withColumn("onsets", F.transform("speech", lambda s: s["t0"] + 0.04))
+    return L.make_chunks(rows, "scene_key").select(
         "scene_key", "ix", "text", "seg_ix", F.round("t0", 6).alias("t0"), F.round("t1", 6).alias("t1"))
 
 

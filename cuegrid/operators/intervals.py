@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cuegrid import params as P
+from cuegrid.functions.text import bound
 from cuegrid.operators.scan import scan
 from cuegrid.session import cut_lineage
 
@@ -202,6 +203,42 @@ def locate(points: DataFrame, segments: DataFrame, key: str, ident: str = "word_
         key, ident, "t0", "t1", F.coalesce("_in", "_most", "_near").alias("seg_ix"))
 
 
+# ------------------------------------------------------------------ two arrays ------------
+def nearest_in_row(near: Column, marks: Column, window: float = P.MOUTH_WINDOW_S) -> Column:
+    """The array form of :func:`nearest_within`: the mark nearest to `near`, or null."""
+    close = F.filter(marks, lambda m: m.between(near - window, near + window))
+    return F.array_min(F.transform(close, lambda m: F.struct(
+        F.abs(m - near).alias("d"), m.alias("t"))))["t"]
+
+
+def locate_in_row(t0: Column, t1: Column, segments: Column) -> Column:
+    """The array form of :func:`locate`: `seg_ix` of the segment, of the row's few segments
+    ARRAY<STRUCT<seg_ix,t0,t1>>, that a point belongs to."""
+
+    def find(probe: Column) -> Column:
+        seg = F.transform(segments, lambda s: F.struct(
+            s["t0"].alias("a"), s["seg_ix"].alias("seg_ix"), s["t1"].alias("b")))
+        # null starts come first, as in the scan
+        ahead = F.array_max(F.filter(seg, lambda s: s["a"].isNull() | (s["a"] <= probe)))
+        behind = F.array_min(F.filter(seg, lambda s: s["a"].isNotNull() & (
+            probe.isNull() | (s["a"] > probe))))
+
+        def edge(s: Column) -> Column:
+            return F.least(F.abs(s["a"] - probe), F.abs(s["b"] - probe))
+
+        def choose(sides: Column) -> Column:
+            prev, nxt = sides["prev"], sides["next"]
+            shared = F.filter(seg, lambda s: (t1 > t0) & (s["b"] > s["a"]) & (t0 < s["b"]) & (s["a"] < t1))
+            most = F.array_min(F.transform(shared, lambda s: F.struct(
+                (-(F.least(s["b"], t1) - F.greatest(s["a"], t0))).alias("d"), s["seg_ix"].alias("seg_ix"))))["seg_ix"]
+            nearest = F.when(nxt.isNull() | (edge(prev) <= edge(nxt)), prev["seg_ix"]).otherwise(nxt["seg_ix"])
+            return F.coalesce(F.when(prev["b"] > probe, prev["seg_ix"]), most, nearest)
+
+        return bound(F.struct(ahead.alias("prev"), behind.alias("next")), choose)
+
+    return bound(F.greatest(t0, t1 - 0.05), find)
+
+
 # ------------------------------------------------------------------ clocks and sweeps -----
 def cut_clock(points: DataFrame, cuts: DataFrame, key: str, ident: Sequence[str],
               chunk_s: float = CHUNK_S) -> DataFrame:

@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from cuegrid import params as P
 from cuegrid.functions.rounding import round_exact
 from cuegrid.functions.scalars import clamp, count_syllables, frame_aligned
-from cuegrid.operators.intervals import (cut_clock, locate, long_gaps, merge_overlaps,
-                                         nearest_within, push_later)
-from cuegrid.operators.rows import unfold
-from cuegrid.operators.scan import scan
+from cuegrid.functions.text import bound
+from cuegrid.operators.intervals import (cut_clock, locate_in_row, long_gaps, merge_overlaps,
+                                         nearest_in_row, push_later)
+from cuegrid.operators.rows import settled, unfold
 from cuegrid.session import cut_lineage
 
 
@@ -69,47 +69,52 @@ def _balance_udf(syllables: pd.Series, heard: pd.Series, seconds: pd.Series) ->
 _balance_udf = _balance_udf.asNondeterministic()  # keeps filters from re-running it
 
 
-def make_chunks(lines: DataFrame, words: DataFrame, speech: DataFrame, key: str,
-                onsets: DataFrame | None = None) -> DataFrame:
+def make_chunks(rows: DataFrame, key: str) -> DataFrame:
     """Phrases of a line with the lips' timing.
 
-    lines(key, script_words, pairs), words(key, word_ix, t0, t1), speech(key, seg_ix, t0, t1)
-    -> (key, ix, text, t0, t1, seg_ix). A line is a scene's few words, so its matched words
-    are gathered per line after the segment lookup. onsets(key, mark): when the mouth visibly
-    starts; a phrase does not start before that."""
-    pairs = lines.select(key, F.explode("pairs").alias("p")).select(
-        key, F.col("p.i").alias("i"), F.col("p.j").cast("long").alias("word_ix"))
-    placed = locate(words.join(pairs.select(key, "word_ix"), [key, "word_ix"], "left_semi"),
-                    speech, key)
-    heard = cut_lineage(pairs.join(placed.select(key, "word_ix", "seg_ix"), [key, "word_ix"]))
-    heard = cut_lineage(scan(heard, [key], ["i"], F.floor(F.col("i") / 4096),
-                             maxes={"heard": F.col("seg_ix")}))
-    line = heard.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("i", "heard"))).alias("h"))
-    spans = heard.select(key, F.col("heard").alias("seg_ix")).distinct().join(
-        speech.select(key, "seg_ix", "t0", "t1"), [key, "seg_ix"]).groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("seg_ix", "t0", "t1"))).alias("segs"))
-    rows = lines.select(key, "script_words").join(line, key).join(spans, key)
+    rows(key, script_words, pairs ARRAY<STRUCT<i,j>>, words ARRAY<STRUCT<t0,t1>>, speech
+    ARRAY<STRUCT<seg_ix,t0,t1>>[, onsets ARRAY<DOUBLE>]) -> (key, ix, text, t0, t1, seg_ix). A
+    pair is a word's place in `script_words` and in `words`. A row is one scene, its few words and
+    its clip's segments, so all of it is planned inside the row and nothing is shuffled. onsets:
+    when the mouth visibly starts; a phrase does not start before that."""
+    told = F.filter(F.transform(F.array_sort("pairs"), lambda p: F.struct(
+        p["i"].alias("i"), F.get("words", p["j"]).alias("w"))), lambda x: x["w"].isNotNull())
+    heard = bound(told, lambda found: bound(
+        F.transform(found, lambda x: locate_in_row(x["w"]["t0"], x["w"]["t1"], F.col("speech"))),
+        lambda at: F.transform(found, lambda x, k: F.struct(
+            x["i"].alias("i"), F.array_max(F.slice(at, F.lit(1), k + 1)).alias("heard")))))
+    lines = settled(rows, h=heard)
+    used = F.transform("h", lambda w: w["heard"])
+    lines = settled(lines, segs=F.array_sort(F.transform(
+        F.filter("speech", lambda s: F.array_contains(used, s["seg_ix"])),
+        lambda s: F.struct(s["seg_ix"].alias("seg_ix"), s["t0"].alias("t0"), s["t1"].alias("t1")))))
+    lines = lines.where((F.size("h") > 0) & (F.size("segs") > 0))
     syl = F.transform("h", lambda w: count_syllables(F.get(F.col("script_words"), w["i"])))
     seconds = F.transform("segs", lambda s: F.greatest(F.lit(0.15), s["t1"] - s["t0"]))
-    rows = rows.withColumn("_n", _balance_udf(syl, F.transform("h", lambda w: w["heard"]), seconds))
+    lines = lines.withColumn("_n", _balance_udf(syl, used, seconds))
     firsts = F.transform("_n", lambda _, k: F.get("h", F.aggregate(
         F.slice(F.col("_n"), F.lit(1), k), F.lit(0), lambda a, c: a + c))["i"])
-    ranged = rows.withColumn("_r", phrase_ranges(firsts, F.size("script_words")))
-    chunk = F.transform("_r", lambda r, k: F.struct(
-        F.array_join(F.slice("script_words", r["i0"] + 1, r["i1"] - r["i0"] + 1), " ").alias("text"),
-        F.get("segs", k)["t0"].alias("t0"), F.get("segs", k)["t1"].alias("t1"),
-        F.get("segs", k)["seg_ix"].alias("seg_ix")))
-    out = unfold(ranged, chunk, "ix", "c", key).select(key, "ix", "c.*")
-    return out if onsets is None else shift_to_mouth(out, onsets, key)
-
-
-def shift_to_mouth(chunks: DataFrame, onsets: DataFrame, key: str) -> DataFrame:
-    """Start a phrase shortly after the mouth starts, at most 0.1 s later than it was."""
-    near = nearest_within(chunks, onsets, [key], "t0", "mark", ["ix"])
-    seen = F.col("found") + P.LIP_LEAD_S
-    late = F.col("found").isNotNull() & (F.col("t0") < seen) & (seen < F.col("t1") - 0.15)
-    return near.withColumn("t0", F.when(late, F.least(seen, F.col("t0") + P.MOUTH_MAX_SHIFT_S))
-                           .otherwise(F.col("t0"))).drop("found")
+    ranged = settled(lines, _r=bound(firsts, lambda f: phrase_ranges(f, F.size("script_words"))))
+
+    def chunk(r: Column, seg: Column) -> Column:
+        start = shift_to_mouth(seg["t0"], seg["t1"], F.col("onsets")) if "onsets" in rows.columns else seg["t0"]
+        return F.struct(
+            F.array_join(F.slice("script_words", r["i0"] + 1, r["i1"] - r["i0"] + 1), " ").alias("text"),
+            start.alias("t0"), seg["t1"].alias("t1"), seg["seg_ix"].alias("seg_ix"))
+
+    chunks = F.transform("_r", lambda r, k: bound(F.get("segs", k), lambda seg: chunk(r, seg)))
+    return unfold(ranged, chunks, "ix", "c", key).select(key, "ix", "c.*")
+
+
+def shift_to_mouth(start: Column, end: Column, onsets: Column) -> Column:
+    """Where a phrase starts: shortly after the mouth does, at most 0.1 s later than it was."""
+
+    def moved(found: Column) -> Column:
+        seen = found + P.LIP_LEAD_S
+        late = found.isNotNull() & (start < seen) & (seen < end - 0.15)
+        return F.when(late, F.least(seen, start + P.MOUTH_MAX_SHIFT_S)).otherwise(start)
+
+    return bound(nearest_in_row(start, onsets), moved)
 
 
 def plan_cuts(speech: DataFrame, used: DataFrame, key: str) -> DataFrame:
