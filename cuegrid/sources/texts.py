@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import sys
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import groupby
 from operator import itemgetter
@@ -15,8 +15,12 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceWriter, WriterCommitMessage
 
+from cuegrid.operators.rows import keep_parallel
+
 FORMAT = "cuegrid_texts"
 POINTER = "published"
+#: Entries of a folder, and bytes of texts, that a task hands on at a time.
+ENTRIES, BYTES = 10_000, 4 << 20
 
 
 @dataclass
@@ -108,6 +112,74 @@ class Texts(DataSource):
         return BatchWriter(self.options["path"], int(self.options["version"]), self.options.get("suffix", ".txt"))
 
 
+def entries(root: str) -> Callable[[Iterator], Iterator]:
+    """For mapInArrow: (path) of folders, seen from `root`, to (path, folder) of what they hold. As in Spark's file
+    sources, hidden names and empty files are left out."""
+
+    def listed(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, top = _store(root)
+        schema = pa.schema([("path", pa.string()), ("folder", pa.bool_())])
+        for batch in batches:
+            for above in batch.column(0).to_pylist():
+                found = [(f"{above}/{x.base_name}" if above else x.base_name, x.is_file) for x in store.get_file_info(fs.FileSelector(f"{top}/{above}"))
+                         if not _hidden(x.base_name, x.is_file) and (x.size if x.is_file else x.type == fs.FileType.Directory)]
+                for i in range(0, len(found), ENTRIES):
+                    names, files = zip(*found[i : i + ENTRIES])
+                    yield pa.record_batch([names, [not x for x in files]], schema)
+
+    return listed
+
+
+def _hidden(name: str, is_file: bool) -> bool:
+    if not is_file and name.startswith(("_metadata", "_common_metadata")):
+        return False
+    return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+
+
+def contents(root: str, called: Callable[[str], str]) -> Callable[[Iterator], Iterator]:
+    """For mapInArrow: (path) of files, seen from `root`, to (file, content), a few MB at a time; `called` makes
+    `file` of a file's whole path."""
+
+    def read(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        store, top = _store(root)
+        schema, files, texts, size = pa.schema([("file", pa.string()), ("content", pa.binary())]), [], [], 0
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                with store.open_input_stream(f"{top}/{path}") as file:
+                    text = file.read()
+                if files and size + len(text) > BYTES:
+                    yield pa.record_batch([files, texts], schema)
+                    files, texts, size = [], [], 0
+                files.append(called(f"{top}/{path}"))
+                texts.append(text)
+                size += len(text)
+        if files:
+            yield pa.record_batch([files, texts], schema)
+
+    return read
+
+
+def entries_of(folders: DataFrame, root: str) -> DataFrame:
+    """(path, folder) of what the folders(path) below `root` hold: the workers list, the driver sees no file."""
+    return keep_parallel(folders, "path").mapInArrow(entries(root), "path string, folder boolean")
+
+
+def texts_of(files: DataFrame, root: str, called: Callable[[str], str]) -> DataFrame:
+    """(file, text) of files(path) below `root`, in as many tasks as the session has shuffle partitions,
+    however many files there are. Bytes that are no UTF-8 stay."""
+    rows = keep_parallel(files, "path").mapInArrow(contents(root, called), "file string, content binary")
+    return rows.select("file", F.col("content").cast("string").alias("text"))
+
+
+def _base_name(path: str) -> str:
+    return path.rpartition("/")[2]
+
+
 def write_texts(rows: DataFrame, path: str, version: int, key: str, order: list[str], line: str, suffix: str = ".txt") -> None:
     """Write one file for each key, its lines in order, and publish all of them as `version`.
 
@@ -136,13 +208,12 @@ def versions(spark: SparkSession, path: str) -> list[int]:
 
 
 def read_texts(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """(file, text) of a published version, the newest if none is named."""
+    """(file, text) of a published version, the newest if none is named. A scan of Spark's would hold every
+    file in the driver and make a task of a few."""
     known = versions(spark, path)
     wanted = version if version is not None else known[-1] if known else None
     if wanted not in known:
         raise ValueError(f"no published version {wanted} in {path}")
-    folders = _pointers(spark, path).where(F.col("version") == wanted).first().folders
-    if not folders:
-        return spark.createDataFrame([], "file string, text string")
-    rows = spark.read.text([f"{path.rstrip('/')}/{f}" for f in folders], wholetext=True)
-    return rows.select(F.url_decode(F.col("_metadata.file_name")).alias("file"), F.col("value").alias("text"))
+    folders = _pointers(spark, path).where(F.col("version") == wanted).select(F.explode("folders").alias("path"))
+    files = entries_of(folders, path).where(~F.col("folder")).select("path")
+    return texts_of(files, path, _base_name)

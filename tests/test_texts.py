@@ -93,3 +93,33 @@ def test_writer_takes_batches_and_splits_keys_over_them(tmp_path):
     found = {p.name: p.read_text() for p in (tmp_path / told.folder).iterdir()}
     assert found == {"null.txt": "z\n", "=1.txt": "a\n\nNone\n", "=2.txt": "b\nc\n"}
     assert writer.write(iter([])).files == 0
+
+
+def test_driver_lists_no_file_when_a_version_is_read(spark, tmp_path):
+    path = str(tmp_path / "out")
+    texts.write_texts(spark.range(2000).selectExpr("id k", "id i", "concat('l', id) line"), path, 1, "k", ["i"], "line", ".srt")
+    rows = texts.read_texts(spark, path)
+    assert not [f for f in rows.inputFiles() if f.endswith(".srt")]
+    assert rows.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert {(r.file, r.text) for r in rows.collect()} == {(f"={k}.srt", f"l{k}\n") for k in range(2000)}
+
+
+def test_folders_are_listed_and_files_read_in_bounded_batches(tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(texts, "ENTRIES", 3)
+    monkeypatch.setattr(texts, "BYTES", 10)
+    (tmp_path / "d" / "e").mkdir(parents=True)
+    for i in range(7):
+        (tmp_path / "d" / f"{i}.txt").write_text("x" * 4)
+    (tmp_path / "d" / "7.txt").write_text("y" * 40)
+
+    def column(*values):
+        return pa.record_batch([pa.array(values, pa.string())], ["path"])
+
+    found = [b.to_pylist() for b in texts.entries(str(tmp_path))(iter([column("", "d"), column("d/e")]))]
+    assert [len(b) for b in found] == [1, 3, 3, 3] and found[0] == [{"path": "d", "folder": True}]
+    assert {r["path"] for b in found[1:] for r in b if not r["folder"]} == {f"d/{i}.txt" for i in range(8)}
+    read = [b.to_pylist() for b in texts.contents(str(tmp_path), texts._base_name)(iter([column(*[f"d/{i}.txt" for i in range(8)])]))]
+    assert [[len(r["content"]) for r in b] for b in read] == [[4, 4], [4, 4], [4, 4], [4], [40]]
+    assert [r["file"] for b in read for r in b] == [f"{i}.txt" for i in range(8)]
