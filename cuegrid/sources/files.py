@@ -2,19 +2,64 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from unicodedata import category
+from urllib.parse import quote
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from cuegrid import params as P
 from cuegrid.functions.rounding import round_exact
+from cuegrid.session import stored
+from cuegrid.sources.texts import entries_of, texts_of
+
+#: Names that Spark's reader takes for compressed.
+COMPRESSED = r"(?i)\.(bz2|deflate|gz|lz4|snappy|zst)$"
 
 
 def read_scripts(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """One row per script file: script_id (name of the project folder, or what the first group of
-    `pattern` finds in the file's path), path, text."""
-    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-    where = F.col("_metadata.file_path")
+    `pattern` finds in the file's path), path, text.
+
+    The tasks list and read a folder of the machines' own file system; the driver sees no file. Other
+    stores, patterns of paths and trees with compressed files go through Spark's reader, whose list of files is the driver's."""
+    root = _plain_folder(spark, path)
+    files = None if root is None else files_below(spark, root)
+    if files is None or not files.where(F.col("path").rlike(COMPRESSED)).isEmpty():
+        rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(
+            F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    else:
+        rows = texts_of(files, root, file_uri)
+    where = F.col("file")
     name = project_of(where) if pattern is None else F.regexp_extract(where, pattern, 1)
-    return rows.select(name.alias("script_id"), where.alias("path"), F.col("value").alias("text"))
+    return rows.select(name.alias("script_id"), where.alias("path"), "text")
+
+
+def _plain_folder(spark: SparkSession, path: str) -> str | None:
+    """The place of `path` in the file system of the machines, if it is one folder there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    full = store.makeQualified(place)
+    if full.toUri().getScheme() != "file" or re.search(r"[{}\[\]*?\\]", path) or not store.exists(full) or not store.getFileStatus(full).isDirectory():
+        return None
+    return full.toUri().getPath()
+
+
+def files_below(spark: SparkSession, root: str) -> DataFrame:
+    """(path) of the files anywhere below a folder, seen from it: a job and a stored list for each level of the
+    tree, its folders dealt over the tasks."""
+    folders, files = spark.createDataFrame([("",)], "path string"), []
+    while not folders.isEmpty():
+        found = stored(entries_of(folders, root))
+        files.append(found.where(~F.col("folder")).select("path"))
+        folders = found.where("folder").select("path")
+    return reduce(DataFrame.unionByName, files)
+
+
+def file_uri(path: str) -> str:
+    """A local path as Spark names it: per cent for what Java allows in no path."""
+    return "file:" + re.sub(r"[^\w\-.!~*'():@&=+$,;/]", lambda c: c[0] if c[0] > "\x7f" and category(c[0])[0] != "Z" and category(c[0]) != "Cc" else quote(c[0]), path)
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:

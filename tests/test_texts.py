@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuegrid.catalog import check, load
-from cuegrid.sources import texts
+from cuegrid.sources import files, texts
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -123,3 +123,41 @@ def test_folders_are_listed_and_files_read_in_bounded_batches(tmp_path, monkeypa
     read = [b.to_pylist() for b in texts.contents(str(tmp_path), texts._base_name)(iter([column(*[f"d/{i}.txt" for i in range(8)])]))]
     assert [[len(r["content"]) for r in b] for b in read] == [[4, 4], [4, 4], [4, 4], [4], [40]]
     assert [r["file"] for b in read for r in b] == [f"{i}.txt" for i in range(8)]
+
+
+def odd_tree(root):
+    for name in ("a/x.txt", "_h/x.txt", "_h=1/x.txt", ".d/x.txt", "b/_x.txt", "b/.x.txt", "b/_k=1.txt", "b/x._COPYING_", "_metadata/x.txt",
+                 "b/_metadata", "top.txt", "d/e/f/g.txt", "c/\u00fcn\u00ef c\u00f6%25+&#?[]{}|^`\"'<>;,@$!*()~=e\u00a0\u3000\u0085\u00e9.txt"):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(name, encoding="utf-8")
+    (root / "b/empty.txt").write_bytes(b"")
+    (root / "b/bad.txt").write_bytes(b"\xff a \xc3")
+    (root / "b/bom.txt").write_bytes("\ufeffx\r\ny".encode())
+    (root / "nothing").mkdir()
+    (root / "link").symlink_to(root / "a")
+    (root / "broken").symlink_to(root / "nowhere")
+
+
+def by_spark(spark, path):
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    return sorted(tuple(r) for r in rows.select("_metadata.file_path", F.hex("value")).collect())
+
+
+def test_scripts_are_read_as_by_spark_without_a_list_in_the_driver(spark, tmp_path):
+    import gzip
+
+    root = tmp_path / "sp ace%"
+    odd_tree(root)
+    for path in (str(root), f"{root}/", root.as_uri().replace("%20", " ").replace("%25", "%"), str(root / "link")):
+        rows = files.read_scripts(spark, path, r"([^/]+)$")
+        assert not [f for f in rows.inputFiles() if f.endswith(".txt")]
+        found = rows.select("path", F.hex("text"), "script_id").collect()
+        assert sorted(tuple(r)[:2] for r in found) == by_spark(spark, path)
+        assert {r.script_id == r.path.rpartition("/")[2] for r in found} == {True}
+    assert files.read_scripts(spark, str(root / "nothing")).count() == 0
+    for path in (f"{root}/*", str(root / "a/x.txt")):
+        assert sorted(tuple(r) for r in files.read_scripts(spark, path).select("path", F.hex("text")).collect()) == by_spark(spark, path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files.read_scripts(spark, str(root / "missing")).collect()
+    (root / "b/z.txt.gz").write_bytes(gzip.compress(b"one") + gzip.compress(b"two"))
+    assert sorted(tuple(r) for r in files.read_scripts(spark, str(root)).select("path", F.hex("text")).collect()) == by_spark(spark, str(root))
